@@ -53,10 +53,10 @@ def channel_profile(samples: DataFrame, n_channels: int) -> DataFrame:
     return basic.join(quartiles, "channel").withColumn("range", F.col("max") - F.col("min"))
 
 
-def quality_flags(profile: DataFrame) -> DataFrame:
-    """Channels with mostly zeros or almost no variance."""
+def quality_flags(profile: DataFrame, zeros=50.0, spread=0.01) -> DataFrame:
+    """Channels with more than `zeros` percent zeros or a deviation below `spread`."""
     flags = profile.select(
-        "channel", (F.col("zeros_pct") > 50).alias("mostly_zero"), (F.col("std") < 0.01).alias("low_variance")
+        "channel", (F.col("zeros_pct") > zeros).alias("mostly_zero"), (F.col("std") < spread).alias("low_variance")
     )
     return flags.where("mostly_zero OR low_variance")
 
@@ -128,9 +128,13 @@ def mean_window_std(windows: DataFrame) -> DataFrame:
 
 
 def cross_tab(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(a, b, level, n) with margins: level 0 a cell, 1 a row total, 2 a column total, 3 the grand total."""
-    cells = df.select(F.col(a).alias("a"), F.col(b).alias("b")).cube("a", "b")
-    return cells.agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("n"))
+    """(a, b, level, n) with margins `All`: level 0 a cell, 1 a row total, 2 a column total, 3 the grand total."""
+    pairs = df.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"))
+    cells = pairs.cube("a", "b").agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("n"))
+    over_a, over_b = F.col("level") >= 2, F.col("level") % 2 == 1
+    return cells.withColumns(
+        {"a": F.when(over_a, "All").otherwise(F.col("a")), "b": F.when(over_b, "All").otherwise(F.col("b"))}
+    )
 
 
 def separability(samples: DataFrame, label: str) -> DataFrame:

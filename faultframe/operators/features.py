@@ -141,12 +141,16 @@ def combine_features(time_part: DataFrame, freq_part: DataFrame, keys=KEYS) -> D
 
 def wide_features(features: DataFrame, channels, names=TIME_FEATURES + FREQ_FEATURES) -> DataFrame:
     """One row per window, columns `<channel>_<feature>`; missing statistics become 0."""
-    picks = [
-        F.coalesce(F.max(F.when(F.col("channel") == c, F.col(n))), F.lit(0.0)).alias(f"{c}_{n}")
-        for c in channels
-        for n in names
-    ]
-    return features.groupBy("flight_id", "w").agg(*picks)
+    pivoted = features.groupBy("flight_id", "w").pivot("channel", list(channels)).agg(
+        *[F.first(n).alias(n) for n in names]
+    )
+    columns = [f"{c}_{n}" if len(names) > 1 else c for c in channels for n in names]
+    filled = [F.coalesce(c, F.lit(0.0)).alias(f"{ch}_{n}") for c, (ch, n) in zip(columns, _pairs(channels, names))]
+    return pivoted.select("flight_id", "w", *filled)
+
+
+def _pairs(channels, names):
+    return [(c, n) for c in channels for n in names]
 
 
 def flatten_windows(windows: DataFrame) -> DataFrame:

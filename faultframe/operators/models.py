@@ -10,7 +10,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..session import durable
 from ..settings import BOOST_COLUMNS, BOOST_DEPTH, BOOST_RATE, BOOST_ROWS, BOOST_TREES, FOREST_TREES
@@ -48,7 +48,7 @@ def fit_boosted(train, columns, trees=BOOST_TREES, depth=BOOST_DEPTH, rate=BOOST
         "featuresCol": "features", "maxIter": trees, "maxDepth": depth, "stepSize": rate,
         "subsamplingRate": rows, "featureSubsetStrategy": str(share), "seed": seed,
     }
-    fault = GBTClassifier(labelCol="y_fault", probabilityCol="prob_fault", **_outputs("fault"), **common)
+    fault = GBTClassifier(labelCol="y_fault", **_outputs("fault"), **common).setProbabilityCol("prob_fault")
     one = GBTClassifier(labelCol="y_type", **common)
     kind = OneVsRest(classifier=one, featuresCol="features", labelCol="y_type", parallelism=4, **_outputs("type"))
     severity = GBTRegressor(labelCol="y_sev", predictionCol="p_sev", **common)
@@ -140,7 +140,7 @@ def best_epochs(log: DataFrame) -> DataFrame:
     """The best epoch of every run and whether that run wins."""
     best = F.min(F.struct("val_loss", "epoch")).alias("b")
     runs = log.groupBy("run").agg(best).select("run", "b.epoch", "b.val_loss")
-    winner = F.min(F.struct("val_loss", "run")).over(W.partitionBy(F.lit(0)))
+    winner = runs.agg(F.min(F.struct("val_loss", "run"))).scalar()
     return runs.withColumn("is_best", (winner["run"] == F.col("run")).cast("int"))
 
 

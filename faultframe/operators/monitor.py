@@ -61,7 +61,7 @@ def cumulative_status(predictions: DataFrame, by=FLIGHT, chunk=4096) -> DataFram
 
 
 def nearest_window(requests: DataFrame, centres: DataFrame) -> DataFrame:
-    """(request columns, w, t, gap): the window whose centre is nearest to `at`, the earliest on ties.
+    """(request columns, w, t, gap): the window whose centre is nearest to `asked`, the earliest on ties.
 
     Window centres are evenly spaced, so the candidate follows by arithmetic from the flight's first and last
     centre; it and its two neighbours are looked up by key.
@@ -70,11 +70,11 @@ def nearest_window(requests: DataFrame, centres: DataFrame) -> DataFrame:
         F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.max("w").alias("last_w")
     )
     spacing = (F.col("last_t") - F.col("first_t")) / F.when(F.col("last_w") > 0, F.col("last_w"))
-    guess = F.coalesce(F.round((F.col("at") - F.col("first_t")) / spacing), F.lit(0)).cast("long")
+    guess = F.coalesce(F.round((F.col("asked") - F.col("first_t")) / spacing), F.lit(0)).cast("long")
     around = F.array(*[F.greatest(F.lit(0), F.least(F.col("last_w"), guess + d)) for d in (-1, 0, 1)])
     asked = requests.join(spans, "flight_id").withColumn("w", F.explode(F.array_distinct(around)))
     found = asked.select(*requests.columns, "w").join(centres.select("flight_id", "w", "t"), ["flight_id", "w"])
-    best = F.min(F.struct(F.abs(F.col("t") - F.col("at")).alias("gap"), "w", "t")).alias("b")
+    best = F.min(F.struct(F.abs(F.col("t") - F.col("asked")).alias("gap"), "w", "t")).alias("b")
     return found.groupBy(*requests.columns).agg(best).select(*requests.columns, "b.w", "b.t", "b.gap")
 
 
