@@ -1,12 +1,9 @@
 """Three-head models (fault yes/no, fault type, severity) as one fitted pipeline each."""
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier,
-    MultilayerPerceptronClassifier,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -40,19 +37,36 @@ def _outputs(head: str) -> dict[str, str]:
 
 
 def fit_boosted(train, columns, trees=BOOST_TREES, depth=BOOST_DEPTH, rate=BOOST_RATE, rows=BOOST_ROWS,
-                share=BOOST_COLUMNS, seed=42) -> PipelineModel:
-    """Boosted trees for the three heads; the type head is one boosted model per class."""
+                share=BOOST_COLUMNS, seed=42, parallelism=4) -> PipelineModel:
+    """Boosted trees for the three heads; the type head is one boosted model per class, fitted side by side."""
     assembler = _assembler(columns)
     data = _assembled(train, assembler)
     common = {
         "featuresCol": "features", "maxIter": trees, "maxDepth": depth, "stepSize": rate,
         "subsamplingRate": rows, "featureSubsetStrategy": str(share), "seed": seed,
     }
-    fault = GBTClassifier(labelCol="y_fault", **_outputs("fault"), **common).setProbabilityCol("prob_fault")
-    one = GBTClassifier(labelCol="y_type", **common)
-    kind = OneVsRest(classifier=one, featuresCol="features", labelCol="y_type", parallelism=4, **_outputs("type"))
-    severity = GBTRegressor(labelCol="y_sev", predictionCol="p_sev", **common)
-    return PipelineModel([assembler, *[head.fit(data) for head in (fault, kind, severity)]])
+
+    def classifier(label: str, head: str) -> GBTClassifier:
+        made = GBTClassifier(labelCol=label, predictionCol=f"p_{head}", **common)
+        return made.setProbabilityCol(f"prob_{head}").setRawPredictionCol(f"raw_{head}")
+
+    heads = [(classifier("y_fault", "fault"), data)]
+    for kind in sorted(int(row[0]) for row in data.select("y_type").distinct().collect()):
+        one = data.withColumn("is_kind", (F.col("y_type") == kind).cast("double"))
+        heads.append((classifier("is_kind", f"type_{kind}"), one))
+    heads.append((GBTRegressor(labelCol="y_sev", predictionCol="p_sev", **common), data))
+    with ThreadPool(parallelism) as pool:
+        fitted = pool.map(lambda head: head[0].fit(head[1]), heads)
+    return PipelineModel([assembler, *fitted])
+
+
+def _kind(columns):
+    """The predicted type: a direct prediction, or the class whose own model is surest."""
+    if "p_type" in columns:
+        return F.col("p_type")
+    kinds = sorted(int(c.removeprefix("raw_type_")) for c in columns if c.startswith("raw_type_"))
+    sure = [F.struct(vector_to_array(f"raw_type_{k}")[1].alias("s"), F.lit(-k).alias("k")) for k in kinds]
+    return -(F.greatest(*sure)["k"] if len(sure) > 1 else sure[0]["k"])
 
 
 def fit_forest(train, columns, trees=FOREST_TREES, depth=12, seed=42) -> PipelineModel:
@@ -94,10 +108,11 @@ def fit_perceptron(train, columns, n_types: int, hidden=(32,), iterations=50, se
 
 def predict(model: PipelineModel, features: DataFrame, keep=("flight_id", "w")) -> DataFrame:
     """(keep, fault_prob, fault_type, severity_continuous) and the derived label, level and type name."""
-    scored = model.transform(features).select(
+    scored = model.transform(features)
+    scored = scored.select(
         *keep,
         F.get(vector_to_array("prob_fault"), F.lit(1)).alias("fault_prob"),
-        F.col("p_type").cast("int").alias("fault_type"),
+        _kind(scored.columns).cast("int").alias("fault_type"),
         F.col("p_sev").alias("severity_continuous"),
     )
     return postprocess(scored)
