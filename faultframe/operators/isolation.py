@@ -54,7 +54,7 @@ def fit(rows: DataFrame, ids, trees=ISOLATION_TREES, sample=SAMPLE, seed=42) ->
     order = W.partitionBy("tree").orderBy(hash_key(seed, "tree", *ids), *ids)
     drawn = drawn.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample)
 
-    def grow(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(frame.sort_values("r")["vec"].to_list())
         depth = int(np.ceil(np.log2(max(len(x), 2))))
         nodes = _grow(x, np.random.default_rng([seed, int(key[0])]), depth)
