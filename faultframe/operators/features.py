@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from ..functions.numeric import pearson
+from ..functions.numeric import ratio
 
 KEYS = ("flight_id", "w", "channel")
 
@@ -163,13 +163,7 @@ def lag1_autocorrelation(windows: DataFrame, keys=KEYS) -> DataFrame:
     """Pearson correlation of each window with itself one step later, NULL where undefined."""
     before = F.lag("value").over(W.partitionBy(*keys).orderBy("i"))
     pairs = windows.withColumn("x", before).where(F.col("x").isNotNull()).withColumnRenamed("value", "y")
-    x, y = F.col("x"), F.col("y")
-    sums = pairs.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(x).alias("sx"),
-        F.sum(y).alias("sy"),
-        F.sum(x * x).alias("sxx"),
-        F.sum(y * y).alias("syy"),
-        F.sum(x * y).alias("sxy"),
+    moments = pairs.groupBy(*keys).agg(
+        F.covar_pop("x", "y").alias("cov"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy")
     )
-    return sums.select(*keys, pearson(*[F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]).alias("r"))
+    return moments.select(*keys, ratio(F.col("cov"), F.col("sx") * F.col("sy")).alias("r"))

@@ -17,7 +17,8 @@ def stratified_split(df: DataFrame, ids, label: str, fraction=0.2, seed=42, grou
     """Adds `is_test`: exactly round(fraction * n) rows of each label, in hash order.
 
     With `group_by` whole groups (such as flights) are drawn, each counted once under its label, so that
-    overlapping windows never straddle the split.
+    overlapping windows never straddle the split. The input is read twice (chunk sizes, rows): draw from the list
+    of ids and labels and join the result, rather than from computed features.
     """
     if group_by is not None:
         groups = df.groupBy(group_by).agg(F.min(label).alias("__label"))

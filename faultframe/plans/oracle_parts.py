@@ -62,8 +62,8 @@ CTES = {
     "time_feats": """
         SELECT flight_id, w, channel, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max,
                max(value) - min(value) AS ptp, sqrt(avg(value * value)) AS rms,
-               avg(d * d * d) / nullif(power(avg(d * d), 1.5), 0) AS skew,
-               avg(d * d * d * d) / nullif(power(avg(d * d), 2), 0) - 3 AS kurt
+               CASE WHEN max(value) > min(value) THEN avg(d * d * d) / power(avg(d * d), 1.5) END AS skew,
+               CASE WHEN max(value) > min(value) THEN avg(d * d * d * d) / power(avg(d * d), 2) - 3 END AS kurt
         FROM (SELECT *, value - avg(value) OVER (PARTITION BY flight_id, w, channel) AS d FROM win)
         GROUP BY flight_id, w, channel""",
     "spectrum": """

@@ -138,7 +138,7 @@ def x7(spark, sf):
 @query(
     "x8_lag1_autocorrelation",
     f"""SELECT channel, {r('avg(c) AS autocorr')}, count(c) AS n_windows
-        FROM (SELECT flight_id, w, channel, corr(x, y) AS c
+        FROM (SELECT flight_id, w, channel, CASE WHEN isfinite(corr(x, y)) THEN corr(x, y) END AS c
               FROM (SELECT flight_id, w, channel, value AS y,
                            lag(value) OVER (PARTITION BY flight_id, w, channel ORDER BY i) AS x FROM win)
               WHERE x IS NOT NULL GROUP BY flight_id, w, channel)

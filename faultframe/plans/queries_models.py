@@ -9,7 +9,8 @@ from ..session import durable
 from ..settings import LOSS_WEIGHTS
 from ..sources import views
 from .catalog import query, r, rounded
-from .queries_prepare import CHANNELS, fresh_folder, grid, labelled
+from .prepare import window_features
+from .queries_prepare import CHANNELS, fresh_folder, grid
 from .score import score_flights
 
 # Sizes for the registered runs; the defaults of the functions are the full ones.
@@ -31,7 +32,9 @@ def knn_parts(spark, sf):
 
 
 def split_features(spark, sf):
-    rows = durable(splits.stratified_split(labelled(spark, sf), ["flight_id", "w"], "y_fault"))
+    """Training and test rows; the split is drawn from the cheap window list and joined to the features by key."""
+    drawn = splits.stratified_split(views.windows(spark, sf).drop("t"), ["flight_id", "w"], "y_fault")
+    rows = durable(window_features(views.raw(spark, sf), CHANNELS).join(drawn, ["flight_id", "w"]))
     return rows.where("NOT is_test").drop("is_test"), rows.where("is_test").drop("is_test")
 
 

@@ -13,7 +13,7 @@ from ..session import shared_folder
 from ..settings import DEMO_WINDOWS, STEP_SEC, TARGET_FS, WIN_SEC
 from ..sources import dataset, flights, views
 from .catalog import query, r, rounded
-from .prepare import labelled_features, normalised_windows, prepare, window_features
+from .prepare import normalised_windows, prepare, window_features
 
 CHANNELS = views.CHANNELS
 LENGTH, STEP = win.window_shape(WIN_SEC, STEP_SEC, TARGET_FS)
@@ -363,10 +363,3 @@ def p15(spark, sf):
 def p16(spark, sf):
     sizes = spans(spark, sf).select("flight_id", F.col("n").alias("n_points"))
     return rounded(resample_trajectory(views.raw(spark, sf), sizes, ["q_1", "q_2"], time_chunk()))
-
-
-def labelled(spark, sf):
-    """Wide features with labels, for the model queries."""
-    return labelled_features(window_features(views.raw(spark, sf), CHANNELS), views.windows(spark, sf))
-
-
