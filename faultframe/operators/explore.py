@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.numeric import missing_to_null, pearson, ratio, ratio_or_zero
 from .features import lag1_autocorrelation
 from .joins import attach
-from .quantiles import percentile_columns
+from .quantiles import counted_values, percentile_columns
 from .splits import subsample
 
 
@@ -82,14 +82,16 @@ def histogram(df: DataFrame, keys, value: str, bins=50, bound=None, by=()) -> Da
     rows = (df if keys else df.withColumn("__all", F.lit(0))).select(
         *grouped, missing_to_null(F.col(value).cast("double")).alias("x")
     ).where(F.col("x").isNotNull())
+    bound = bound if keys else 1
+    rows = counted_values(rows, grouped, bound)
     edges = rows.groupBy(*grouped).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     flat = F.col("lo") == F.col("hi")
     half = F.when(flat, F.lit(0.5)).otherwise(F.lit(0.0))
     edges = edges.select(*grouped, (F.col("lo") - half).alias("lo"), (F.col("hi") + half).alias("hi"))
     edges = edges.withColumn("width", (F.col("hi") - F.col("lo")) / bins)
     bin_of = F.least(F.floor((F.col("x") - F.col("lo")) / F.col("width")), F.lit(bins - 1)).cast("int")
-    placed = attach(rows, edges, grouped, bound=bound if keys else 1, spread=["x"])
-    counts = placed.groupBy(*grouped, bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    placed = attach(rows, edges, grouped, bound=bound, spread=["x"])
+    counts = placed.groupBy(*grouped, bin_of.alias("bin")).agg(F.sum("c").alias("n"))
     every = edges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     return every.join(counts, [*grouped, "bin"], "left").select(
         *keys,

@@ -37,14 +37,25 @@ def time_features(windows: DataFrame, names=TIME_FEATURES, keys=KEYS) -> DataFra
 
 def _series():
     """The window's values in order of position; a group never exceeds the window length."""
-    pairs = F.sort_array(F.collect_list(F.struct("i", "value")))
-    return F.transform(pairs, lambda p: p["value"])
+    return F.sort_array(F.collect_list(F.struct("i", "value"))).getField("value")
 
 
 def window_series(windows: DataFrame, keys=KEYS) -> DataFrame:
+    """(keys, xs) of long window rows."""
     return windows.groupBy(*keys).agg(_series().alias("xs"))
 
 
+def wide_window_series(cut: DataFrame, channels) -> DataFrame:
+    """(flight_id, w, channel, xs) of wide window rows (flight_id, w, i, channels).
+
+    The samples of a window travel as one row for all channels and are split by channel after the shuffle.
+    """
+    samples = F.sort_array(F.collect_list(F.struct("i", *channels))).alias("samples")
+    grouped = cut.groupBy("flight_id", "w").agg(samples)
+    series = [F.struct(F.lit(c).alias("channel"), F.col(f"samples.{c}").alias("xs")) for c in channels]
+    return grouped.select("flight_id", "w", F.inline(F.array(*series)))
+
+
 def band_weights(length: int, fs: float, fmin: float, fmax: float) -> np.ndarray:
     """Trapezoid weight of each spectrum bin for the band [fmin, fmax]."""
     freqs = np.fft.rfftfreq(length, d=1.0 / fs)
@@ -65,17 +76,12 @@ def bands(fs: float) -> dict[str, tuple[float, float]]:
     }
 
 
-def _periodogram(xs: pa.Array, length: int) -> np.ndarray:
-    block = xs.flatten().to_numpy(zero_copy_only=False).reshape(len(xs), length)
-    return np.abs(np.fft.rfft(block, axis=1)) ** 2 / length
-
-
 def power_spectrum(series: DataFrame, length: int, fs: float, keys=KEYS) -> DataFrame:
     """(keys, bin, freq, psd): one-sided, untapered power spectrum of each window."""
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def psd(xs: pa.Array) -> pa.Array:
-        power = _periodogram(xs, length)
+        power = np.abs(np.fft.rfft(_block(xs, length), axis=1)) ** 2 / length
         offsets = np.arange(len(xs) + 1, dtype=np.int32) * power.shape[1]
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(power.ravel()))
 
@@ -107,32 +113,48 @@ def spectral_peak(spectrum: DataFrame, keys=KEYS) -> DataFrame:
     )
 
 
-def _spectral_udf(length: int, fs: float):
+def _block(xs: pa.Array, length: int) -> np.ndarray:
+    return xs.flatten().to_numpy(zero_copy_only=False).reshape(len(xs), length)
+
+
+def _spectral_columns(block: np.ndarray, fs: float) -> list[np.ndarray]:
+    length = block.shape[1]
+    power = np.abs(np.fft.rfft(block, axis=1)) ** 2 / length
     weights = np.stack([band_weights(length, fs, lo, hi) for lo, hi in bands(fs).values()], axis=1)
-    freqs = np.fft.rfftfreq(length, d=1.0 / fs)
+    peak = power.argmax(axis=1)
+    return [*(power @ weights).T, np.fft.rfftfreq(length, d=1.0 / fs)[peak], power[np.arange(len(power)), peak]]
+
+
+def _time_columns(block: np.ndarray) -> list[np.ndarray]:
+    mean, low, high = block.mean(axis=1), block.min(axis=1), block.max(axis=1)
+    off = block - mean[:, None]
+    var = (off**2).mean(axis=1)
+    flat = high == low
+    safe = np.where(flat, 1.0, var)
+    shape = [(off**3).mean(axis=1) / safe**1.5, (off**4).mean(axis=1) / safe**2 - 3.0]
+    rms = np.sqrt((block**2).mean(axis=1))
+    return [mean, np.sqrt(var), low, high, high - low, rms, *[pa.array(v, mask=flat) for v in shape]]
 
-    @F.arrow_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in FREQ_FEATURES]))
-    def spectral(xs: pa.Array) -> pa.Array:
-        power = _periodogram(xs, length)
-        peak = power.argmax(axis=1)
-        values = [*(power @ weights).T, freqs[peak], power[np.arange(len(power)), peak]]
-        return pa.StructArray.from_arrays([pa.array(v) for v in values], names=list(FREQ_FEATURES))
 
-    return spectral
+def _described(series: DataFrame, names, columns_of, length: int, keys) -> DataFrame:
+    """Apply a vectorised description of equally long series, one Arrow batch at a time."""
+
+    @F.arrow_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in names]))
+    def describe(xs: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(v) for v in columns_of(_block(xs, length))], names=list(names))
+
+    return series.select(*keys, describe("xs").alias("f")).select(*keys, *[f"f.{n}" for n in names])
 
 
 def freq_features(series: DataFrame, length: int, fs: float, keys=KEYS) -> DataFrame:
-    """The six spectral features of each series, one vectorised transform per Arrow batch."""
-    found = series.select(*keys, _spectral_udf(length, fs)("xs").alias("f"))
-    return found.select(*keys, *[f"f.{n}" for n in FREQ_FEATURES])
+    """The six spectral features of each series."""
+    return _described(series, FREQ_FEATURES, lambda block: _spectral_columns(block, fs), length, keys)
 
 
-def all_features(windows: DataFrame, length: int, fs: float, keys=KEYS) -> DataFrame:
-    """All fourteen features from a single shuffle by (window, channel)."""
-    exprs = time_aggregates()
-    grouped = windows.groupBy(*keys).agg(*[exprs[n].alias(n) for n in TIME_FEATURES], _series().alias("xs"))
-    grouped = grouped.select(*keys, *TIME_FEATURES, _spectral_udf(length, fs)("xs").alias("f"))
-    return grouped.select(*keys, *TIME_FEATURES, *[f"f.{n}" for n in FREQ_FEATURES])
+def all_features(series: DataFrame, length: int, fs: float, keys=KEYS) -> DataFrame:
+    """All fourteen features of each series; no further shuffle once the series exist."""
+    names = TIME_FEATURES + FREQ_FEATURES
+    return _described(series, names, lambda block: [*_time_columns(block), *_spectral_columns(block, fs)], length, keys)
 
 
 def combine_features(time_part: DataFrame, freq_part: DataFrame, keys=KEYS) -> DataFrame:
@@ -155,8 +177,8 @@ def _pairs(channels, names):
 
 def flatten_windows(windows: DataFrame) -> DataFrame:
     """(flight_id, w, vec): all values of a window, by position and then channel."""
-    pairs = F.sort_array(F.collect_list(F.struct("i", "channel", "value")))
-    return windows.groupBy("flight_id", "w").agg(F.transform(pairs, lambda p: p["value"]).alias("vec"))
+    values = F.sort_array(F.collect_list(F.struct("i", "channel", "value"))).getField("value")
+    return windows.groupBy("flight_id", "w").agg(values.alias("vec"))
 
 
 def lag1_autocorrelation(windows: DataFrame, keys=KEYS) -> DataFrame:

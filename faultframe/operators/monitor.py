@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.labels import decoded_fault_name
 from ..functions.numeric import ratio, severity_level
 from ..settings import TABLE_WINDOWS
+from .joins import attach
 from .ordered import running_sums
 
 FLIGHT = ("model", "flight_id")
@@ -72,7 +73,7 @@ def nearest_window(requests: DataFrame, centres: DataFrame) -> DataFrame:
     spacing = (F.col("last_t") - F.col("first_t")) / F.when(F.col("last_w") > 0, F.col("last_w"))
     guess = F.coalesce(F.round((F.col("asked") - F.col("first_t")) / spacing), F.lit(0)).cast("long")
     around = F.array(*[F.greatest(F.lit(0), F.least(F.col("last_w"), guess + d)) for d in (-1, 0, 1)])
-    asked = requests.join(spans, "flight_id").withColumn("w", F.explode(F.array_distinct(around)))
+    asked = attach(requests, spans, "flight_id", spread=requests.columns).withColumn("w", F.explode(F.array_distinct(around)))
     found = asked.select(*requests.columns, "w").join(centres.select("flight_id", "w", "t"), ["flight_id", "w"])
     best = F.min(F.struct(F.abs(F.col("t") - F.col("asked")).alias("gap"), "w", "t")).alias("b")
     return found.groupBy(*requests.columns).agg(best).select(*requests.columns, "b.w", "b.t", "b.gap")

@@ -12,11 +12,18 @@ FAN = 4096
 RUN = 65536
 
 
-def explode_range(df: DataFrame, low: Column, high: Column, out: str) -> DataFrame:
-    """One row per integer in [low, high]; the arrays behind it never exceed RUN elements."""
+def explode_range(df: DataFrame, low: Column, high: Column, out: str, keys=None) -> DataFrame:
+    """One row per integer in [low, high]; the arrays behind it never exceed RUN elements.
+
+    With `keys` (for few rows with long ranges) the runs of one range are spread over all tasks first.
+    """
     df = df.withColumn("__low", low.cast("long")).withColumn("__high", high.cast("long"))
     df = df.where("__low <= __high")
     df = df.withColumn("__run", F.explode(F.sequence(F.floor(F.col("__low") / RUN), F.floor(F.col("__high") / RUN))))
+    if keys is not None:
+        # A fixed number of partitions: the run rows are small, what they expand to is not.
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartition(tasks, *keys, "__run")
     first = F.greatest(F.col("__low"), F.col("__run") * RUN)
     last = F.least(F.col("__high"), F.col("__run") * RUN + (RUN - 1))
     return df.withColumn(out, F.explode(F.sequence(first, last))).drop("__low", "__high", "__run")

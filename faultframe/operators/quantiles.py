@@ -1,64 +1,78 @@
 """Exact percentiles of groups of any size.
 
-The built-in exact percentile keeps every distinct value of a group in one buffer. Here a mergeable sketch first
-brackets each wanted rank, one pass counts the rows below each bracket, and only the rows inside a bracket are
-ranked. The sketch's guaranteed rank error makes the bracket certain, so the result is exact.
+The built-in exact percentile keeps every distinct value of a group in one buffer. Here each wanted rank is narrowed
+down by counts: first to one of COARSE bins of the group's range, then to one of FINE bins inside it, and only the
+values of that fine bin are ranked. Every step is a hash aggregate over all tasks, and the result is exact.
 """
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..settings import BROADCAST_ROWS
 from .joins import attach
 
+COARSE = 1024
+FINE = 1024
 
-def exact_percentiles(df: DataFrame, keys, value, probs, bound=None, accuracy=10_000) -> DataFrame:
+
+def counted_values(rows: DataFrame, keys, bound) -> DataFrame:
+    """(keys, x, c): one row per value with its count where the group rows cannot be broadcast, else c = 1.
+
+    A value that fills a group is then a single row before the join that attaches the group's range.
+    """
+    if bound is not None and bound <= BROADCAST_ROWS:
+        return rows.withColumn("c", F.lit(1).cast("long"))
+    return rows.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("c"))
+
+
+def _narrow(targets: DataFrame, counts: DataFrame, on, step: str) -> DataFrame:
+    """Give each target rank the `step` value (a bin or a value) of its group that holds it."""
+    upto = F.sum("c").over(W.partitionBy(*on).orderBy(step).rowsBetween(W.unboundedPreceding, 0))
+    counts = counts.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("c")).drop("c")
+    inside = (F.col("rank") >= F.col("before") + F.col("from")) & (F.col("rank") < F.col("before") + F.col("upto"))
+    found = targets.join(counts, on).where(inside)
+    return found.withColumn("before", F.col("before") + F.col("from")).drop("from", "upto")
+
+
+def exact_percentiles(df: DataFrame, keys, value, probs, bound=None) -> DataFrame:
     """(keys, p, n, x): linearly interpolated percentiles of `value` per group; NULLs are skipped.
 
-    `bound` limits the number of groups (see `attach`). Groups smaller than `accuracy` are ranked whole.
+    `bound` limits the number of groups (see `attach`).
     """
     keys, probs = list(keys), [float(p) for p in probs]
-    grouped = keys or ["__all"]
+    group = keys or ["__all"]
+    bound = bound if keys else 1
     rows = df if keys else df.withColumn("__all", F.lit(0))
-    rows = rows.select(*grouped, F.col(value).cast("double").alias("x")).where(F.col("x").isNotNull())
-
-    margin = 3.0 / accuracy
-    marks = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
-    sketch = rows.groupBy(*grouped).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("x").alias("lowest"),
-        F.max("x").alias("highest"),
-        F.percentile_approx("x", F.array(*[F.lit(m) for m in marks]), F.lit(accuracy)).alias("marks"),
-    )
-    small = F.col("n") < accuracy
-    brackets = [
-        F.struct(
-            F.lit(p).alias("p"),
-            F.when(small, F.col("lowest")).otherwise(F.get("marks", F.lit(i))).alias("lo"),
-            F.when(small, F.col("highest")).otherwise(F.get("marks", F.lit(i + len(probs)))).alias("hi"),
-        )
-        for i, p in enumerate(probs)
-    ]
-    sketch = sketch.select(*grouped, "n", F.array(*brackets).alias("b"))
-    tagged = attach(rows, sketch, grouped, bound=bound if keys else 1, spread=["x"])
-
-    # Rows below a bracket only add to its count; rows inside keep their value.
-    places = F.transform(
-        F.filter("b", lambda b: F.col("x") <= b["hi"]),
-        lambda b: F.struct(b["p"].alias("p"), F.when(F.col("x") >= b["lo"], F.col("x")).alias("x")),
-    )
-    placed = tagged.select(*grouped, "n", F.explode(places).alias("q")).select(*grouped, "n", "q.p", "q.x")
-    counted = placed.groupBy(*grouped, "n", "p", "x").agg(F.count(F.lit(1)).alias("c"))
-    # NULL (below the bracket) sorts first, so the running count starts with it.
-    order = W.partitionBy(*grouped, "p").orderBy(F.asc_nulls_first("x"))
-    upto = F.sum("c").over(order.rowsBetween(W.unboundedPreceding, 0))
-    ranked = counted.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("c"))
-    place = F.col("p") * (F.col("n") - 1)
-    lower, upper = F.floor(place), F.ceil(place)
-
-    def at(rank):
-        return F.max(F.when((F.col("from") <= rank) & (rank < F.col("upto")), F.col("x")))
-
-    ends = ranked.groupBy(*grouped, "n", "p").agg(at(lower).alias("x0"), at(upper).alias("x1"))
-    x = F.col("x0") + (F.col("x1") - F.col("x0")) * (place - lower)
+    rows = rows.select(*group, F.col(value).cast("double").alias("x")).where(F.col("x").isNotNull())
+    rows = counted_values(rows, group, bound)
+
+    ranges = rows.groupBy(*group).agg(F.sum("c").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    ranks = []
+    for p in probs:
+        place = F.lit(p) * (F.col("n") - 1)
+        ranks += [
+            F.struct(F.lit(p).alias("p"), F.lit(side).alias("side"), place.alias("place"), rank.alias("rank"))
+            for side, rank in ((0, F.floor(place)), (1, F.ceil(place)))
+        ]
+    targets = ranges.select(*group, "n", F.inline(F.array(*ranks))).withColumn("before", F.lit(0).cast("long"))
+
+    share = F.coalesce(F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
+    fine = F.least(F.floor(share * (COARSE * FINE)), F.lit(COARSE * FINE - 1))
+    placed = attach(rows, ranges.drop("n"), group, bound=bound, spread=["x"]).withColumn("fine", fine)
+    placed = placed.withColumn("coarse", F.floor(F.col("fine") / FINE)).drop("lo", "hi")
+
+    targets = _narrow(targets, placed.groupBy(*group, "coarse").agg(F.sum("c").alias("c")), group, "coarse")
+    for column, on, step in (("coarse", [*group, "coarse"], "fine"), ("fine", [*group, "coarse", "fine"], "x")):
+        # At most two bins per percentile and group.
+        wanted = targets.groupBy(*group).agg(F.collect_set(column).alias("__bins"))
+        near = attach(placed, wanted, group, bound=bound, spread=["x"])
+        near = near.where(F.array_contains("__bins", F.col(column)))
+        targets = _narrow(targets, near.groupBy(*on, step).agg(F.sum("c").alias("c")), on, step)
+
+    def end(side: int):
+        return F.max(F.when(F.col("side") == side, F.col("x")))
+
+    ends = targets.groupBy(*group, "n", "p", "place").agg(end(0).alias("x0"), end(1).alias("x1"))
+    x = F.col("x0") + (F.col("x1") - F.col("x0")) * (F.col("place") - F.floor("place"))
     return ends.select(*keys, "p", "n", x.alias("x"))
 
 

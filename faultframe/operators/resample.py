@@ -36,9 +36,15 @@ def resample(samples: DataFrame, fs: float, channels, key="flight_id", time="t",
         .withColumn("chunk", F.floor(F.col("t") / F.lit(chunk_points / fs)))
         .repartition(key, "chunk")
     )
-    heads = rows.groupBy(key, "chunk").agg(
-        F.min_by(here, F.struct(*order)).alias("head"), F.max("t").alias("last_t")
-    ).withColumn("block", F.floor(F.col("chunk") / FAN))
+    if tie:
+        first = [F.min_by(here, F.struct(*order)).alias("head")]
+    else:
+        # Plain values keep this a hash aggregate; a struct would need a sort.
+        first = [F.min("t").alias("t"), *[F.min_by(c, "t").alias(c) for c in channels]]
+    heads = rows.groupBy(key, "chunk").agg(*first, F.max("t").alias("last_t"))
+    heads = heads.select(
+        key, "chunk", (F.col("head") if tie else here).alias("head"), "last_t", F.floor(F.col("chunk") / FAN).alias("block")
+    )
     blocks = heads.groupBy(key, "block").agg(
         F.min_by("head", "chunk").alias("head"), F.min("head.t").alias("first_t"), F.max("last_t").alias("last_t")
     )
@@ -89,7 +95,7 @@ def resample_trajectory(positions: DataFrame, sizes: DataFrame, columns, chunk:
     """
     indexed = row_index(positions.select(key, time, *columns), [key], [time], chunk, out="j", total="length")
     lengths = positions.groupBy(key).agg(F.count(F.lit(1)).alias("length"))
-    targets = explode_range(lengths.join(sizes, key), F.lit(0), F.col("n_points") - 1, "i")
+    targets = explode_range(lengths.join(sizes, key), F.lit(0), F.col("n_points") - 1, "i", keys=[key])
     i, length, n_points = F.col("i"), F.col("length"), F.col("n_points")
     stretch = (length - 1).cast("double") / F.when(n_points > 1, n_points - 1)
     j = (

@@ -32,7 +32,7 @@ def sliding_windows(grid: DataFrame, length: int, step: int) -> DataFrame:
 
 def window_centres(spans: DataFrame, length: int, step: int, key="flight_id") -> DataFrame:
     """One row per window with the time of its middle point, from flight spans alone."""
-    windows = explode_range(spans, F.lit(0), window_count(F.col("n"), length, step) - 1, "w")
+    windows = explode_range(spans, F.lit(0), window_count(F.col("n"), length, step) - 1, "w", keys=[key])
     middle = F.col("w") * step + length // 2
     return windows.withColumn("t", grid_time(middle, F.col("n"), F.col("t0"), F.col("t1")))
 

@@ -2,40 +2,53 @@
 
 from pyspark.sql import DataFrame
 
-from ..operators.features import all_features, wide_features
+from ..operators.features import all_features, wide_features, wide_window_series
 from ..operators.resample import flight_spans, resample
 from ..operators.scaling import channel_stats, normalise, to_long
-from ..operators.windows import dropped_flights, fault_type_ids, sliding_windows, window_labels, window_shape
+from ..operators.windows import (
+    dropped_flights,
+    fault_type_ids,
+    sliding_windows,
+    window_centres,
+    window_labels,
+    window_shape,
+)
 from ..settings import STEP_SEC, TARGET_FS, WIN_SEC
 from ..sources.dataset import Dataset
 
 
-def normalised_windows(samples: DataFrame, channels, stats=None, fs=TARGET_FS, win=WIN_SEC, step=STEP_SEC) -> DataFrame:
-    """(flight_id, w, i, channel, value) of wide recordings; statistics of all flights unless given."""
+def cut_windows(samples: DataFrame, channels, stats=None, fs=TARGET_FS, win=WIN_SEC, step=STEP_SEC) -> DataFrame:
+    """(flight_id, w, i, channels): normalised windows of wide recordings; statistics of all flights unless given.
+
+    Without `stats` the recordings are resampled twice, once for the statistics; store them when they are reused.
+    """
     grid = resample(samples, fs, channels)
     scaled = normalise(grid, channel_stats(grid, channels) if stats is None else stats, channels)
-    cut = sliding_windows(scaled, *window_shape(win, step, fs))
-    return to_long(cut, ["flight_id", "w", "i"], channels)
+    return sliding_windows(scaled, *window_shape(win, step, fs)).select("flight_id", "w", "i", *channels)
+
+
+def normalised_windows(samples: DataFrame, channels, stats=None, fs=TARGET_FS, win=WIN_SEC, step=STEP_SEC) -> DataFrame:
+    """(flight_id, w, i, channel, value): the same in long form."""
+    return to_long(cut_windows(samples, channels, stats, fs, win, step), ["flight_id", "w", "i"], channels)
 
 
 def prepare(samples: DataFrame, flight_labels: DataFrame, channels, fs=TARGET_FS, win=WIN_SEC, step=STEP_SEC) -> Dataset:
     """The whole preparation: windows, window labels, statistics and type ids."""
-    grid = resample(samples, fs, channels)
-    stats = channel_stats(grid, channels)
-    shape = window_shape(win, step, fs)
-    windows = to_long(sliding_windows(normalise(grid, stats, channels), *shape), ["flight_id", "w", "i"], channels)
-    gone = dropped_flights(flight_spans(samples, fs), *shape)
-    present = flight_labels.join(gone, "flight_id", "left_anti")
+    stats = channel_stats(resample(samples, fs, channels), channels)
+    windows = normalised_windows(samples, channels, stats, fs, win, step)
+    spans, shape = flight_spans(samples, fs), window_shape(win, step, fs)
+    present = flight_labels.join(dropped_flights(spans, *shape), "flight_id", "left_anti")
     types = fault_type_ids(present)
-    keys = windows.select("flight_id", "w").distinct()
-    return Dataset(windows, window_labels(keys, present, types), stats, types)
+    # The list of windows follows from the flights' spans; the windows need not be built for it.
+    listed = window_centres(spans, *shape).select("flight_id", "w")
+    return Dataset(windows, window_labels(listed, present, types), stats, types)
 
 
 def window_features(samples: DataFrame, channels, stats=None, fs=TARGET_FS, win=WIN_SEC, step=STEP_SEC) -> DataFrame:
     """One wide feature row per window."""
-    windows = normalised_windows(samples, channels, stats, fs, win, step)
+    series = wide_window_series(cut_windows(samples, channels, stats, fs, win, step), channels)
     length, _ = window_shape(win, step, fs)
-    return wide_features(all_features(windows, length, fs), channels)
+    return wide_features(all_features(series, length, fs), channels)
 
 
 def labelled_features(features: DataFrame, labels: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Windows of one flight that share a file.
-WINDOWS_PER_FILE = 4096
+WINDOWS_PER_FILE = 256
 
 
 @dataclass

@@ -82,7 +82,7 @@ def test_equal_peaks_take_the_lowest_frequency(spark):
 
 def test_single_shuffle_features_equal_the_parts(spark):
     windows = windows_of(spark, signals())
-    whole = by_channel(feat.all_features(windows, 100, FS))
+    whole = by_channel(feat.all_features(feat.window_series(windows), 100, FS))
     parts = by_channel(feat.combine_features(feat.time_features(windows), feat.freq_features(feat.window_series(windows), 100, FS)))
     assert whole.keys() == parts.keys()
     for name in whole:
@@ -91,13 +91,24 @@ def test_single_shuffle_features_equal_the_parts(spark):
 
 
 def test_all_features_shuffle_once(spark):
-    plan = feat.all_features(windows_of(spark, signals()), 100, FS)._jdf.queryExecution().executedPlan().toString()
+    plan = feat.all_features(feat.window_series(windows_of(spark, signals())), 100, FS)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_wide_series_equal_long_series(spark):
+    x = signals()
+    wide = spark.createDataFrame(
+        [("f", w, i, float(x["noise"][i] + w), float(x["sine"][i])) for w in range(3) for i in range(100)],
+        "flight_id string, w long, i int, noise double, sine double",
+    ).repartition(5)
+    long = wide.unpivot(["flight_id", "w", "i"], ["noise", "sine"], "channel", "value")
+    a, b = feat.wide_window_series(wide, ["noise", "sine"]), feat.window_series(long)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
 def test_wide_features_name_columns_by_channel(spark):
     windows = windows_of(spark, signals())
-    wide = feat.wide_features(feat.all_features(windows, 100, FS), ["flat", "absent"])
+    wide = feat.wide_features(feat.all_features(feat.window_series(windows), 100, FS), ["flat", "absent"])
     row = wide.first().asDict()
     assert len(row) == 2 + 2 * 14
     assert row["flat_mean"] == 3.0 and row["flat_skew"] == 0.0 and row["absent_rms"] == 0.0
