@@ -2,14 +2,19 @@
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.numeric import ratio
+from .windows import window_count
 
 KEYS = ("flight_id", "w", "channel")
 
 TIME_FEATURES = ("mean", "std", "min", "max", "ptp", "rms", "skew", "kurt")
 FREQ_FEATURES = ("power_total", "power_low", "power_mid", "power_high", "f_peak", "psd_peak")
+ALL_FEATURES = TIME_FEATURES + FREQ_FEATURES
+
+# Consecutive windows of a flight that are described together.
+WINDOWS_PER_BLOCK = 256
 
 # Inner edges of the frequency bands in Hz.
 LOW_EDGE, MID_EDGE = 5.0, 20.0
@@ -35,27 +40,6 @@ def time_features(windows: DataFrame, names=TIME_FEATURES, keys=KEYS) -> DataFra
     return windows.groupBy(*keys).agg(*[exprs[n].alias(n) for n in names])
 
 
-def _series():
-    """The window's values in order of position; a group never exceeds the window length."""
-    return F.sort_array(F.collect_list(F.struct("i", "value"))).getField("value")
-
-
-def window_series(windows: DataFrame, keys=KEYS) -> DataFrame:
-    """(keys, xs) of long window rows."""
-    return windows.groupBy(*keys).agg(_series().alias("xs"))
-
-
-def wide_window_series(cut: DataFrame, channels) -> DataFrame:
-    """(flight_id, w, channel, xs) of wide window rows (flight_id, w, i, channels).
-
-    The samples of a window travel as one row for all channels and are split by channel after the shuffle.
-    """
-    samples = F.sort_array(F.collect_list(F.struct("i", *channels))).alias("samples")
-    grouped = cut.groupBy("flight_id", "w").agg(samples)
-    series = [F.struct(F.lit(c).alias("channel"), F.col(f"samples.{c}").alias("xs")) for c in channels]
-    return grouped.select("flight_id", "w", F.inline(F.array(*series)))
-
-
 def band_weights(length: int, fs: float, fmin: float, fmax: float) -> np.ndarray:
     """Trapezoid weight of each spectrum bin for the band [fmin, fmax]."""
     freqs = np.fft.rfftfreq(length, d=1.0 / fs)
@@ -76,18 +60,58 @@ def bands(fs: float) -> dict[str, tuple[float, float]]:
     }
 
 
-def power_spectrum(series: DataFrame, length: int, fs: float, keys=KEYS) -> DataFrame:
-    """(keys, bin, freq, psd): one-sided, untapered power spectrum of each window."""
-
-    @F.arrow_udf(T.ArrayType(T.DoubleType()))
-    def psd(xs: pa.Array) -> pa.Array:
-        power = np.abs(np.fft.rfft(_block(xs, length), axis=1)) ** 2 / length
-        offsets = np.arange(len(xs) + 1, dtype=np.int32) * power.shape[1]
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(power.ravel()))
+def _per_block(grid: DataFrame, channels, length: int, step: int, describe, schema: str) -> DataFrame:
+    """Run `describe(first window, {channel: windows x length matrix})` on blocks of consecutive windows.
 
-    spectra = series.select(*keys, psd("xs").alias("p"))
-    bins = spectra.select(*keys, F.posexplode("p").alias("bin", "psd"))
-    return bins.select(*keys, "bin", (F.col("bin") * F.lit(float(fs)) / F.lit(length)).alias("freq"), "psd")
+    A grid point goes to the one or two blocks whose windows hold it, so the shuffle moves the grid about once,
+    however much the windows overlap, and a block has a bounded number of points. The table it returns lacks only
+    the flight.
+    """
+    channels = list(channels)
+    span = WINDOWS_PER_BLOCK * step
+    k = F.col("k")
+    count = window_count(F.col("n"), length, step)
+    low = F.greatest(F.lit(0).cast("long"), F.floor((k - (span - step + length)) / F.lit(span)) + 1)
+    high = F.least(F.floor(k / F.lit(span)), F.floor((count - 1) / F.lit(WINDOWS_PER_BLOCK)))
+    placed = grid.select("flight_id", "k", count.alias("windows"), low.alias("lo"), high.alias("hi"), *channels)
+    placed = placed.where("lo <= hi").withColumn("block", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        flight, first = key[0], key[1].as_py() * WINDOWS_PER_BLOCK
+        table = table.sort_by("k")
+        here = min(WINDOWS_PER_BLOCK, table["windows"][0].as_py() - first)
+        cells = np.arange(here)[:, None] * step + np.arange(length)
+        found = describe(first, {c: table[c].to_numpy()[cells] for c in channels})
+        flights = pa.array([flight.as_py()] * found.num_rows, pa.string())
+        return found.add_column(0, "flight_id", flights)
+
+    return placed.groupBy("flight_id", "block").applyInArrow(run, f"flight_id string, {schema}")
+
+
+def _stacked(first: int, parts: dict[str, dict]) -> pa.Table:
+    """Long rows (w, channel, columns) of the columns found per channel."""
+    tables = []
+    for channel, columns in parts.items():
+        size = len(next(iter(columns.values())))
+        ids = {"w": pa.array(np.arange(first, first + size)), "channel": pa.array([channel] * size, pa.string())}
+        tables.append(pa.table({**ids, **columns}))
+    return pa.concat_tables(tables)
+
+
+def power_spectrum(grid: DataFrame, channels, length: int, step: int, fs: float) -> DataFrame:
+    """(keys, bin, freq, psd): one-sided, untapered power spectrum of each window of a normalised grid."""
+
+    def describe(first: int, blocks: dict) -> pa.Table:
+        parts = {}
+        for channel, block in blocks.items():
+            power = _power(block)
+            offsets = pa.array(np.arange(len(power) + 1, dtype=np.int32) * power.shape[1])
+            parts[channel] = {"p": pa.ListArray.from_arrays(offsets, pa.array(power.ravel()))}
+        return _stacked(first, parts)
+
+    spectra = _per_block(grid, channels, length, step, describe, "w long, channel string, p array<double>")
+    bins = spectra.select(*KEYS, F.posexplode("p").alias("bin", "psd"))
+    return bins.select(*KEYS, "bin", (F.col("bin") * F.lit(float(fs)) / F.lit(length)).alias("freq"), "psd")
 
 
 def band_power(spectrum: DataFrame, length: int, fs: float, fmin: float, fmax: float, out="power", keys=KEYS) -> DataFrame:
@@ -113,55 +137,67 @@ def spectral_peak(spectrum: DataFrame, keys=KEYS) -> DataFrame:
     )
 
 
-def _block(xs: pa.Array, length: int) -> np.ndarray:
-    return xs.flatten().to_numpy(zero_copy_only=False).reshape(len(xs), length)
+def _power(block: np.ndarray) -> np.ndarray:
+    return np.abs(np.fft.rfft(block, axis=1)) ** 2 / block.shape[1]
 
 
-def _spectral_columns(block: np.ndarray, fs: float) -> list[np.ndarray]:
+def _spectral_columns(block: np.ndarray, fs: float) -> list[pa.Array]:
     length = block.shape[1]
-    power = np.abs(np.fft.rfft(block, axis=1)) ** 2 / length
+    power = _power(block)
     weights = np.stack([band_weights(length, fs, lo, hi) for lo, hi in bands(fs).values()], axis=1)
     peak = power.argmax(axis=1)
-    return [*(power @ weights).T, np.fft.rfftfreq(length, d=1.0 / fs)[peak], power[np.arange(len(power)), peak]]
+    found = [*(power @ weights).T, np.fft.rfftfreq(length, d=1.0 / fs)[peak], power[np.arange(len(power)), peak]]
+    return [pa.array(v) for v in found]
 
 
-def _time_columns(block: np.ndarray) -> list[np.ndarray]:
+def _time_columns(block: np.ndarray) -> list[pa.Array]:
     mean, low, high = block.mean(axis=1), block.min(axis=1), block.max(axis=1)
     off = block - mean[:, None]
-    var = (off**2).mean(axis=1)
+    square = off * off
+    var = square.mean(axis=1)
     flat = high == low
     safe = np.where(flat, 1.0, var)
-    shape = [(off**3).mean(axis=1) / safe**1.5, (off**4).mean(axis=1) / safe**2 - 3.0]
-    rms = np.sqrt((block**2).mean(axis=1))
-    return [mean, np.sqrt(var), low, high, high - low, rms, *[pa.array(v, mask=flat) for v in shape]]
+    shape = [(square * off).mean(axis=1) / safe**1.5, (square * square).mean(axis=1) / safe**2 - 3.0]
+    rms = np.sqrt((block * block).mean(axis=1))
+    found = [mean, np.sqrt(var), low, high, high - low, rms]
+    return [*[pa.array(v) for v in found], *[pa.array(v, mask=flat) for v in shape]]
+
+
+def _columns(block: np.ndarray, fs: float) -> dict[str, pa.Array]:
+    return dict(zip(ALL_FEATURES, [*_time_columns(block), *_spectral_columns(block, fs)]))
 
 
-def _described(series: DataFrame, names, columns_of, length: int, keys) -> DataFrame:
-    """Apply a vectorised description of equally long series, one Arrow batch at a time."""
+def window_features(grid: DataFrame, channels, length: int, step: int, fs: float, names=ALL_FEATURES) -> DataFrame:
+    """(keys, names): any of the fourteen features of each window and channel of a normalised grid."""
 
-    @F.arrow_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in names]))
-    def describe(xs: pa.Array) -> pa.Array:
-        return pa.StructArray.from_arrays([pa.array(v) for v in columns_of(_block(xs, length))], names=list(names))
+    def describe(first: int, blocks: dict) -> pa.Table:
+        found = {c: _columns(block, fs) for c, block in blocks.items()}
+        return _stacked(first, {c: {n: columns[n] for n in names} for c, columns in found.items()})
 
-    return series.select(*keys, describe("xs").alias("f")).select(*keys, *[f"f.{n}" for n in names])
+    schema = "w long, channel string, " + ", ".join(f"`{n}` double" for n in names)
+    return _per_block(grid, channels, length, step, describe, schema)
 
 
-def freq_features(series: DataFrame, length: int, fs: float, keys=KEYS) -> DataFrame:
-    """The six spectral features of each series."""
-    return _described(series, FREQ_FEATURES, lambda block: _spectral_columns(block, fs), length, keys)
+def wide_window_features(grid: DataFrame, channels, length: int, step: int, fs: float) -> DataFrame:
+    """(flight_id, w, <channel>_<feature>): one row per window; undefined statistics are 0."""
 
+    def describe(first: int, blocks: dict) -> pa.Table:
+        columns = {}
+        for channel, block in blocks.items():
+            columns.setdefault("w", pa.array(np.arange(first, first + len(block))))
+            for name, values in _columns(block, fs).items():
+                columns[f"{channel}_{name}"] = values.fill_null(0.0)
+        return pa.table(columns)
 
-def all_features(series: DataFrame, length: int, fs: float, keys=KEYS) -> DataFrame:
-    """All fourteen features of each series; no further shuffle once the series exist."""
-    names = TIME_FEATURES + FREQ_FEATURES
-    return _described(series, names, lambda block: [*_time_columns(block), *_spectral_columns(block, fs)], length, keys)
+    schema = "w long, " + ", ".join(f"`{c}_{n}` double" for c in channels for n in ALL_FEATURES)
+    return _per_block(grid, channels, length, step, describe, schema)
 
 
 def combine_features(time_part: DataFrame, freq_part: DataFrame, keys=KEYS) -> DataFrame:
     return time_part.join(freq_part, list(keys))
 
 
-def wide_features(features: DataFrame, channels, names=TIME_FEATURES + FREQ_FEATURES) -> DataFrame:
+def wide_features(features: DataFrame, channels, names=ALL_FEATURES) -> DataFrame:
     """One row per window, columns `<channel>_<feature>`; missing statistics become 0."""
     pivoted = features.groupBy("flight_id", "w").pivot("channel", list(channels)).agg(
         *[F.first(n).alias(n) for n in names]

@@ -34,7 +34,8 @@ def resample(samples: DataFrame, fs: float, channels, key="flight_id", time="t",
     rows = (
         samples.select(key, F.col(time).alias("t"), *tie, *channels)
         .withColumn("chunk", F.floor(F.col("t") / F.lit(chunk_points / fs)))
-        .repartition(key, "chunk")
+        # A fixed number of partitions: sparse recordings are small here and grow on the grid.
+        .repartition(int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "chunk")
     )
     if tie:
         first = [F.min_by(here, F.struct(*order)).alias("head")]

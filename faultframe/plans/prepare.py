@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame
 
-from ..operators.features import all_features, wide_features, wide_window_series
+from ..operators.features import wide_window_features
 from ..operators.resample import flight_spans, resample
 from ..operators.scaling import channel_stats, normalise, to_long
 from ..operators.windows import (
@@ -17,19 +17,19 @@ from ..settings import STEP_SEC, TARGET_FS, WIN_SEC
 from ..sources.dataset import Dataset
 
 
-def cut_windows(samples: DataFrame, channels, stats=None, fs=TARGET_FS, win=WIN_SEC, step=STEP_SEC) -> DataFrame:
-    """(flight_id, w, i, channels): normalised windows of wide recordings; statistics of all flights unless given.
+def normalised_grid(samples: DataFrame, channels, stats=None, fs=TARGET_FS) -> DataFrame:
+    """(flight_id, k, n, t, channels): resampled and scaled recordings; statistics of all flights unless given.
 
     Without `stats` the recordings are resampled twice, once for the statistics; store them when they are reused.
     """
     grid = resample(samples, fs, channels)
-    scaled = normalise(grid, channel_stats(grid, channels) if stats is None else stats, channels)
-    return sliding_windows(scaled, *window_shape(win, step, fs)).select("flight_id", "w", "i", *channels)
+    return normalise(grid, channel_stats(grid, channels) if stats is None else stats, channels)
 
 
 def normalised_windows(samples: DataFrame, channels, stats=None, fs=TARGET_FS, win=WIN_SEC, step=STEP_SEC) -> DataFrame:
-    """(flight_id, w, i, channel, value): the same in long form."""
-    return to_long(cut_windows(samples, channels, stats, fs, win, step), ["flight_id", "w", "i"], channels)
+    """(flight_id, w, i, channel, value): the windows as long rows."""
+    cut = sliding_windows(normalised_grid(samples, channels, stats, fs), *window_shape(win, step, fs))
+    return to_long(cut, ["flight_id", "w", "i"], channels)
 
 
 def prepare(samples: DataFrame, flight_labels: DataFrame, channels, fs=TARGET_FS, win=WIN_SEC, step=STEP_SEC) -> Dataset:
@@ -46,9 +46,7 @@ def prepare(samples: DataFrame, flight_labels: DataFrame, channels, fs=TARGET_FS
 
 def window_features(samples: DataFrame, channels, stats=None, fs=TARGET_FS, win=WIN_SEC, step=STEP_SEC) -> DataFrame:
     """One wide feature row per window."""
-    series = wide_window_series(cut_windows(samples, channels, stats, fs, win, step), channels)
-    length, _ = window_shape(win, step, fs)
-    return wide_features(all_features(series, length, fs), channels)
+    return wide_window_features(normalised_grid(samples, channels, stats, fs), channels, *window_shape(win, step, fs), fs)
 
 
 def labelled_features(features: DataFrame, labels: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import features as feat
 from ..settings import TARGET_FS
 from .catalog import query, r, rounded
-from .queries_prepare import LENGTH, norm_windows, series
+from .queries_prepare import CHANNELS, LENGTH, STEP, norm_grid, norm_windows
 
 KEYS = "flight_id, w, channel"
 TIME = ("mean", "std", "min", "max", "ptp", "rms", "skew", "kurt")
@@ -29,7 +29,7 @@ _time_query("t8_time_features", TIME)
 
 
 def spectrum(spark, sf):
-    return feat.power_spectrum(series(spark, sf), LENGTH, TARGET_FS)
+    return feat.power_spectrum(norm_grid(spark, sf), CHANNELS, LENGTH, STEP, TARGET_FS)
 
 
 @query("f1_power_spectrum", f"SELECT {KEYS}, bin, freq, {r('psd')} FROM spectrum")
@@ -60,7 +60,7 @@ def f4(spark, sf):
     f"""SELECT {KEYS}, {r(*feat.FREQ_FEATURES)} FROM powers JOIN peaks USING ({KEYS})""",
 )
 def f5(spark, sf):
-    return rounded(feat.freq_features(series(spark, sf), LENGTH, TARGET_FS))
+    return rounded(feat.window_features(norm_grid(spark, sf), CHANNELS, LENGTH, STEP, TARGET_FS, feat.FREQ_FEATURES))
 
 
 @query(
@@ -69,7 +69,7 @@ def f5(spark, sf):
         FROM time_feats JOIN powers USING ({KEYS}) JOIN peaks USING ({KEYS})""",
 )
 def f6(spark, sf):
-    return rounded(feat.all_features(series(spark, sf), LENGTH, TARGET_FS))
+    return rounded(feat.window_features(norm_grid(spark, sf), CHANNELS, LENGTH, STEP, TARGET_FS))
 
 
 @query(
@@ -78,9 +78,8 @@ def f6(spark, sf):
         FROM time_feats JOIN powers USING ({KEYS}) JOIN peaks USING ({KEYS})""",
 )
 def f6_parts(spark, sf):
-    windows = norm_windows(spark, sf)
-    freq = feat.freq_features(feat.window_series(windows), LENGTH, TARGET_FS)
-    return rounded(feat.combine_features(feat.time_features(windows), freq))
+    freq = feat.window_features(norm_grid(spark, sf), CHANNELS, LENGTH, STEP, TARGET_FS, feat.FREQ_FEATURES)
+    return rounded(feat.combine_features(feat.time_features(norm_windows(spark, sf)), freq))
 
 
 @query("f7_window_means", f"SELECT {KEYS}, {r('avg(value) AS mean')} FROM win GROUP BY {KEYS}")

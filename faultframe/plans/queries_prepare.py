@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import binary_fault, decoded_fault_name, drone_id, fault_name
 from ..operators import scaling, splits, windows as win
-from ..operators.features import wide_window_series
 from ..operators.models import feature_columns
 from ..operators.ordered import row_index
 from ..operators.resample import flight_spans, resample, resample_trajectory
@@ -14,7 +13,7 @@ from ..session import shared_folder
 from ..settings import DEMO_WINDOWS, STEP_SEC, TARGET_FS, WIN_SEC
 from ..sources import dataset, flights, views
 from .catalog import query, r, rounded
-from .prepare import cut_windows, normalised_windows, prepare, window_features
+from .prepare import normalised_grid, normalised_windows, prepare, window_features
 
 CHANNELS = views.CHANNELS
 LENGTH, STEP = win.window_shape(WIN_SEC, STEP_SEC, TARGET_FS)
@@ -37,9 +36,8 @@ def norm_windows(spark, sf):
     return normalised_windows(views.raw(spark, sf), CHANNELS)
 
 
-def series(spark, sf):
-    """(flight_id, w, channel, xs) of the normalised windows."""
-    return wide_window_series(cut_windows(views.raw(spark, sf), CHANNELS), CHANNELS)
+def norm_grid(spark, sf):
+    return normalised_grid(views.raw(spark, sf), CHANNELS)
 
 
 def spans(spark, sf):

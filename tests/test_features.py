@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from faultframe.operators import features as feat
+from faultframe.operators.windows import sliding_windows
 
 FS = 100.0
 
@@ -44,11 +45,22 @@ def test_time_features(spark):
     assert found["flat"]["skew"] is None and found["flat"]["kurt"] is None
 
 
+def grid_of(spark, signals, n=None, flight="f"):
+    names = list(signals)
+    n = n or len(next(iter(signals.values())))
+    rows = [(flight, k, n, *[float(signals[c][k]) for c in names]) for k in range(n)]
+    return spark.createDataFrame(rows, "flight_id string, k long, n long, " + ", ".join(f"{c} double" for c in names))
+
+
+def one_window(spark, x):
+    """A grid that holds exactly one window, the given signals."""
+    return grid_of(spark, {c: np.append(v, 0.0) for c, v in x.items()})
+
+
 @pytest.mark.parametrize("n", [100, 101])
 def test_spectrum_equals_rfft(spark, n):
     x = signals(n)
-    windows = windows_of(spark, x)
-    spectrum = feat.power_spectrum(feat.window_series(windows), n, FS).toPandas()
+    spectrum = feat.power_spectrum(one_window(spark, x), list(x), n, n, FS).toPandas()
     for name, v in x.items():
         part = spectrum[spectrum.channel == name].sort_values("bin")
         assert np.allclose(part.psd, np.abs(np.fft.rfft(v)) ** 2 / n, atol=1e-10)
@@ -57,18 +69,42 @@ def test_spectrum_equals_rfft(spark, n):
 
 def test_bands_and_peaks(spark):
     x = signals()
-    windows = windows_of(spark, x)
-    found = by_channel(feat.freq_features(feat.window_series(windows), 100, FS))
+    found = by_channel(feat.window_features(one_window(spark, x), list(x), 100, 50, FS))
+    spectrum = feat.power_spectrum(one_window(spark, x), list(x), 100, 50, FS)
+    powers = by_channel(feat.band_powers(spectrum, 100, FS))
     freqs = np.fft.rfftfreq(100, 1 / FS)
     for name, v in x.items():
         psd = np.abs(np.fft.rfft(v)) ** 2 / 100
         for band, (lo, hi) in feat.bands(FS).items():
             inside = (freqs >= lo) & (freqs <= hi)
-            assert found[name][band] == pytest.approx(np.trapezoid(psd[inside], freqs[inside]), abs=1e-9)
+            expected = np.trapezoid(psd[inside], freqs[inside])
+            assert found[name][band] == pytest.approx(expected, abs=1e-9)
+            assert powers[name][band] == pytest.approx(expected, abs=1e-9)
         parts = [found[name][b] for b in ("power_low", "power_mid", "power_high")]
         assert sum(parts) == pytest.approx(found[name]["power_total"], abs=1e-9)
     assert found["sine"]["f_peak"] == 10 and found["sine"]["power_mid"] > 0.9 * found["sine"]["power_total"]
     assert found["flip"]["f_peak"] == 50 and found["flat"]["f_peak"] == 0
+    assert found["flat"]["skew"] is None and found["flat"]["kurt"] is None
+
+
+@pytest.mark.parametrize("per_block", [1, 3, 256])
+@pytest.mark.parametrize("length, step", [(20, 10), (20, 7), (5, 12)])
+def test_block_features_equal_aggregates_of_cut_windows(spark, monkeypatch, per_block, length, step):
+    monkeypatch.setattr(feat, "WINDOWS_PER_BLOCK", per_block)
+    rng = np.random.default_rng(4)
+    grid = grid_of(spark, {"a": rng.normal(size=143), "b": rng.normal(size=143)}).unionByName(
+        grid_of(spark, {"a": rng.normal(size=length), "b": rng.normal(size=length)}, flight="short")
+    )
+    cut = sliding_windows(grid, length, step).unpivot(["flight_id", "w", "i"], ["a", "b"], "channel", "value")
+    keys = ["flight_id", "w", "channel"]
+    expected = feat.time_features(cut).toPandas().sort_values(keys)
+    found = feat.window_features(grid.repartition(5), ["a", "b"], length, step, FS).toPandas().sort_values(keys)
+    assert found[keys].to_numpy().tolist() == expected[keys].to_numpy().tolist() and len(found)
+    for name in feat.TIME_FEATURES:
+        assert np.allclose(found[name].astype(float), expected[name].astype(float), atol=1e-9)
+    wide = feat.wide_window_features(grid, ["a", "b"], length, step, FS).toPandas().sort_values(["flight_id", "w"])
+    assert np.allclose(wide["b_rms"], found[found.channel == "b"].rms)
+    assert np.allclose(wide["a_power_total"], found[found.channel == "a"].power_total)
 
 
 def test_equal_peaks_take_the_lowest_frequency(spark):
@@ -80,38 +116,20 @@ def test_equal_peaks_take_the_lowest_frequency(spark):
     assert (row.f_peak, row.psd_peak) == (1.0, 5.0)
 
 
-def test_single_shuffle_features_equal_the_parts(spark):
-    windows = windows_of(spark, signals())
-    whole = by_channel(feat.all_features(feat.window_series(windows), 100, FS))
-    parts = by_channel(feat.combine_features(feat.time_features(windows), feat.freq_features(feat.window_series(windows), 100, FS)))
-    assert whole.keys() == parts.keys()
-    for name in whole:
-        for column, value in whole[name].items():
-            assert value == parts[name][column] or value == pytest.approx(parts[name][column])
-
-
-def test_all_features_shuffle_once(spark):
-    plan = feat.all_features(feat.window_series(windows_of(spark, signals())), 100, FS)._jdf.queryExecution().executedPlan().toString()
+def test_features_shuffle_once(spark):
+    x = signals()
+    plan = feat.window_features(one_window(spark, x), list(x), 100, 50, FS)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
 
 
-def test_wide_series_equal_long_series(spark):
+def test_long_features_pivot_to_named_columns(spark):
     x = signals()
-    wide = spark.createDataFrame(
-        [("f", w, i, float(x["noise"][i] + w), float(x["sine"][i])) for w in range(3) for i in range(100)],
-        "flight_id string, w long, i int, noise double, sine double",
-    ).repartition(5)
-    long = wide.unpivot(["flight_id", "w", "i"], ["noise", "sine"], "channel", "value")
-    a, b = feat.wide_window_series(wide, ["noise", "sine"]), feat.window_series(long)
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
-
-
-def test_wide_features_name_columns_by_channel(spark):
-    windows = windows_of(spark, signals())
-    wide = feat.wide_features(feat.all_features(feat.window_series(windows), 100, FS), ["flat", "absent"])
-    row = wide.first().asDict()
+    long = feat.window_features(one_window(spark, x), list(x), 100, 50, FS)
+    row = feat.wide_features(long, ["flat", "absent"]).first().asDict()
     assert len(row) == 2 + 2 * 14
     assert row["flat_mean"] == 3.0 and row["flat_skew"] == 0.0 and row["absent_rms"] == 0.0
+    direct = feat.wide_window_features(one_window(spark, x), ["flat"], 100, 50, FS).first().asDict()
+    assert direct["flat_mean"] == 3.0 and direct["flat_kurt"] == 0.0 and len(direct) == 16
 
 
 def test_flattened_window(spark):
