@@ -1,4 +1,4 @@
-"""Every registered query on the smallest tables, against its SQL where there is one."""
+"""Every registered query that has an oracle, on the smallest tables. The others are tested by their properties."""
 
 import functools
 
@@ -15,13 +15,10 @@ def connection():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(registered()))
+@pytest.mark.parametrize("name", sorted(oracles()))
 def test_query(spark, name):
     frame = registered()[name](spark, SF).toPandas()
-    if name in oracles():
-        assert differences(frame, connection().execute(oracles()[name]).df()) == []
-    else:
-        assert len(frame)
+    assert differences(frame, connection().execute(oracles()[name]).df()) == []
 
 
 def test_every_oracle_has_a_query():
