@@ -135,7 +135,8 @@ def g10_status(spark, sf):
 def g10_windows(spark, sf):
     schema = views.table(spark, sf, "events").schema
     folder = fresh_folder(spark)
-    stream = live.read_stream(spark, sf, schema, "events.parquet")
+    # As a glob the path may be one file or a folder of files.
+    stream = live.read_stream(spark, f"{sf}/events.parquet*", schema)
     events = views.flight_key(stream).select("flight_id", live.event_time(F.col("ts")).alias("ts"), "value")
     found = live.live_windows(events, "90000 seconds", "45000 seconds", "90000 seconds")
     live.run_available(found, folder)
