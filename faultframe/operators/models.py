@@ -76,8 +76,8 @@ def fit_forest(train, columns, trees=FOREST_TREES, depth=12, seed=42) -> Pipelin
 
     def weighted(label: str) -> DataFrame:
         weights = class_weights(data, label).select(label, "weight")
-        # One weight per class of a classifier.
-        return attach(data, weights, label, bound=1000)
+        # One weight per class; the classifier itself accepts at most 100 classes.
+        return attach(data, weights, label, bound=100)
 
     common = {"featuresCol": "features", "numTrees": trees, "maxDepth": depth, "seed": seed}
     fault = RandomForestClassifier(

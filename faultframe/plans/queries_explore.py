@@ -120,7 +120,7 @@ def x6(spark, sf):
 @query("x6_class_histogram", _histogram_sql("channel, class", 30))
 def x6_class(spark, sf):
     rows = views.line_samples(spark, sf)
-    return rounded(ex.histogram(rows, ["channel"], "value", 30, bound=ITEM_CHANNELS * 1000, by=["class"]), 4)
+    return rounded(ex.histogram(rows, ["channel"], "value", 30, by=["class"]), 4)
 
 
 @query(
