@@ -70,7 +70,9 @@ class ChunkTokenizer:
         """All ids in order, and the index of each text's first id (one more entry at the end)."""
         begins = np.zeros(len(data), dtype=bool)
         begins[:-1] = _CUTS[data[:-1]] & _PLAIN[data[1:]]
-        begins[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
+        full = offsets[1:] > offsets[:-1]
+        begins[offsets[1:][full] - 1] = False  # what follows belongs to another text
+        begins[offsets[:-1][full]] = True
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(data))[: len(starts)]
         keys, seen, which = np.unique(words.hashes(data, starts, ends, lower=False), return_index=True, return_inverse=True)
