@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprints, packing, sharding
+from . import fingerprints, jaccard, packing, sharding
 
 QUERIES = {}
 ORACLES = {}
@@ -39,3 +39,8 @@ def op9_sharding(spark, sf_dir):
         "grown_shard",
     )
     return sharding.with_slots(narrow)
+
+
+@query
+def op7_jaccard_join(spark, sf_dir):
+    return jaccard.classes(table(spark, sf_dir, "documents"))
