@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprints, jaccard, packing, sharding
+from . import fingerprints, jaccard, language, packing, sharding
 
 QUERIES = {}
 ORACLES = {}
@@ -44,3 +44,10 @@ def op9_sharding(spark, sf_dir):
 @query
 def op7_jaccard_join(spark, sf_dir):
     return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(F.col("doc_id").isNotNull() & ~language.held_out()))
+    return language.predict(docs.select("doc_id", "text"), model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
