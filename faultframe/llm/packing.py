@@ -7,13 +7,16 @@ is a table of ranges, bounded by the capacity and not by the number of documents
 sequence and offset there. Spark tokenises, counts and numbers the documents of each length.
 """
 
+import base64
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.functions import pandas_udf
@@ -23,7 +26,7 @@ from .shared import slices, small_batches, stored, text_bytes
 
 CAPACITY = 2048
 END = 0
-VOCABULARY = "byte_bpe_50k.json"
+VOCABULARY = "byte_bpe_50k.tiktoken"  # the ranks of byte_bpe_50k.json, with the same ids
 # Distinct text chunks whose ids a worker remembers before it starts again; a matter of memory, not of the result.
 REMEMBERED = 1_000_000
 
@@ -45,23 +48,33 @@ class ChunkTokenizer:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
+        self.coder = tiktoken.Encoding("chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.sizes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        self.sizes[list(ranks.values())] = [len(piece) for piece in ranks]
         self.forget()
 
     def forget(self):
         self.keys, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.begin, self.ids = np.zeros(1, np.int64), np.empty(0, np.int32)
 
-    def learn(self, keys: np.ndarray, chunks: list[str]):
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        slots = len(self.begin) - 1 + np.arange(len(coded))
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
-        flat = np.fromiter((i for ids in coded for i in ids), np.int32, int(sizes.sum()))
-        self.ids = np.concatenate([self.ids, flat])
+    def coded(self, text: bytes) -> np.ndarray:
+        return self.coder.encode_to_numpy(text.decode(), disallowed_special=()).astype(np.int32)
+
+    def learn(self, keys: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray):
+        """New chunks: those that start with white space go through the tokenizer as one text, the others alone."""
+        joined = _CUTS[np.frombuffer(raw, np.uint8)[starts]]
+        order = np.argsort(~joined, kind="stable")
+        keys, starts, ends, many = keys[order], starts[order].tolist(), ends[order].tolist(), int(joined.sum())
+        sizes = np.array(ends) - np.array(starts)
+        flat = self.coded(b"".join([raw[s:e] for s, e in zip(starts[:many], ends[:many], strict=True)]))
+        parts = [flat, *[self.coded(raw[s:e]) for s, e in zip(starts[many:], ends[many:], strict=True)]]
+        flat = np.concatenate(parts)
+        # The ids of a chunk end where the bytes of its pieces end.
+        last = np.searchsorted(np.cumsum(self.sizes[flat]), np.cumsum(sizes)) + 1
+        slots = len(self.begin) - 1 + np.arange(len(keys))
+        self.begin, self.ids = np.concatenate([self.begin, self.begin[-1] + last]), np.concatenate([self.ids, flat])
         order = np.argsort(keys)
         at = np.searchsorted(self.keys, keys[order])
         self.keys, self.slots = np.insert(self.keys, at, keys[order]), np.insert(self.slots, at, slots[order])
@@ -82,8 +95,8 @@ class ChunkTokenizer:
         known = np.zeros(len(keys), dtype=bool)
         known[place < len(self.keys)] = self.keys[place[place < len(self.keys)]] == keys[place < len(self.keys)]
         if not known.all():
-            raw, new = data.tobytes(), seen[~known]
-            self.learn(keys[~known], [raw[s:e].decode() for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            new = seen[~known]
+            self.learn(keys[~known], data.tobytes(), starts[new], ends[new])
         slot = self.slots[np.searchsorted(self.keys, keys)][which] if len(keys) else np.empty(0, np.int64)
         sizes = self.begin[slot + 1] - self.begin[slot]
         total = np.concatenate([[0], np.cumsum(sizes)])
@@ -91,6 +104,12 @@ class ChunkTokenizer:
         return self.ids[take], total[np.searchsorted(starts, offsets)]
 
 
+@cache
+def coder_of(path: str) -> ChunkTokenizer:
+    """One tokenizer for all tasks of a worker."""
+    return ChunkTokenizer(path)
+
+
 def pieces(docs: DataFrame, capacity=CAPACITY, end=END, vocabulary: str | None = None, text="text") -> DataFrame:
     """Token ids of every document with `end` after them, cut into pieces of at most `capacity` ids.
 
@@ -101,7 +120,7 @@ def pieces(docs: DataFrame, capacity=CAPACITY, end=END, vocabulary: str | None =
     small_batches(docs.sparkSession)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, task = ChunkTokenizer(path), TaskContext.get().partitionId()
+        coder, task = coder_of(path), TaskContext.get().partitionId()
         met = np.zeros(capacity + 1, dtype=np.int64)
         for rows, column in slices(batches, text):
             flat, first = coder.encode(*text_bytes(column))

@@ -10,7 +10,7 @@ from faultframe.llm import packing
 
 
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
     return t
 
