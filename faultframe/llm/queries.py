@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprints, jaccard, language, packing, sharding
+from . import fingerprints, jaccard, language, packing, sharding, urls
 
 QUERIES = {}
 ORACLES = {}
@@ -51,3 +51,10 @@ def op6_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs.where(F.col("doc_id").isNotNull() & ~language.held_out()))
     return language.predict(docs.select("doc_id", "text"), model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op5_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    model = urls.fit(urls.labelled_by_rules(pages))
+    return urls.judge(pages.select("page_id", "url"), model).select("page_id", "host", "path", "rule", "verdict", "block_score")
