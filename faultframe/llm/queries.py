@@ -1,8 +1,11 @@
 """The registered queries of this package and their oracle SQL."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprints, jaccard, language, packing, sharding, urls
+from ..session import shared_folder
+from . import fingerprints, jaccard, language, packing, sharding, urls, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -58,3 +61,33 @@ def op5_url_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     model = urls.fit(urls.labelled_by_rules(pages))
     return urls.judge(pages.select("page_id", "url"), model).select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
+@query
+def op10_warc(spark, sf_dir):
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(warc.page_records(table(spark, sf_dir, "pages")), path)
+    columns = "record_id string, record_type string, refers_to string, payload_digest string, payload_length long, payload binary"
+    got = warc.read(spark, path, columns)
+    number = lambda c: F.substring(c, len("urn:page:") + 1, 20).cast("long")
+    full = F.col("record_type") == "response"
+    return got.select(
+        number("record_id").alias("page_id"),
+        F.when(full, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(full, F.sha1("payload")).otherwise(F.substring("payload_digest", len("sha1:") + 1, 40)).alias("payload_digest"),
+        "record_type",
+        number("refers_to").alias("refers_to"),
+    )
+
+
+ORACLES["op10_warc"] = """
+WITH p AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages
+), kept AS (
+    SELECT digest, n, max(page_id) AS kept FROM p WHERE n >= 1000 GROUP BY digest, n
+)
+SELECT page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.digest AS payload_digest,
+    CASE WHEN page_id < kept THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id < kept THEN kept END AS refers_to
+FROM p LEFT JOIN kept ON p.digest = kept.digest AND p.n = kept.n
+"""
