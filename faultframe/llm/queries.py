@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_folder
-from . import fingerprints, jaccard, language, packing, sharding, urls, warc
+from . import decontamination, fingerprints, jaccard, language, packing, sharding, urls, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -91,3 +91,8 @@ SELECT page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.digest AS payload_digest
     CASE WHEN page_id < kept THEN kept END AS refers_to
 FROM p LEFT JOIN kept ON p.digest = kept.digest AND p.n = kept.n
 """
+
+
+@query
+def op4_decontamination(spark, sf_dir):
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -53,17 +53,17 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bit_map(df: DataFrame, value: Column, bits: int) -> np.ndarray:
-    """2^bits bits, one set for each non-NULL 64-bit `value` by its upper bits, packed into 64-bit words.
+    """2^bits bits, packed into 64-bit words, two of them set for each non-NULL 64-bit `value`.
 
     What reaches the driver is bounded by `bits`, not by the rows. Such a map only spares a later exact join rows
     that cannot match; when it fills up, it spares fewer.
     """
-    slot = F.shiftrightunsigned(value, 64 - bits)
+    slots = F.array(F.shiftrightunsigned(value, 64 - bits), value.bitwiseAND((1 << bits) - 1))
     words = (
-        df.select(slot.alias("__slot"))
-        .where("__slot is not null")
-        .groupBy(F.shiftright("__slot", 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(__slot & 63 as int))")).alias("mask"))
+        df.where(value.isNotNull())
+        .select(F.explode(slots).alias("slot"))
+        .groupBy(F.shiftright("slot", 6).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("mask"))
         .toArrow()
     )
     table = np.zeros(1 << (bits - 6), dtype=np.int64)
@@ -74,5 +74,8 @@ def bit_map(df: DataFrame, value: Column, bits: int) -> np.ndarray:
 def in_map(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Which of the 64-bit values may be in a map made by bit_map."""
     bits = int(len(table)).bit_length() - 1 + 6
-    slot = values.view(np.uint64) >> np.uint64(64 - bits)
-    return (table[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+    values = values.view(np.uint64)
+    bit = lambda slot: (table[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+    found = bit(values >> np.uint64(64 - bits))
+    found[found] = bit(values[found] & np.uint64((1 << bits) - 1))
+    return found

@@ -9,6 +9,8 @@ SHINGLE = 5
 
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
+# Everything in ASCII but letters and digits: words between these do not depend on punctuation.
+MARKS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -27,9 +29,9 @@ _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
 _PLACES = mix(np.arange(1001, 1001 + 64, dtype=np.uint64) * _BASE) | np.uint64(1)
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(data: np.ndarray, offsets: np.ndarray, between=_SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and for each text the index of its first word (one more entry at the end)."""
-    solid = ~_SPACES[data]
+    solid = ~between[data]
     begins, ends = solid.copy(), solid.copy()
     begins[1:] &= ~solid[:-1]
     ends[:-1] &= ~solid[1:]
@@ -56,9 +58,9 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower=True) -
     return mix(np.add.reduceat(terms, firsts) + lengths.astype(np.uint64) * _BASE)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, between=_SPACES) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and the index of each text's first word (one more entry at the end)."""
-    starts, ends, first = spans(data, offsets)
+    starts, ends, first = spans(data, offsets, between)
     return hashes(data, starts, ends), first
 
 
