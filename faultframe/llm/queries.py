@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_folder
-from . import decontamination, fingerprints, jaccard, language, packing, sharding, urls, warc
+from . import decontamination, fingerprints, jaccard, language, packing, pii, sharding, urls, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -96,3 +96,9 @@ FROM p LEFT JOIN kept ON p.digest = kept.digest AND p.n = kept.n
 @query
 def op4_decontamination(spark, sf_dir):
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_pii(spark, sf_dir):
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
