@@ -33,6 +33,9 @@ _STRETCH = re.compile(r"[0-9+][0-9 ().+-]{6,}")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+# Inside runs of numbers that hold for none of the patterns as a whole: numbers written in groups, and cards alone.
+_GROUPED_PHONE = re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9])")
+_WHOLE_CARD = re.compile(r"(?<![0-9])(?:[0-9]{12,19}|(?:[0-9]{4}[ -]){3}[0-9]{4})(?![0-9])")
 _TERM = re.compile(r"[A-Za-z0-9\x80-\U0010ffff]+")
 
 
@@ -73,6 +76,28 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda x: (x[0], x[2], x[1]))
 
 
+def number_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Cards and phone numbers that the patterns lose, because other numbers stand next to them; none overlaps `known`."""
+    found = []
+    for stretch in _STRETCH.finditer(text):
+        low, high = stretch.span()
+        taken = [x[:2] for x in known if x[0] < high and low < x[1]]
+        for kind, pattern in ((3, _GROUPED_PHONE), (2, _WHOLE_CARD)):
+            for m in pattern.finditer(text, low, high):
+                digits = re.sub("[^0-9]", "", m[0])
+                good = luhn(digits) if kind == 2 else 9 <= len(digits) <= 15
+                if good and not any(s < m.end() and m.start() < e for s, e in taken):
+                    found.append((*m.span(), kind))
+                    taken.append(m.span())
+    return found
+
+
+def number_and_base_spans(text: str) -> list[tuple[int, int, int]]:
+    """Everything that is protected in itself, by start and kind."""
+    base = base_spans(text)
+    return sorted([*base, *number_spans(text, base)], key=lambda x: (x[0], x[2], x[1]))
+
+
 def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, end, kind in spans)
 
@@ -102,7 +127,7 @@ def mentions(texts: DataFrame) -> DataFrame:
         for rows, column in slices(batches, "text"):
             keys, names, places, terms = [], [], [], []
             for key, text in zip(rows.column("key").to_pylist(), column.to_pylist(), strict=True):
-                spans = base_spans(text)
+                spans = number_and_base_spans(text)
                 if not spans or key in seen:
                     continue
                 seen.add(key)
@@ -178,7 +203,7 @@ def term_spans(texts: DataFrame, alpha=ALPHA, support=SUPPORT) -> DataFrame:
             keys, places = [], []
             for i, text in enumerate(column.to_pylist()):
                 own = set(rows.column("terms")[i].as_py())
-                taken = base_spans(text)
+                taken = number_and_base_spans(text)
                 met = list(_TERM.finditer(text))
                 marked = [m.span() for m, h in zip(met, term_hashes([m[0] for m in met]).tolist(), strict=True) if h in own] if met else []
                 free, k, edge = [], 0, 0
@@ -207,7 +232,7 @@ def find(docs: DataFrame, alpha=ALPHA, support=SUPPORT) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, n_term, base, spans) for each row of `docs` (doc_id, text, any others).
 
     `base` and `spans` are comma-joined kind:start:end by start, then kind in the order of KINDS; offsets in code points,
-    the end exclusive. NULL and empty texts have none. A term that lies in a pattern's span is not marked again.
+    the end exclusive. `spans` adds numbers that the patterns lose beside others, and disclosing terms. NULL and empty texts have none. A term that lies in a pattern's span is not marked again.
     """
     small_batches(docs.sparkSession)
     docs, texts = keyed(docs)
@@ -215,19 +240,20 @@ def find(docs: DataFrame, alpha=ALPHA, support=SUPPORT) -> DataFrame:
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, column in slices(batches, "text"):
             spans = [base_spans(t) for t in column.to_pylist()]
+            full = [written(sorted([*s, *number_spans(t, s)], key=lambda x: (x[0], x[2], x[1]))) for t, s in zip(column.to_pylist(), spans, strict=True)]
             counts = [pa.array([sum(k == kind for *_, k in s) for s in spans], pa.int64()) for kind in range(4)]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("__key"), *counts, pa.array([written(s) for s in spans], pa.string())], names)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("__key"), *counts, pa.array([written(s) for s in spans], pa.string()), pa.array(full, pa.string())], names)
 
-    names = ["doc_id", "__key", "n_email", "n_ip", "n_card", "n_phone", "base"]
-    schema = "doc_id long, __key long, n_email long, n_ip long, n_card long, n_phone long, base string"
+    names = ["doc_id", "__key", "n_email", "n_ip", "n_card", "n_phone", "base", "full"]
+    schema = "doc_id long, __key long, n_email long, n_ip long, n_card long, n_phone long, base string, full string"
     rows = docs.select(F.col("doc_id").cast("long"), "__key", "text").mapInArrow(work, schema)
     extra = term_spans(texts, alpha, support).withColumnRenamed("key", "__key")
     rows = rows.join(extra, "__key", "left")
-    own = F.transform(F.filter(F.split("base", ","), lambda s: s != ""), lambda s: F.struct(F.split(s, ":")[1].cast("long").alias("start"), s.alias("span")))
+    own = F.transform(F.filter(F.split("full", ","), lambda s: s != ""), lambda s: F.struct(F.split(s, ":")[1].cast("long").alias("start"), s.alias("span")))
     more = F.transform("extra", lambda x: F.struct(x.start.alias("start"), F.concat_ws(":", F.lit("term"), x.start, x.end).alias("span")))
-    # Spans of a pattern come in order and no term starts where one does, so only the start has to be compared.
+    # Other spans come in order and no term starts where one does, so only the start has to be compared.
     order = lambda a, b: F.when(a.start < b.start, -1).when(a.start > b.start, 1).otherwise(0)
-    merged = F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.array_join(F.transform(F.array_sort(F.concat(own, more), order), lambda x: x.span), ","))
+    merged = F.when(F.col("extra").isNull(), F.col("full")).otherwise(F.array_join(F.transform(F.array_sort(F.concat(own, more), order), lambda x: x.span), ","))
     return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.coalesce(F.size("extra"), F.lit(0)).cast("long").alias("n_term"), "base", merged.alias("spans"))
 
 
@@ -257,7 +283,7 @@ def sanitise(docs: DataFrame, alpha=ALPHA, support=SUPPORT) -> DataFrame:
             more = rows.column("extra").to_pylist()
             known = rows.column("text").is_valid().to_pylist()
             texts = [
-                generalised(t, base_spans(t) + [(x["start"], x["end"], 4) for x in e or []]) if k else None
+                generalised(t, number_and_base_spans(t) + [(x["start"], x["end"], 4) for x in e or []]) if k else None
                 for t, e, k in zip(column.to_pylist(), more, known, strict=True)
             ]
             out = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}

@@ -52,9 +52,16 @@ def test_patterns_against_brute_force():
         assert pii.base_spans(text) == by_hand(text), text
 
 
+def test_numbers_beside_each_other():
+    text = "+1 (269) 555-3296 4524132264652876 and 4451718024887799 27.65.93.188"
+    assert [k for *_, k in pii.base_spans(text)] == [1]
+    assert pii.written(pii.number_and_base_spans(text)) == "phone:0:17,card:18:34,card:39:55,ip:56:68"
+    assert pii.number_spans("order 4524132264652877 of 12 34 56", []) == []
+
+
 def test_long_texts_take_linear_time():
     for text in ("a" * 400_000, "1" * 400_000, "1." * 200_000, "a@" * 150_000, "+1 " * 130_000, "+1" + " " * 400_000, "@" + "a" * 300_000):
-        pii.base_spans(text)
+        pii.number_and_base_spans(text)
 
 
 @pytest.fixture
@@ -90,7 +97,7 @@ def test_sanitised_texts(documents, corpus):
     docs = documents(*corpus, (1000, None), (1001, ""), (1002, "+1 689 555 4072 4111111111111111 10.0.0.1"))
     got = {r.doc_id: r for r in pii.sanitise(docs).collect()}
     assert pii.sanitise(docs).columns == docs.columns
-    assert got[1000].text is None and got[1001].text == "" and got[1002].text == "[PHONE] [IP]"
+    assert got[1000].text is None and got[1001].text == "" and got[1002].text == "[PHONE] [CARD] [IP]"
     assert "uillon" not in got[300].text and "anna" not in got[300].text and "[EMAIL]" in got[300].text and "[TERM]" in got[300].text
     assert got[400].text == "copied rarity zebrano by [EMAIL] here"
     assert all(r.text is None or r.n_chars == len(r.text) for r in got.values())
