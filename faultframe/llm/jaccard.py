@@ -222,16 +222,23 @@ def open_pairs(shared: DataFrame, labels: DataFrame) -> DataFrame:
     x, y = rows.where("label <> main").alias("x"), rows.alias("y")
     rest = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
     most = F.least("x.pos", "y.pos") + rest  # shingles in common, given this one
+    need = F.ceil((F.col("x.size") + F.col("y.size")) * 4 / 9)
     probe = F.when(F.struct("x.size", "x.sid") > F.struct("y.size", "y.sid"), F.col("x.ell")).otherwise(F.col("y.ell"))
     met = x.join(y, F.col("x.token") == F.col("y.token")).where(
         (F.col("x.label") != F.col("y.label"))
         & ((F.col("y.label") == F.col("y.main")) | (F.col("x.sid") < F.col("y.sid")))
         & (F.least("x.size", "y.size") * 5 >= F.greatest("x.size", "y.size") * 4)
-        & (most * 9 >= (F.col("x.size") + F.col("y.size")) * 4)
-        & (F.greatest("x.level", "y.level") <= probe)
+        & (most >= need)
     )
-    counted = met.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first(probe).alias("ell"))
-    return stored(counted.where("n >= ell").select("a", "b"), "open-pairs")
+    # Which of the two is x differs from shingle to shingle.
+    counted = met.groupBy(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).agg(
+        F.count_if(F.greatest("x.level", "y.level") <= probe).alias("matches"),
+        F.first(probe).alias("ell"),
+        F.first(need).alias("need"),
+        # All that is shared up to the last shared prefix shingle, and at most everything behind it.
+        (F.count(F.lit(1)) + F.min(rest) - 1).alias("most"),
+    )
+    return stored(counted.where("matches >= ell and most >= need").select("a", "b"), "open-pairs")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -263,3 +270,16 @@ def classes(docs: DataFrame) -> DataFrame:
     named = stored(lowest.join(group, "label").select("sid", "component_id"), "classes")
     rows = info.join(named, "sid", "left")
     return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """`docs` with one document of each class: that of the lowest doc_id.
+
+    Rows of one doc_id are one document, and one of them stays. Rows without doc_id or without words link with nothing
+    and all stay.
+    """
+    found = classes(docs)
+    lowest = found.where("n_shingles > 0 and doc_id = component_id").select("doc_id").distinct()
+    linked = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = docs.where(linked).join(lowest, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).union(docs.where(~linked))
