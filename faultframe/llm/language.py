@@ -307,3 +307,14 @@ def predict(docs: DataFrame, model: Model, text="text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(names, pa.string()), pa.array(score)], [*rows.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(work, docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema)
+
+
+# Below this posterior no language is more likely than all others together.
+LEAST_SCORE = 0.5
+
+
+def recognised(docs: DataFrame, model: Model) -> DataFrame:
+    """`docs` without the rows whose text has no letters or no language above LEAST_SCORE."""
+    found = predict(docs.withColumnsRenamed({"lang_pred": "__own_pred", "score": "__own_score"}), model)
+    kept = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
+    return kept.withColumnsRenamed({"__own_pred": "lang_pred", "__own_score": "score"}).select(*docs.columns)

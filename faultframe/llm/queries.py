@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_folder
-from . import decontamination, fingerprints, jaccard, language, packing, pii, sharding, urls, warc
+from . import decontamination, fingerprints, jaccard, language, licenses, packing, pii, sharding, urls, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -102,3 +102,46 @@ def op4_decontamination(spark, sf_dir):
 def op8_pii(spark, sf_dir):
     found = pii.find(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query
+def op3_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def _template_rows() -> str:
+    return ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(licenses.TEMPLATES))
+
+
+_GRAMS = "[array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]"
+ORACLES["op3_license_scan"] = f"""
+WITH t(template, license_id, text) AS (VALUES {_template_rows()}),
+tw AS (SELECT template, license_id, regexp_extract_all(lower(text), '[a-z0-9\\x80-\\x{{10FFFF}}]+') AS w FROM t),
+ts AS (SELECT template, license_id, unnest(list_distinct({_GRAMS})) AS g FROM tw),
+tn AS (SELECT template, count(*) AS n_template FROM ts GROUP BY template),
+dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\\x80-\\x{{10FFFF}}]+') AS w FROM documents),
+ds AS (SELECT doc_id, unnest(list_distinct({_GRAMS})) AS g FROM dw WHERE len(w) >= 5),
+m AS (SELECT doc_id, license_id, template, count(*) AS n_shared FROM ds JOIN ts USING (g) GROUP BY ALL)
+SELECT doc_id, license_id, CAST(template AS INTEGER) AS template, CAST(n_shared AS INTEGER) AS n_shared, CAST(n_template AS INTEGER) AS n_template
+FROM m JOIN tn USING (template) WHERE n_shared >= {licenses.CONTAINED} * n_template
+"""
+
+# The words of a document, its shingles, the links between distinct sets, and their closure.
+ORACLES["op7_jaccard_join"] = """
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s
+    FROM words
+), items AS (
+    SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b USING (g)
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reached(a, b) AS (
+    SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce((SELECT min(b) FROM reached WHERE a = doc_id), doc_id) AS component_id FROM sets
+"""
