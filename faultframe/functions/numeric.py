@@ -32,8 +32,10 @@ def ratio_or_zero(num: Column, den: Column) -> Column:
 
 
 def severity_level(x: Column) -> Column:
-    """Nearest level 0..3, halves to the even level."""
-    return F.greatest(F.lit(0), F.least(F.lit(3), F.bround(x, 0).cast("int")))
+    """Nearest level 0..3, halves to the even level; NULL and NaN have none."""
+    x = missing_to_null(x.cast("double"))
+    clipped = F.when(x < 0, F.lit(0.0)).when(x > 3, F.lit(3.0)).otherwise(x)
+    return F.bround(clipped, 0).cast("int")
 
 
 def pearson(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column) -> Column:

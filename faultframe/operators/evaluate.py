@@ -26,11 +26,13 @@ def confusion_matrix(df: DataFrame, truth, pred, by=MODEL) -> DataFrame:
 
 
 def restricted_confusion(df: DataFrame, truth, pred, labels: DataFrame, by=MODEL) -> DataFrame:
-    """Confusion over a given list (a one-column frame `label`); rows with either side outside are dropped."""
-    full = confusion_matrix(df, truth, pred, by)
-    kept = full.join(labels.withColumnRenamed("label", "truth").distinct(), "truth", "left_semi")
-    kept = kept.join(labels.withColumnRenamed("label", "pred").distinct(), "pred", "left_semi")
-    return kept.select(*by, "truth", "pred", "n")
+    """Confusion over every pair of a given list (a one-column frame `label`); rows with either side outside are dropped."""
+    counts = confusion_counts(df, truth, pred, by)
+    listed = labels.agg(F.array_sort(F.collect_set("label")).alias("labels")).scalar()
+    cells = counts.select(*by).distinct().withColumn("truth", F.explode(listed)).withColumn("pred", F.explode(listed))
+    return cells.join(counts, [*by, "truth", "pred"], "left").select(
+        *by, "truth", "pred", F.coalesce("n", F.lit(0)).alias("n")
+    )
 
 
 def label_scores(counts: DataFrame, by=MODEL) -> DataFrame:

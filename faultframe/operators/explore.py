@@ -110,7 +110,7 @@ def box_stats(samples: DataFrame, n_channels: int) -> DataFrame:
     reach = (F.col("q3") - F.col("q1")) * 1.5
     fences = quartiles.withColumn("lo", F.col("q1") - reach).withColumn("hi", F.col("q3") + reach)
     joined = attach(samples, fences, "channel", bound=n_channels)
-    x = F.col("value")
+    x = missing_to_null("value")
     return joined.groupBy("channel", "q1", "median", "q3").agg(
         F.min(F.when(x >= F.col("lo"), x)).alias("whisker_low"), F.max(F.when(x <= F.col("hi"), x)).alias("whisker_high")
     )
@@ -125,7 +125,7 @@ def mean_autocorrelation(windows: DataFrame) -> DataFrame:
 
 
 def mean_window_std(windows: DataFrame) -> DataFrame:
-    per_window = windows.groupBy("flight_id", "w", "channel").agg(F.stddev_pop("value").alias("std"))
+    per_window = windows.groupBy("flight_id", "w", "channel").agg(F.stddev_pop(missing_to_null("value")).alias("std"))
     return per_window.groupBy("channel").agg(F.avg("std").alias("mean_std"))
 
 
@@ -141,7 +141,9 @@ def cross_tab(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def separability(samples: DataFrame, label: str) -> DataFrame:
     """Range of the class means over the mean class deviation per channel, best first."""
-    per_class = samples.groupBy("channel", label).agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
+    per_class = samples.groupBy("channel", label).agg(
+        F.avg(missing_to_null("value")).alias("m"), F.stddev_pop(missing_to_null("value")).alias("s")
+    )
     per_channel = per_class.groupBy("channel").agg(
         (F.max("m") - F.min("m")).alias("mean_range"), F.avg("s").alias("avg_std")
     )

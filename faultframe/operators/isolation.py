@@ -10,11 +10,10 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from ..functions.labels import hash_key
 from ..settings import ISOLATION_TREES
 from .quantiles import exact_percentiles
-from .splits import subsample
 
 SAMPLE = 256
-# The trees draw their samples from a pool this many times larger.
-POOL = 32
+# Rows that reach a tree before its sample is taken from them, as a multiple of the sample.
+MARGIN = 2
 NODES = "tree int, node int, feature int, threshold double, left int, right int, path double, sample int"
 
 
@@ -48,11 +47,23 @@ def _grow(x: np.ndarray, rng: np.random.Generator, max_depth: int):
 
 
 def fit(rows: DataFrame, ids, trees=ISOLATION_TREES, sample=SAMPLE, seed=42) -> DataFrame:
-    """Forest node table from `rows` (ids, vec), usually the healthy windows."""
-    pool = subsample(rows.select(*ids, "vec"), ids, POOL * sample, seed)
-    drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    """Forest node table from `rows` (ids, vec), usually the healthy windows.
+
+    Each tree samples the whole table: every row draws some trees by hash, so that about MARGIN * sample rows reach
+    each of them, and those of lowest hash are its sample. Only ids are shuffled for that.
+    """
+    n = rows.count()
+    share = trees * MARGIN * sample / max(1, n)
+    every = F.sequence(F.lit(0), F.lit(trees - 1))
+    if n > MARGIN * sample:
+        unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *ids), 11) / float(1 << 53)
+        draws = F.floor(F.lit(share) + unit).cast("int")
+        tree = lambda j: F.pmod(F.xxhash64(F.lit(seed), j, *ids), F.lit(trees)).cast("int")
+        every = F.when(draws > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), draws), tree)))
+    drawn = rows.select(*ids, F.explode(every).alias("tree"))
     order = W.partitionBy("tree").orderBy(hash_key(seed, "tree", *ids), *ids)
     drawn = drawn.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample)
+    drawn = rows.select(*ids, "vec").join(drawn, list(ids))
 
     def grow(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(frame.sort_values("r")["vec"].to_list())

@@ -69,8 +69,11 @@ def _kind(columns):
     return -(F.greatest(*sure)["k"] if len(sure) > 1 else sure[0]["k"])
 
 
-def fit_forest(train, columns, trees=FOREST_TREES, depth=12, seed=42) -> PipelineModel:
-    """Random forests for the three heads, the classifiers with balanced class weights."""
+def fit_forest(train, columns, trees=FOREST_TREES, depth=30, seed=42) -> PipelineModel:
+    """Random forests for the three heads, the classifiers with balanced class weights.
+
+    Trees grow until their leaves are pure, or to depth 30, the deepest that MLlib takes.
+    """
     assembler = _assembler(columns)
     data = _assembled(train, assembler)
 

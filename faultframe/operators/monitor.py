@@ -1,12 +1,12 @@
 """Monitoring queries over scored windows."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.labels import decoded_fault_name
 from ..functions.numeric import ratio, severity_level
 from ..settings import TABLE_WINDOWS
 from .joins import attach
-from .ordered import running_sums
+from .ordered import explode_range, running_sums
 
 FLIGHT = ("model", "flight_id")
 
@@ -64,6 +64,7 @@ def cumulative_status(predictions: DataFrame, by=FLIGHT, chunk=4096) -> DataFram
 def nearest_window(requests: DataFrame, centres: DataFrame) -> DataFrame:
     """(request columns, w, t, gap): the window whose centre is nearest to `asked`, the earliest on ties.
 
+    Every request has its row: equal ones each their own, and one for a flight without windows has NULLs.
     Window centres are evenly spaced, so the candidate follows by arithmetic from the flight's first and last
     centre; it and its two neighbours are looked up by key.
     """
@@ -73,10 +74,12 @@ def nearest_window(requests: DataFrame, centres: DataFrame) -> DataFrame:
     spacing = (F.col("last_t") - F.col("first_t")) / F.when(F.col("last_w") > 0, F.col("last_w"))
     guess = F.coalesce(F.round((F.col("asked") - F.col("first_t")) / spacing), F.lit(0)).cast("long")
     around = F.array(*[F.greatest(F.lit(0), F.least(F.col("last_w"), guess + d)) for d in (-1, 0, 1)])
-    asked = attach(requests, spans, "flight_id", spread=requests.columns).withColumn("w", F.explode(F.array_distinct(around)))
-    found = asked.select(*requests.columns, "w").join(centres.select("flight_id", "w", "t"), ["flight_id", "w"])
-    best = F.min(F.struct(F.abs(F.col("t") - F.col("asked")).alias("gap"), "w", "t")).alias("b")
-    return found.groupBy(*requests.columns).agg(best).select(*requests.columns, "b.w", "b.t", "b.gap")
+    kinds = requests.groupBy(*requests.columns).agg(F.count(F.lit(1)).alias("__n"))
+    asked = attach(kinds, spans, "flight_id", "left", spread=requests.columns).withColumn("w", F.explode(F.array_distinct(around)))
+    found = asked.select(*requests.columns, "__n", "w").join(centres.select("flight_id", "w", "t"), ["flight_id", "w"], "left")
+    near = F.when(F.col("t").isNotNull(), F.struct(F.abs(F.col("t") - F.col("asked")).alias("gap"), "w", "t"))
+    best = found.groupBy(*requests.columns, "__n").agg(F.min(near).alias("b"))
+    return explode_range(best, F.lit(1), F.col("__n"), "__k").select(*requests.columns, "b.w", "b.t", "b.gap")
 
 
 def marked_trajectory(positions: DataFrame, predictions: DataFrame, columns, by=FLIGHT) -> DataFrame:
@@ -91,8 +94,10 @@ def marked_trajectory(positions: DataFrame, predictions: DataFrame, columns, by=
     )
 
 
-def first_predictions(predictions: DataFrame, count=TABLE_WINDOWS) -> DataFrame:
-    head = predictions.orderBy("model", "flight_id", "w").limit(count)
+def first_predictions(predictions: DataFrame, count=TABLE_WINDOWS, by=FLIGHT) -> DataFrame:
+    """The first `count` windows of every model and flight."""
+    place = F.row_number().over(W.partitionBy(*by).orderBy("w"))
+    head = predictions.withColumn("__place", place).where(F.col("__place") <= count)
     return head.select("model", "flight_id", "w", "fault_prob", "fault_label", "fault_type_name", "severity_level")
 
 
@@ -111,10 +116,11 @@ def status_text(label: Column) -> Column:
     return F.when(label == 1, "FAULT").otherwise("NORMAL")
 
 
-def live_status(predictions: DataFrame, limit: int) -> DataFrame:
-    """The status row shown for each of the first `limit` windows of a flight."""
+def live_status(predictions: DataFrame, limit: int | None = None) -> DataFrame:
+    """The status row of each window of a flight, or of its windows before number `limit`."""
     kind = F.when(F.col("fault_label") == 1, F.col("fault_type")).otherwise(0)
-    return predictions.where(F.col("w") < limit).select(
+    shown = predictions if limit is None else predictions.where(F.col("w") < limit)
+    return shown.select(
         "model", "flight_id", "w", "t", status_text(F.col("fault_label")).alias("status"), "severity_level",
         kind.alias("fault_group"), "fault_type_name", "fault_prob",
     )

@@ -7,6 +7,7 @@ values of that fine bin are ranked. Every step is a hash aggregate over all task
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.numeric import missing_to_null
 from ..settings import BROADCAST_ROWS
 from .joins import attach
 
@@ -34,7 +35,7 @@ def _narrow(targets: DataFrame, counts: DataFrame, on, step: str) -> DataFrame:
 
 
 def exact_percentiles(df: DataFrame, keys, value, probs, bound=None) -> DataFrame:
-    """(keys, p, n, x): linearly interpolated percentiles of `value` per group; NULLs are skipped.
+    """(keys, p, n, x): linearly interpolated percentiles of `value` per group; NULL and NaN are skipped.
 
     `bound` limits the number of groups (see `attach`).
     """
@@ -42,7 +43,7 @@ def exact_percentiles(df: DataFrame, keys, value, probs, bound=None) -> DataFram
     group = keys or ["__all"]
     bound = bound if keys else 1
     rows = df if keys else df.withColumn("__all", F.lit(0))
-    rows = rows.select(*group, F.col(value).cast("double").alias("x")).where(F.col("x").isNotNull())
+    rows = rows.select(*group, missing_to_null(F.col(value).cast("double")).alias("x")).where(F.col("x").isNotNull())
     rows = counted_values(rows, group, bound)
 
     ranges = rows.groupBy(*group).agg(F.sum("c").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))

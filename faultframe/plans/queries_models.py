@@ -108,7 +108,7 @@ def isolated(spark, sf):
     rows = durable(
         views.vectors(spark, sf).select("vec_id", "vec", F.when(F.col("label") < 5, 0).otherwise(1).alias("y_fault"))
     )
-    forest = isolation.fit(rows.where("y_fault = 0"), ["vec_id"], trees=100)
+    forest = isolation.fit(rows.where("y_fault = 0"), ["vec_id"])
     return forest, rows
 
 

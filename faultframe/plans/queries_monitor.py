@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import monitor as mon
 from ..operators.resample import resample_trajectory
 from ..operators.windows import window_centres
-from ..settings import LIVE_WINDOWS, TABLE_WINDOWS
+from ..settings import TABLE_WINDOWS
 from ..sources import views
 from ..streaming import live
 from .catalog import query, r, rounded
@@ -100,7 +100,7 @@ def g6(spark, sf):
 @query(
     "g7_first_predictions",
     f"""SELECT model, flight_id, w, {r('fault_prob')}, fault_label, fault_type_name, severity_level
-        FROM pred ORDER BY model, flight_id, w LIMIT {TABLE_WINDOWS}""",
+        FROM pred QUALIFY row_number() OVER (PARTITION BY model, flight_id ORDER BY w) <= {TABLE_WINDOWS}""",
 )
 def g7(spark, sf):
     return rounded(mon.first_predictions(views.predictions(spark, sf)))
@@ -116,10 +116,10 @@ def g8(spark, sf):
     "g10_live_status",
     f"""SELECT model, flight_id, w, {r('t')}, CASE WHEN fault_label = 1 THEN 'FAULT' ELSE 'NORMAL' END AS status, severity_level,
                CASE WHEN fault_label = 1 THEN fault_type ELSE 0 END AS fault_group, fault_type_name, {r('fault_prob')}
-        FROM pred WHERE w < {LIVE_WINDOWS}""",
+        FROM pred""",
 )
 def g10_status(spark, sf):
-    return rounded(mon.live_status(views.predictions(spark, sf), LIVE_WINDOWS))
+    return rounded(mon.live_status(views.predictions(spark, sf)))
 
 
 @query(

@@ -11,7 +11,6 @@ FOREST_TREES = 200
 ISOLATION_TREES = 200
 KNN_K = 5
 DEMO_WINDOWS = 200
-LIVE_WINDOWS = 150
 TABLE_WINDOWS = 30
 
 # Largest number of rows a side may have, by schema or parameter, to be broadcast.

@@ -1,6 +1,6 @@
 """Live monitoring: event-time windows and running flight status as streaming queries."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.features import time_aggregates
 from ..operators.monitor import status_text
@@ -66,7 +66,8 @@ def run_available(result: DataFrame, folder: str, mode="update", transform=None)
 
 def stored_updates(spark: SparkSession, folder: str, schema) -> DataFrame:
     """All stored rows with their batch number."""
-    return spark.read.schema(schema.add("batch", "long")).parquet(f"{folder}/data")
+    full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(full).parquet(f"{folder}/data")
 
 
 def latest_state(updates: DataFrame, keys) -> DataFrame:

@@ -59,6 +59,8 @@ def test_box_stats(spark):
     x = [1.0, 2, 3, 4, 5, 100, -50]
     row = ex.box_stats(samples(spark, {"a": x}), 1).first()
     assert (row.q1, row.median, row.q3, row.whisker_low, row.whisker_high) == (1.5, 3.0, 4.5, 1.0, 5.0)
+    row = ex.box_stats(samples(spark, {"a": [0.0, 1, 2, 3, 4, float("nan")]}), 1).first()
+    assert (row.q1, row.median, row.q3, row.whisker_low, row.whisker_high) == (1.0, 2.0, 3.0, 0.0, 4.0)
 
 
 def test_window_autocorrelation_skips_undefined(spark, rows):

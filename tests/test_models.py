@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultframe.functions.labels import decode_combined, encode_combined
+from faultframe.functions.numeric import severity_level
 from faultframe.operators import evaluate as ev, isolation, knn, models, monitor as mon
 
 
@@ -90,6 +91,8 @@ def test_metrics_on_labels_missing_from_one_side(spark, rows):
     assert macro.f1_macro == pytest.approx(np.mean([reference_f1(truth, pred, c) for c in range(4)]))
     matrix = {(r.truth, r.pred): r.n for r in ev.confusion_matrix(df, "t", "p").collect()}
     assert len(matrix) == 16 and sum(matrix.values()) == 5 and matrix[2, 3] == 1 and matrix[3, 3] == 0
+    labels = spark.createDataFrame([(0,), (9,)], "label int")
+    assert rows(ev.restricted_confusion(df, "t", "p", labels)) == [("m", 0, 0, 1), ("m", 0, 9, 0), ("m", 9, 0, 0), ("m", 9, 9, 0)]
     labels = spark.createDataFrame([(0,), (1,)], "label int")
     assert rows(ev.restricted_confusion(df, "t", "p", labels)) == [("m", 0, 0, 1), ("m", 0, 1, 1), ("m", 1, 0, 0), ("m", 1, 1, 1)]
 
@@ -186,6 +189,23 @@ def test_isolation_forest_ranks_a_planted_outlier_first(spark):
     assert forest.groupBy("tree").count().count() == 30
 
 
+def test_severity_levels_of_odd_values(spark):
+    values = spark.createDataFrame([(None,), (float("nan"),), (1e12,), (-1e12,), (float("inf"),), (0.5,), (2.5,)], "x double")
+    assert [r[0] for r in values.select(severity_level(F.col("x"))).collect()] == [None, None, 3, 0, 3, 0, 2]
+
+
+def test_every_row_can_reach_a_tree(spark):
+    """No part of a table larger than all samples together is left out, and samples are full."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(6000, 2)).round(9)
+    forest = isolation.fit(vectors(spark, x).drop("code"), ["id"], trees=40, sample=64)
+    assert {r["sample"] for r in forest.select("sample").distinct().collect()} == {64}
+    planted = np.vstack([x, [[50.0, 50.0]] * 600])  # a tenth of the rows, whatever their hashes
+    forest = isolation.fit(vectors(spark, planted).drop("code"), ["id"], trees=40, sample=64)
+    roots = forest.where("node = 0").toPandas()
+    assert (roots.threshold > 5).mean() > 0.5
+
+
 def test_average_path_of_small_sets():
     assert isolation.average_path(np.array([0, 1, 2])).tolist() == [0.0, 0.0, 1.0]
     harmonic = math.log(255) + np.euler_gamma

@@ -49,6 +49,13 @@ def test_nearest_window(spark, rows):
     assert rows(mon.nearest_window(requests, centres), "id", "w") == [(1, 0), (2, 0), (3, 1), (4, 3), (5, 4), (6, 0)]
 
 
+def test_every_request_has_a_row(spark):
+    centres = spark.createDataFrame([("a", w, 1.0 + w) for w in range(5)], "flight_id string, w long, t double")
+    requests = spark.createDataFrame([("a", 2.2), ("a", 2.2), ("none", 1.0)], "flight_id string, asked double")
+    found = sorted((r.flight_id, r.w is None, r.w or 0) for r in mon.nearest_window(requests, centres).collect())
+    assert found == [("a", False, 1), ("a", False, 1), ("none", True, 0)]
+
+
 def test_marked_trajectory(spark, rows):
     positions = spark.createDataFrame([("a", i, float(i)) for i in range(3)], "flight_id string, i long, x double")
     found = mon.marked_trajectory(positions, scored(spark), ["x"])
@@ -61,7 +68,9 @@ def test_overview_channels(spark):
 
 
 def test_status_rows(spark, rows):
-    assert mon.first_predictions(scored(spark, 40)).count() == 30
+    two = scored(spark, 40).unionByName(scored(spark, 40).withColumn("flight_id", F.lit("other")))
+    assert [r["count"] for r in mon.first_predictions(two).groupBy("flight_id").count().collect()] == [30, 30]
+    assert mon.live_status(scored(spark, 200)).count() == 200
     status = mon.live_status(scored(spark, 200), 150)
     assert status.count() == 150
     assert rows(status.where("w < 3"), "w", "status", "fault_group") == [(0, "NORMAL", 0), (1, "NORMAL", 0), (2, "FAULT", 1)]
