@@ -106,6 +106,11 @@ CTES = {
                      y_sev + (d2 - 8) / CAST(8 AS DOUBLE) + CASE WHEN wrong THEN 1 ELSE 0 END AS severity_continuous,
                      CASE WHEN wrong THEN (y_type + 1) % 5 ELSE y_type END AS fault_type
               FROM drawn)""",
+    "window_split": """
+        SELECT flight_id, w, y_fault, y_type, y_sev,
+               row_number() OVER (PARTITION BY y_fault ORDER BY md5('42|' || flight_id || '|' || CAST(w AS VARCHAR)), flight_id, w) - 1
+                 < round(count(*) OVER (PARTITION BY y_fault) * 0.2) AS is_test
+        FROM centres JOIN truth USING (flight_id)""",
     "vectors": """
         SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings""",
     "cells": """

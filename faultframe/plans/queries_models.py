@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.labels import encode_combined
+from ..functions.numeric import severity_level
 from ..operators import isolation, knn, models, monitor, scaling, splits
 from ..operators.evaluate import head_losses
 from ..session import durable
@@ -61,19 +62,45 @@ def m1_flight(spark, sf):
     return rows.withColumn("is_test", F.col("is_test").cast("int"))
 
 
-@query("m2_boosted_trees")
+def consistent(scored):
+    """Adds `consistent`: 1 where probability, label, type and level of a prediction are possible and agree."""
+    sound = (
+        F.col("fault_prob").between(0, 1)
+        & (F.col("fault_label") == (F.col("fault_prob") >= 0.5).cast("int"))
+        & F.col("fault_type").between(0, 4)
+        & (F.col("severity_level") == severity_level(F.col("severity_continuous")))
+        & F.col("severity_level").between(0, 3)
+    )
+    return scored.withColumn("consistent", F.coalesce(sound.cast("int"), F.lit(0)))
+
+
+def judged(model, train, test):
+    """Test windows with their truth, whether each prediction is consistent, and whether the training rows are learned.
+
+    The synthetic events carry no signal about their flight, so on the test rows nothing has to beat the majority class.
+    """
+    keep = ["flight_id", "w", *models.LABELS]
+    share, hit = F.avg("y_fault"), F.avg((F.col("fault_label") == F.col("y_fault")).cast("int"))
+    learned = models.predict(model, train, keep).agg((hit >= F.greatest(share, 1 - share)).cast("int")).scalar()
+    return consistent(models.predict(model, test, keep)).select(*keep, "consistent", learned.alias("learned"))
+
+
+JUDGED = "SELECT flight_id, w, y_fault, y_type, y_sev, 1 AS consistent, 1 AS learned FROM window_split WHERE is_test"
+
+
+@query("m2_boosted_trees", JUDGED)
 def m2(spark, sf):
     train, test = split_features(spark, sf)
     model = models.fit_boosted(train, models.feature_columns(train), **SMALL)
-    return models.predict(model, test, ["flight_id", "w", *models.LABELS])
+    return judged(model, train, test)
 
 
-@query("m3_batch_predict")
+@query("m3_batch_predict", "SELECT flight_id, w, 1 AS consistent FROM centres")
 def m3(spark, sf):
     train, test = split_features(spark, sf)
     model = models.fit_boosted(train, models.feature_columns(train), trees=3, depth=3)
     scored = models.predict(model, test.unionByName(train))
-    return scored.select("flight_id", "w", "fault_prob", "fault_type", "severity_continuous")
+    return consistent(scored).select("flight_id", "w", "consistent")
 
 
 @query(
@@ -88,11 +115,11 @@ def m4(spark, sf):
     return rounded(monitor.postprocess(scored))
 
 
-@query("m5_random_forest")
+@query("m5_random_forest", JUDGED)
 def m5(spark, sf):
     train, test = split_features(spark, sf)
-    model = models.fit_forest(train, models.feature_columns(train), trees=10, depth=5)
-    return models.predict(model, test, ["flight_id", "w", *models.LABELS])
+    model = models.fit_forest(train, models.feature_columns(train), trees=20)
+    return judged(model, train, test)
 
 
 @query(
@@ -112,15 +139,32 @@ def isolated(spark, sf):
     return forest, rows
 
 
-@query("m6_isolation_forest")
+@query(
+    "m6_isolation_forest",
+    """SELECT CAST(tree AS INTEGER) AS tree, CAST(least(256, n) AS INTEGER) AS sample, 1 AS is_tree
+       FROM (SELECT unnest(range(200)) AS tree), (SELECT count(*) AS n FROM embeddings WHERE label < 5)""",
+)
 def m6(spark, sf):
-    return isolated(spark, sf)[0]
+    forest, _ = isolated(spark, sf)
+    leaf, inner = F.col("feature") < 0, F.col("feature") >= 0
+    children = F.collect_set(F.when(inner, F.col("left"))), F.collect_set(F.when(inner, F.col("right")))
+    whole = (F.count_if(leaf) == F.count_if(inner) + 1) & (F.size(F.array_union(*children)) == F.count(F.lit(1)) - 1)
+    return forest.groupBy("tree", "sample").agg((whole & (F.min(F.when(leaf, F.col("path"))) > 0)).cast("int").alias("is_tree"))
 
 
-@query("m7_anomaly_scores")
+@query(
+    "m7_anomaly_scores",
+    """SELECT vec_id, CASE WHEN label < 5 THEN 0 ELSE 1 END AS y_fault, 1 AS in_range, 1 AS flag_agrees,
+              (SELECT count(*) - CAST(ceil(0.95 * (count(*) - 1)) AS BIGINT) FROM embeddings WHERE label < 5) AS healthy_flagged
+       FROM embeddings""",
+)
 def m7(spark, sf):
     forest, rows = isolated(spark, sf)
-    return isolation.flag_anomalies(durable(isolation.score(forest, rows).drop("vec")))
+    found = durable(isolation.flag_anomalies(durable(isolation.score(forest, rows).drop("vec"))))
+    flagged = found.agg(F.count_if((F.col("y_fault") == 0) & (F.col("flag") == 1))).scalar()
+    agrees = (F.col("flag") == (F.col("score") >= F.col("threshold")).cast("int")).cast("int")
+    in_range = ((F.col("score") > 0) & (F.col("score") < 1)).cast("int")
+    return found.select("vec_id", "y_fault", in_range.alias("in_range"), agrees.alias("flag_agrees"), flagged.alias("healthy_flagged"))
 
 
 @query(
@@ -174,11 +218,22 @@ def m12(spark, sf):
     return knn.predict(model, queries)
 
 
-@query("m13_three_head_network")
+@query(
+    "m13_three_head_network",
+    "SELECT flight_id, w, y_fault, y_type, y_sev, 1 AS distributions FROM window_split WHERE is_test",
+)
 def m13(spark, sf):
     train, test = split_features(spark, sf)
     model = models.fit_perceptron(train, models.feature_columns(train), n_types=5, hidden=(16,), iterations=20)
-    return models.head_probabilities(model, test)
+    scored = models.head_probabilities(model, test)
+
+    def proper(head: str, size: int):
+        p = F.col(f"prob_{head}")
+        total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
+        return (F.size(p) == size) & (F.array_min(p) >= 0) & (F.abs(total - 1) < 1e-6)
+
+    sound = proper("fault", 2) & proper("type", 5) & proper("sev", 4)
+    return scored.select("flight_id", "w", *models.LABELS, sound.cast("int").alias("distributions"))
 
 
 @query(
@@ -215,26 +270,54 @@ def m15(spark, sf):
     return rounded(models.best_epochs(views.run_log(spark, sf)))
 
 
-@query("m16_training_history")
+@query(
+    "m16_training_history",
+    f"""SELECT 'boost' AS run, CAST(epoch AS INTEGER) AS epoch, 1 AS finite, 1 AS train_loss_falls
+        FROM (SELECT unnest(range(1, {SMALL['trees'] + 1})) AS epoch)""",
+)
 def m16(spark, sf):
     train, test = split_features(spark, sf)
     model = models.fit_boosted(train, models.feature_columns(train), **SMALL)
-    return models.training_history(model, train, test, "boost")
+    log = models.training_history(model, train, test, "boost")
+    falls = log.agg((F.max_by("train_loss", "epoch") < F.min_by("train_loss", "epoch")).cast("int")).scalar()
+    finite = (F.abs("train_loss") < float("inf")) & (F.abs("val_loss") < float("inf"))
+    return log.select("run", "epoch", finite.cast("int").alias("finite"), falls.alias("train_loss_falls"))
 
 
-@query("m17_principal_components")
+@query(
+    "m17_principal_components",
+    """SELECT vec_id, 1 AS centred, 1 AS descending, 1 AS uncorrelated, 1 AS shares_agree FROM embeddings""",
+)
 def m17(spark, sf):
-    projected, _ = models.principal_components(views.vectors(spark, sf), ["vec_id"])
-    return projected
-
-
-@query("s11_model_reload")
+    vectors = durable(views.vectors(spark, sf).select("vec_id", "vec"))
+    projected, shares = models.principal_components(vectors, ["vec_id"])
+    projected = durable(projected)
+    cells = vectors.select(F.posexplode("vec").alias("pos", "x")).groupBy("pos").agg(F.var_samp("x").alias("v"))
+    total = cells.agg(F.sum("v")).scalar()
+    first, second = F.var_samp("pc1"), F.var_samp("pc2")
+    facts = projected.agg(
+        F.struct(
+            ((F.abs(F.avg("pc1")) < 1e-9) & (F.abs(F.avg("pc2")) < 1e-9)).cast("int").alias("centred"),
+            (first >= second).cast("int").alias("descending"),
+            (F.abs(F.corr("pc1", "pc2")) < 1e-6).cast("int").alias("uncorrelated"),
+            F.struct(first.alias("a"), second.alias("b")).alias("v"),
+        )
+    ).scalar()
+    agree = (F.abs(facts["v"]["a"] / total - shares[0]) < 1e-9) & (F.abs(facts["v"]["b"] / total - shares[1]) < 1e-9)
+    return projected.select("vec_id", *[facts[c].alias(c) for c in ("centred", "descending", "uncorrelated")], agree.cast("int").alias("shares_agree"))
+
+
+@query("s11_model_reload", "SELECT flight_id, w, 1 AS same FROM window_split WHERE is_test")
 def s11(spark, sf):
     train, test = split_features(spark, sf)
     folder = fresh_folder(spark)
-    models.save(models.fit_boosted(train, models.feature_columns(train), trees=3, depth=3), folder)
+    fitted = models.fit_boosted(train, models.feature_columns(train), trees=3, depth=3)
+    models.save(fitted, folder)
     model, columns = models.load(folder)
-    return models.predict(model, test.select("flight_id", "w", *columns))
+    keys, facts = ["flight_id", "w"], ["fault_prob", "fault_type", "severity_continuous"]
+    before = models.predict(fitted, test).select(*keys, F.struct(*facts).alias("before"))
+    after = models.predict(model, test.select(*keys, *columns)).select(*keys, F.struct(*facts).alias("after"))
+    return before.join(after, keys, "left").select(*keys, F.expr("CAST(before <=> after AS INT)").alias("same"))
 
 
 @query(
@@ -249,9 +332,10 @@ def s11_knn(spark, sf):
     return knn.majority_vote(knn.neighbours(model, queries))
 
 
-@query("g9_score_flights")
+@query("g9_score_flights", f"SELECT flight_id, w, {r('t')}, 1 AS consistent FROM centres")
 def g9(spark, sf):
     train, _ = split_features(spark, sf)
     model = models.fit_boosted(train, models.feature_columns(train), trees=3, depth=3)
     stats = durable(scaling.channel_stats(grid(spark, sf), CHANNELS))
-    return score_flights(views.raw(spark, sf), stats, model, CHANNELS)
+    scored = score_flights(views.raw(spark, sf), stats, model, CHANNELS)
+    return rounded(consistent(scored).select("flight_id", "w", "t", "consistent"))
