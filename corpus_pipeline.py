@@ -43,10 +43,10 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """The last stage's rows over the whole `documents` table."""
+def run(spark, sf_dir, folder=None):
+    """The last stage's rows over the whole `documents` table; each stage's rows stay in `folder`, by its name."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = folder or f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
