@@ -221,21 +221,22 @@ def open_pairs(shared: DataFrame, labels: DataFrame) -> DataFrame:
     rows = rows.join(mixed.where("labels > 1").drop("labels"), "token")
     x, y = rows.where("label <> main").alias("x"), rows.alias("y")
     rest = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
-    most = F.least("x.pos", "y.pos") + rest  # shingles in common, given this one
     need = F.ceil((F.col("x.size") + F.col("y.size")) * 4 / 9)
     probe = F.when(F.struct("x.size", "x.sid") > F.struct("y.size", "y.sid"), F.col("x.ell")).otherwise(F.col("y.ell"))
     met = x.join(y, F.col("x.token") == F.col("y.token")).where(
         (F.col("x.label") != F.col("y.label"))
         & ((F.col("y.label") == F.col("y.main")) | (F.col("x.sid") < F.col("y.sid")))
         & (F.least("x.size", "y.size") * 5 >= F.greatest("x.size", "y.size") * 4)
-        & (most >= need)
+        # The first l of at least `need` common shingles stand so far in front in both.
+        & (F.col("x.pos") <= F.col("x.size") - need + probe - 1)
+        & (F.col("y.pos") <= F.col("y.size") - need + probe - 1)
     )
     # Which of the two is x differs from shingle to shingle.
     counted = met.groupBy(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).agg(
-        F.count_if(F.greatest("x.level", "y.level") <= probe).alias("matches"),
+        F.count(F.lit(1)).alias("matches"),
         F.first(probe).alias("ell"),
         F.first(need).alias("need"),
-        # All that is shared up to the last shared prefix shingle, and at most everything behind it.
+        # All that is shared up to the last of these shingles, and at most everything behind it.
         (F.count(F.lit(1)) + F.min(rest) - 1).alias("most"),
     )
     return stored(counted.where("matches >= ell and most >= need").select("a", "b"), "open-pairs")
