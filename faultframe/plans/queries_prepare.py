@@ -347,11 +347,11 @@ def p14(spark, sf):
 
 @query(
     "p15_random_subsample",
-    """SELECT doc_id, lang, n_chars FROM documents ORDER BY md5('42|' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 1000""",
+    """SELECT doc_id, lang, n_chars FROM documents ORDER BY md5('42|' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 300""",
 )
 def p15(spark, sf):
     documents = views.table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
-    return splits.subsample(documents, ["doc_id"], 1000)
+    return splits.subsample(documents, ["doc_id"], 300)
 
 
 @query(
