@@ -1,4 +1,5 @@
 import math
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -7,6 +8,8 @@ from pyspark.sql import functions as F
 from faultframe.functions.labels import decode_combined, encode_combined
 from faultframe.functions.numeric import severity_level
 from faultframe.operators import evaluate as ev, isolation, knn, models, monitor as mon
+from faultframe.plans import queries_models
+from faultframe.plans.registry import registered
 
 
 def vectors(spark, x, codes=None, first=0):
@@ -233,3 +236,28 @@ def test_principal_components_equal_svd(spark):
     for i in range(2):
         axis = v[i] * np.sign(v[i][np.abs(v[i]).argmax()])
         assert np.allclose(found[f"pc{i + 1}"], centred @ axis)
+
+
+@pytest.mark.parametrize(
+    "name, fit",
+    [
+        *[(n, "fit_boosted") for n in ("m2_boosted_trees", "m3_batch_predict", "s11_model_reload", "g9_score_flights")],
+        ("m5_random_forest", "fit_forest"),
+        ("m13_three_head_network", "fit_perceptron"),
+    ],
+)
+def test_registered_models_are_trained_in_full(monkeypatch, name, fit):
+    """No registered run gives a size of its own, so that the defaults hold."""
+    class Fitted(Exception):
+        pass
+
+    def stop(*_, **given):
+        raise Fitted(given)
+
+    rows = SimpleNamespace(columns=["flight_id", "w", "a"])
+    monkeypatch.setattr(models, fit, stop)
+    monkeypatch.setattr(queries_models, "split_features", lambda *_: (rows, rows))
+    monkeypatch.setattr(queries_models, "fresh_folder", lambda *_: "")
+    with pytest.raises(Fitted) as reached:
+        registered()[name](None, "")
+    assert set(reached.value.args[0]) <= {"n_types"}
