@@ -3,8 +3,10 @@
 Every value that a pattern finds is a protected entity. The terms near its mentions are counted over the corpus. A term t
 reveals entity e by their pointwise mutual information, PMI(e; t) = log2 p(e | t) / p(e), and discloses it where that
 reaches a share 1 / ALPHA of all there is to know, IC(e) = -log2 p(e). In texts that mention e, terms that disclose it
-are generalised like the entity itself. A term must be seen with e in SUPPORT different contexts; equal contexts, as in
-copies of a text, count once, and p(t) counts every document, so copies never make a term more telling.
+are generalised like the entity itself. A term must be seen with e in SUPPORT different contexts.
+
+Copies make a term neither more nor less telling: equal texts count once everywhere, and texts in which t stands in the same
+context of e, as in a passage that several texts share, count once among those with e and among those with t alike.
 """
 
 import re
@@ -13,6 +15,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import words
@@ -151,37 +154,70 @@ def mentions(texts: DataFrame) -> DataFrame:
     return stored(found.select("key", F.xxhash64("name").alias("entity"), F.xxhash64("place").alias("context"), "term"), "mentions")
 
 
-def document_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): in how many documents each term of `terms` is. A bit map spares the other words of the corpus."""
-    table = texts.sparkSession.sparkContext.broadcast(bit_map(terms, F.col("term"), MAP_BITS))
+def text_counts(texts: DataFrame, copied: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, n): in how many different texts each term of `terms` is. A bit map spares the other words of the corpus.
+
+    `copied` has the keys of repeated texts; only their terms travel by text, those of the others are counted in place, in
+    a row for each slice.
+    """
+    context = texts.sparkSession.sparkContext
+    table = context.broadcast(bit_map(terms, F.col("term"), MAP_BITS))
+    repeated = context.broadcast(bit_map(copied, F.col("key"), MAP_BITS))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, column in slices(batches, "text"):
+        seen, number = set(), 0
+        for rows, column in slices(batches, "text"):
+            keys = np.asarray(rows.column("key"))
+            twice = in_map(repeated.value, keys)
+            fresh = ~twice
+            for k in np.flatnonzero(twice).tolist():
+                fresh[k] = keys[k] not in seen
+                seen.add(keys[k])
             found, first = words.word_hashes(*text_bytes(column), words.MARKS)
             may = np.flatnonzero(in_map(table.value, found))
             found, text = found[may], np.searchsorted(first, may, "right") - 1
+            found, text = found[fresh[text]], text[fresh[text]]
             order = np.lexsort((found, text))
             found, text = found[order], text[order]
             new = np.ones(len(found), dtype=bool)
             new[1:] = (found[1:] != found[:-1]) | (text[1:] != text[:-1])
-            term, n = np.unique(found[new], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n)], ["term", "n"])
+            found, text = found[new], text[new]
+            once = np.unique(found[~twice[text]], return_counts=True)
+            found, text = found[twice[text]], text[twice[text]]
+            owners, first = np.unique(text, return_index=True)
+            number += 1
+            ends = len(once[0]) + np.append(first, len(found))
+            term, n = np.concatenate([once[0], found]).view(np.int64), np.concatenate([once[1], np.ones(len(found), np.int64)])
+            lists = [pa.ListArray.from_arrays(pa.array(np.insert(ends, 0, 0), pa.int32()), pa.array(c)) for c in (term, n)]
+            part = [f"{TaskContext.get().partitionId()}:{number}", *[None] * len(owners)]
+            key = pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(keys[owners], pa.int64())])
+            yield pa.RecordBatch.from_arrays([key, pa.array(part, pa.string()), *lists], ["key", "part", "terms", "counts"])
+
+    def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            term, where = np.unique(np.asarray(batch.column("terms").flatten()), return_inverse=True)
+            n = np.zeros(len(term), dtype=np.int64)
+            np.add.at(n, where, np.asarray(batch.column("counts").flatten()))
+            yield pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(n)], ["term", "n"])
 
-    counts = texts.mapInArrow(work, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return counts.join(terms, "term", "left_semi")
+    met = texts.mapInArrow(work, "key long, part string, terms array<long>, counts array<long>")
+    met = met.groupBy("key", "part").agg(F.first(F.struct("terms", "counts")).alias("met")).select("met.terms", "met.counts")
+    return met.mapInArrow(summed, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).join(terms, "term", "left_semi")
 
 
 def disclosing(texts: DataFrame, alpha=ALPHA, support=SUPPORT) -> tuple[DataFrame, DataFrame]:
     """(entity, term, pmi, ic) of the terms that disclose an entity, and all mentions."""
     seen = mentions(texts)
-    total = max(1, texts.count())
+    keys = stored(texts.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "text-keys")
+    total = max(1, keys.count())
     entities = seen.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    pairs = seen.where("term <> 0").select("entity", "context", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
+    pairs = seen.where("term <> 0").groupBy("entity", "term").agg(F.count_distinct("context").alias("n_both"), F.count_distinct("key").alias("n_texts"))
     pairs = stored(pairs.where(F.col("n_both") >= support), "entity-terms")
-    counts = document_counts(texts, pairs.select("term").distinct()) if not pairs.isEmpty() else pairs.select("term", F.lit(1).cast("long").alias("n"))
+    counts = text_counts(texts, keys.where("n > 1"), pairs.select("term").distinct()) if not pairs.isEmpty() else pairs.select("term", F.lit(1).cast("long").alias("n"))
     measured = pairs.join(counts, "term").join(entities, "entity")
     p_entity = F.least(F.lit(1.0), F.col("n_entity") / total)
-    p_given = F.least(F.lit(1.0), F.col("n_both") / F.col("n"))
+    # Texts where the term is not near the entity, and each context where it is.
+    p_given = F.col("n_both") / (F.col("n_both") + F.greatest(F.lit(0), F.col("n") - F.col("n_texts")))
     measured = measured.select("entity", "term", F.log2(p_given / p_entity).alias("pmi"), (-F.log2(p_entity)).alias("ic"))
     return measured.where((F.col("pmi") > 0) & (F.col("pmi") >= F.col("ic") / alpha)), seen
 

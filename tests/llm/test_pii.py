@@ -103,3 +103,14 @@ def test_sanitised_texts(documents, corpus):
     assert all(r.text is None or r.n_chars == len(r.text) for r in got.values())
     assert all(got[i].text == t for i, t in corpus[:200])
     assert pii.find(documents()).count() == 0 and pii.sanitise(documents()).count() == 0
+
+
+@pytest.mark.parametrize("passage", [False, True])
+def test_copies_hide_no_disclosing_term(documents, corpus, passage):
+    """Thirty copies of one of the texts around a disclosing term, exact or of the passage alone."""
+    head, tail = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    text = f"{head} Quillon writes to anna@x.example {tail}"
+    more = [(1000 + k, text + f" end{k} other{k}" * passage) for k in range(31)]
+    got = {r.doc_id: r for r in pii.find(documents(*corpus, *more)).collect()}
+    assert all("quillon" in t.lower() and got[i].n_term == len(re.findall("[Qq]uillon", t)) for i, t in [*corpus[200:206], *more])
+    assert not any(r.n_term for i, r in got.items() if i < 300 or 400 <= i < 406)
