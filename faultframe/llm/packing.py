@@ -8,6 +8,9 @@ sequence and offset there. Spark tokenises, counts and numbers the documents of
 """
 
 import base64
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -40,14 +43,28 @@ _PLAIN[:0x21] = False
 _PLAIN[[0xC2, 0xE1, 0xE2, 0xE3]] = False
 
 
+def added_tokens(path: str) -> dict[bytes, int]:
+    """The tokens that a vocabulary has besides its ranks, from the JSON form beside it (none where there is no such file)."""
+    whole = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(whole):
+        return {}
+    with open(whole, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
+        raise ValueError("added tokens that take in or need white space around them are not supported")
+    return {t["content"].encode(): t["id"] for t in added}
+
+
 class ChunkTokenizer:
     """Ids of whole texts, tokenising each distinct chunk once.
 
     The tokenizer cuts a text before the last white-space character ahead of anything else before it merges, so ids of
-    such chunks, one after the other, are the ids of the text.
+    such chunks, one after the other, are the ids of the text. Texts are first cut at the `added` tokens.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: dict[bytes, int] | None = None):
+        self.added = added or {}
+        self.cutter = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if added else None
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
         self.coder = tiktoken.Encoding("chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -63,8 +80,12 @@ class ChunkTokenizer:
         return self.coder.encode_to_numpy(text.decode(), disallowed_special=()).astype(np.int32)
 
     def learn(self, keys: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray):
-        """New chunks: those that start with white space go through the tokenizer as one text, the others alone."""
-        joined = _CUTS[np.frombuffer(raw, np.uint8)[starts]]
+        """New chunks: those that start with one white space go through the tokenizer as one text, the others alone.
+
+        The head of a text can be white space that would run together with the end of the chunk before it.
+        """
+        own = np.frombuffer(raw, np.uint8)
+        joined = _CUTS[own[starts]] & (ends > starts + 1) & _PLAIN[own[np.minimum(starts + 1, len(own) - 1)]]
         order = np.argsort(~joined, kind="stable")
         keys, starts, ends, many = keys[order], starts[order].tolist(), ends[order].tolist(), int(joined.sum())
         sizes = np.array(ends) - np.array(starts)
@@ -81,6 +102,27 @@ class ChunkTokenizer:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the index of each text's first id (one more entry at the end)."""
+        raw = data.tobytes() if self.added else b""
+        if not any(token in raw for token in self.added):
+            return self.encode_plain(data, offsets)
+        bounds = zip(offsets.tolist(), offsets[1:].tolist(), strict=False)
+        met = [(m.start(), m.end(), self.added[m[0]], k) for k, (s, e) in enumerate(bounds) for m in self.cutter.finditer(raw, s, e)]
+        starts, ends, tokens, owner = np.array(met, dtype=np.int64).reshape(-1, 4).T
+        # Without the tokens, each of them is a border between two texts.
+        drop = np.zeros(len(data) + 1, dtype=np.int64)
+        np.add.at(drop, starts, 1)
+        np.add.at(drop, ends, -1)
+        inside = np.cumsum(drop)
+        shift = np.concatenate([[0], np.cumsum(inside[:-1])])
+        borders = offsets - shift[offsets]
+        at = np.searchsorted(owner, np.arange(len(offsets)))  # tokens ahead of each text
+        ids, first = self.encode_plain(data[inside[:-1] == 0], np.insert(borders, owner + 1, starts - shift[starts]))
+        heads = np.arange(len(offsets)) + at
+        # The token of rank j ends piece owner + j, before which stand j other tokens.
+        ids = np.insert(ids, first[owner + np.arange(len(owner)) + 1], tokens)
+        return ids, first[heads] + at
+
+    def encode_plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begins = np.zeros(len(data), dtype=bool)
         begins[:-1] = _CUTS[data[:-1]] & _PLAIN[data[1:]]
         full = offsets[1:] > offsets[:-1]
@@ -107,7 +149,7 @@ class ChunkTokenizer:
 @cache
 def coder_of(path: str) -> ChunkTokenizer:
     """One tokenizer for all tasks of a worker."""
-    return ChunkTokenizer(path)
+    return ChunkTokenizer(path, added_tokens(path))
 
 
 def pieces(docs: DataFrame, capacity=CAPACITY, end=END, vocabulary: str | None = None, text="text") -> DataFrame:

@@ -90,3 +90,16 @@ def test_pieces_and_places(documents):
         ends = [0, *np.cumsum([n for _, n in sorted(spans)])]
         assert [o for o, _ in sorted(spans)] == ends[:-1] and ends[-1] <= 2048
     assert packing.pack(documents())[1].count() == 0
+
+
+def test_added_tokens_have_their_ids(documents):
+    """As an unmodified tokenizer does, which the contract names."""
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(5)
+    parts = ["<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", "a", " ", "  ", "the", "\n", "é", "<|"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", "x<|endof", "text|>", "", *["".join(rng.choices(parts, k=rng.randrange(9))) for _ in range(300)]]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.ids for r in packing.pieces(documents(*rows)).collect()}
+    for i, t in rows:
+        assert got[i] == [*whole.encode(t, add_special_tokens=False).ids, packing.END], t
+    assert got[0] == [64, 220, 50256, 275, packing.END]
