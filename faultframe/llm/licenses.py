@@ -3,7 +3,7 @@ verifies them. DataFrame functions only.
 
 Text and templates are runs of five-word shingles. A template is looked up in windows of the largest power of two that it
 fills, at most WINDOW shingles. Windows of templates start at every shingle, those of documents at every one or every
-WINDOW / 8th, so a passage taken over literally has a window that equals one of its template, and collides in every band.
+WINDOW / 8th (a shorter text counts as one window), so a passage taken over literally has a window that equals one of its template, and collides in every band.
 For windows of Jaccard likeness LIKE, bands(LIKE, CERTAINTY) gives as many bands of ROWS hashes as make a collision
 that certain. A band can only collide where a window and a template share a shingle, so windows without any are left out.
 """
@@ -124,6 +124,8 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
         around = lambda p: F.sequence(F.greatest(F.lit(0), F.ceil((p - size + 1) / step)).cast("int"), F.floor(p / step).cast("int"))
         starts = F.array_distinct(F.flatten(F.transform("places", around)))
         starts = F.filter(F.transform(starts, lambda s: s * step), lambda s: s + size <= F.size("shingles"))
+        # A text that is shorter than the window is one as a whole; it can still hold enough of a template.
+        starts = F.when(F.size("shingles") < size, F.array(F.lit(0))).otherwise(starts)
         return band_keys(F.col("shingles"), starts, F.lit(size))
 
     met = texts.select("doc_id", "shingles", F.array_distinct(F.flatten(F.array(*[keys_of(s) for s in sizes]))).alias("keys"))

@@ -51,3 +51,10 @@ def test_bands_make_collisions_as_certain_as_asked():
 
 def test_empty_table_and_no_templates(documents):
     assert lc.scan(documents()).count() == 0 and lc.scan(documents((1, "a b c d e f")), ()).count() == 0
+
+
+def test_cut_notices_as_whole_documents(documents):
+    notices = [text.split() for _, text in lc.TEMPLATES]
+    rows = list(enumerate(" ".join(w[:n]) for w in notices for n in range(1, len(w) + 1)))
+    got = {tuple(r) for r in lc.scan(documents(*rows)).collect()}
+    assert got == by_hand(rows, lc.TEMPLATES)
