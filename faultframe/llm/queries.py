@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_folder
-from . import decontamination, fingerprints, jaccard, language, licenses, packing, pii, sharding, urls, warc
+from . import decontamination, fingerprints, jaccard, language, licenses, packing, pii, sharding, tokens, urls, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -104,6 +104,12 @@ def op8_pii(spark, sf_dir):
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+@query
+def op13_token_counts(spark, sf_dir):
+    """A cache of its own, so that every run counts the whole table."""
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/token-cache-{uuid.uuid4().hex}")
+
+
 @query
 def op3_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
