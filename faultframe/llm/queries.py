@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_folder
-from . import decontamination, fingerprints, jaccard, language, licenses, packing, pii, sharding, tokens, urls, warc
+from . import conversations, decontamination, fingerprints, jaccard, language, licenses, packing, pii, prefix_trie, sharding, tokens, urls, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -110,6 +110,135 @@ def op13_token_counts(spark, sf_dir):
     return tokens.count_tokens(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/token-cache-{uuid.uuid4().hex}")
 
 
+@query
+def op11_conversation_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damaged(rows), rows)[1]
+
+
+# CRC-32 of the ASCII string that the expression gives.
+_CRC_TABLE = "list_transform(range(256), lambda x: list_reduce(list_concat([x], range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1))))"
+
+
+def _crc32(text: str) -> str:
+    bytes_of = f"list_transform(string_split({text}, ''), lambda x: CAST(ord(x) AS BIGINT))"
+    step = "xor(c >> 8, v[CAST(1 + (xor(c, b) & 255) AS INTEGER)])"
+    return f"xor(list_reduce(list_concat([4294967295], {bytes_of}), lambda c, b: {step}), 4294967295)"
+
+
+# Costs and edits of the four grammar states, row by row from the end; then the edits from the front.
+_WHITE = "[^\\x20\\x09-\\x0D]"
+ORACLES["op11_conversation_repair"] = f"""
+WITH RECURSIVE crc_table AS MATERIALIZED (SELECT {_CRC_TABLE} AS v),
+given AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+    FROM conversations
+), drawn AS (SELECT *, {_crc32('k')} % 20 AS draw FROM given, crc_table),
+bad AS (
+    SELECT conv_id, turn, CASE draw WHEN 4 THEN 'user' ELSE role END AS role,
+        CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(CASE draw WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+    FROM drawn
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+        count(*) OVER (PARTITION BY conv_id) AS n,
+        regexp_extract(text, '({_WHITE})[\\x20\\x09-\\x0D]*$', 1) AS last
+    FROM bad
+), judged AS (
+    SELECT conv_id, turn, i, n, role, text, left(role, 1) AS c,
+        CASE WHEN last = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+             WHEN last NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault
+    FROM placed
+), back(conv_id, i, f0, f1, f2, f3, e0, e1, e2, e3) AS (
+    SELECT DISTINCT conv_id, n + 1, 0, 6, 3, 0, '', 'I', 'I', '' FROM judged
+    UNION ALL
+    SELECT conv_id, i, f0, f1, f2, f3,
+        CASE f0 WHEN d0 THEN 'D' WHEN 3 + f2 THEN 'I' WHEN k0 THEN 'K' ELSE 'R' END,
+        CASE f1 WHEN d1 THEN 'D' WHEN 3 + f2 THEN 'I' WHEN k1 THEN 'K' ELSE 'R' END,
+        CASE f2 WHEN d2 THEN 'D' WHEN 3 + f3 THEN 'I' WHEN k2 THEN 'K' ELSE 'R' END,
+        CASE f3 WHEN d3 THEN 'D' WHEN 3 + f2 THEN 'I' WHEN k3 THEN 'K' ELSE 'R' END
+    FROM (SELECT *, least(b0, 3 + f2) AS f0, least(b1, 3 + f2) AS f1 FROM (
+        SELECT *, least(b2, 3 + b3) AS f2, least(b3, 3 + b2) AS f3 FROM (
+            SELECT *, least(d0, k0, r0) AS b0, least(d1, k1, r0) AS b1, least(d2, k2, r2) AS b2, least(d3, k3, r0) AS b3 FROM (
+                SELECT back.conv_id, j.i, 4 + f0 AS d0, 4 + f1 AS d1, 4 + f2 AS d2, 4 + f3 AS d3,
+                    stay + CASE c WHEN 's' THEN f1 WHEN 'u' THEN f2 ELSE 1000000 END AS k0,
+                    stay + CASE c WHEN 'u' THEN f2 ELSE 1000000 END AS k1,
+                    stay + CASE c WHEN 'a' THEN f3 ELSE 1000000 END AS k2,
+                    stay + CASE c WHEN 'u' THEN f2 ELSE 1000000 END AS k3,
+                    stay + 3 + f2 AS r0, stay + 3 + f3 AS r2
+                FROM back JOIN (SELECT *, CASE fault WHEN '-' THEN 0 WHEN 't' THEN 3 ELSE 1000000 END AS stay FROM judged) j
+                    ON back.conv_id = j.conv_id AND back.i = j.i + 1))))
+), edits AS (
+    SELECT b.*, j.role, j.text, j.c FROM back b LEFT JOIN judged j ON b.conv_id = j.conv_id AND b.i = j.i
+), forth(conv_id, i, g, audit, made) AS (
+    SELECT DISTINCT conv_id, CAST(1 AS BIGINT), 0, '', CAST([] AS VARCHAR[]) FROM judged
+    UNION ALL
+    SELECT conv_id, CASE e WHEN 'I' THEN i ELSE i + 1 END,
+        CASE WHEN e = 'D' THEN g WHEN e = 'K' THEN CASE c WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END WHEN g = 2 THEN 3 ELSE 2 END,
+        audit || e,
+        CASE e WHEN 'D' THEN made WHEN 'K' THEN list_append(made, role || ':' || text)
+            ELSE list_append(made, CASE g WHEN 2 THEN 'assistant:' ELSE 'user:' END || CASE e WHEN 'R' THEN text ELSE '' END) END
+    FROM (SELECT forth.*, role, text, c, CASE g WHEN 0 THEN e0 WHEN 1 THEN e1 WHEN 2 THEN e2 ELSE e3 END AS e
+          FROM forth JOIN edits ON forth.conv_id = edits.conv_id AND forth.i = edits.i) WHERE e <> ''
+), whole AS (
+    SELECT conv_id, arg_max(audit, length(audit)) AS audit, arg_max(made, length(audit)) AS made FROM forth GROUP BY conv_id
+), counted AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+        count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+        count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM (SELECT *, lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS pair FROM judged) GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, CAST(coalesce(b.f0, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit,
+    sha256(coalesce(array_to_string(made, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted USING (conv_id) LEFT JOIN whole USING (conv_id)
+    LEFT JOIN back b ON b.conv_id = o.conv_id AND b.i = 1
+"""
+
+
+@query
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+# Prefixes as lists; subtrees by looking at every prefix of every node.
+ORACLES["op12_prefix_trie"] = f"""
+WITH crc_table AS MATERIALIZED (SELECT {_CRC_TABLE} AS v),
+own AS (
+    SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role, text) AS turns
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), drawn AS (SELECT *, CAST(k AS BIGINT) % 6 AS h FROM (SELECT *, {_crc32('CAST(conv_id AS VARCHAR)')} AS k FROM own, crc_table)),
+made AS (
+    SELECT c.conv_id, list_concat(CASE WHEN d.conv_id IS NULL THEN [] ELSE d.turns[1:c.h] END, c.turns[c.h + 1:]) AS turns
+    FROM drawn c LEFT JOIN own d ON d.conv_id = c.conv_id - c.conv_id % 100
+), steps AS (
+    SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM made
+), members AS (
+    SELECT conv_id, depth, turns[1:depth] AS prefix, len(turns) = depth AS ends FROM steps
+), nodes AS (
+    SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+    FROM members GROUP BY prefix, depth
+), linked AS (
+    SELECT n.*, p.conv_id AS parent_conv_id FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = n.prefix[1:n.depth - 1]
+), children AS (
+    SELECT parent_conv_id, depth - 1 AS depth, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY ALL
+), full_nodes AS (
+    SELECT l.*, coalesce(c.n_children, 0) AS n_children,
+        CASE WHEN l.depth = 0 THEN 0 ELSE (l.n_convs - 1) * length(l.prefix[l.depth].text) END AS saved
+    FROM linked l LEFT JOIN children c ON c.parent_conv_id = l.conv_id AND c.depth = l.depth
+), above AS (
+    SELECT prefix[1:d] AS prefix, d AS depth, n_children, saved
+    FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM full_nodes)
+), totals AS (
+    SELECT prefix, depth, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM above GROUP BY ALL
+)
+SELECT f.conv_id, f.depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM full_nodes f JOIN totals t ON t.depth = f.depth AND t.prefix = f.prefix
+"""
+
+
 @query
 def op3_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))

@@ -135,18 +135,20 @@ def count_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, li
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     folded = drops_spaces(path)
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long"), "text").withColumn("digest", content_digest(F.col("text"), folded))
-    rows = stored(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "digest"), "content-digests")
-    kinds = rows.groupBy("digest").agg(F.min("doc_id").alias("carrier"), F.count(F.lit(1)).alias("n"))
+    docs = docs.select(F.col("doc_id").cast("long"), "text").withColumns(
+        # The id that stands for NULL may also be a row's own: under one digest it is the same text.
+        {"digest": content_digest(F.col("text"), folded), "carrier": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long"))}
+    )
+    rows = stored(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "digest", "carrier"), "content-digests")
+    kinds = rows.groupBy("digest").agg(F.min("carrier").alias("carrier"), F.count(F.lit(1)).alias("n"))
 
     table = f"{folder}/{tokenizer_digest(path)}"
     spark.createDataFrame([], CACHE).write.mode("ignore").parquet(table)
     known = lambda: spark.read.schema(CACHE).parquet(table).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     misses = kinds.join(known(), "digest", "left_anti").select("digest", "carrier")
-    # Texts travel under (digest, doc_id), so that copies of one text do not meet in one task; equal rows are made one first.
-    once = docs.dropDuplicates(["digest", "doc_id"])
-    texts = once.join(misses, (once["digest"] == misses["digest"]) & once["doc_id"].eqNullSafe(misses["carrier"]))
-    encoded(texts.select(once["digest"], "text"), path).write.mode("append").parquet(table)
+    # Texts travel once, under (digest, id), so that copies of one text do not meet in one task; equal rows are made one first.
+    texts = docs.select("digest", "carrier", "text").dropDuplicates(["digest", "carrier"]).join(misses, ["digest", "carrier"])
+    encoded(texts.select("digest", "text"), path).write.mode("append").parquet(table)
 
     counted = stored(kinds.drop("carrier").join(known(), "digest"), "token-counts")
     found = attach_counted(rows, counted, "digest", rows.count())
