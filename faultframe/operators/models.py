@@ -1,16 +1,18 @@
-"""Three-head models (fault yes/no, fault type, severity) as one fitted pipeline each."""
-
-from multiprocessing.pool import ThreadPool
+"""Three-head models (fault yes/no, fault type, severity): boosted trees, random forests, one network."""
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.regression import RandomForestRegressor
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType
 
 from ..session import durable
-from ..settings import BOOST_COLUMNS, BOOST_DEPTH, BOOST_RATE, BOOST_ROWS, BOOST_TREES, FOREST_TREES
+from ..settings import BOOST_COLUMNS, BOOST_DEPTH, BOOST_RATE, BOOST_ROWS, BOOST_TREES, FOREST_TREES, LOSS_WEIGHTS
+from . import boosting
+from .boosting import BoostedTrees
 from .joins import attach
 from .monitor import postprocess
 from .splits import class_weights
@@ -37,36 +39,9 @@ def _outputs(head: str) -> dict[str, str]:
 
 
 def fit_boosted(train, columns, trees=BOOST_TREES, depth=BOOST_DEPTH, rate=BOOST_RATE, rows=BOOST_ROWS,
-                share=BOOST_COLUMNS, seed=42, parallelism=4) -> PipelineModel:
-    """Boosted trees for the three heads; the type head is one boosted model per class, fitted side by side."""
-    assembler = _assembler(columns)
-    data = _assembled(train, assembler)
-    common = {
-        "featuresCol": "features", "maxIter": trees, "maxDepth": depth, "stepSize": rate,
-        "subsamplingRate": rows, "featureSubsetStrategy": str(share), "seed": seed,
-    }
-
-    def classifier(label: str, head: str) -> GBTClassifier:
-        made = GBTClassifier(labelCol=label, predictionCol=f"p_{head}", **common)
-        return made.setProbabilityCol(f"prob_{head}").setRawPredictionCol(f"raw_{head}")
-
-    heads = [(classifier("y_fault", "fault"), data)]
-    for kind in sorted(int(row[0]) for row in data.select("y_type").distinct().collect()):
-        one = data.withColumn("is_kind", (F.col("y_type") == kind).cast("double"))
-        heads.append((classifier("is_kind", f"type_{kind}"), one))
-    heads.append((GBTRegressor(labelCol="y_sev", predictionCol="p_sev", **common), data))
-    with ThreadPool(parallelism) as pool:
-        fitted = pool.map(lambda head: head[0].fit(head[1]), heads)
-    return PipelineModel([assembler, *fitted])
-
-
-def _kind(columns):
-    """The predicted type: a direct prediction, or the class whose own model is surest."""
-    if "p_type" in columns:
-        return F.col("p_type")
-    kinds = sorted(int(c.removeprefix("raw_type_")) for c in columns if c.startswith("raw_type_"))
-    sure = [F.struct(vector_to_array(f"raw_type_{k}")[1].alias("s"), F.lit(-k).alias("k")) for k in kinds]
-    return -(F.greatest(*sure)["k"] if len(sure) > 1 else sure[0]["k"])
+                share=BOOST_COLUMNS, seed=42, ids=("flight_id", "w")) -> BoostedTrees:
+    """Boosted trees for the three heads, grown side by side on binned columns."""
+    return boosting.fit(train, columns, ids, trees, depth, rate, rows, share, seed)
 
 
 def fit_forest(train, columns, trees=FOREST_TREES, depth=30, seed=42) -> PipelineModel:
@@ -93,59 +68,54 @@ def fit_forest(train, columns, trees=FOREST_TREES, depth=30, seed=42) -> Pipelin
     return PipelineModel([assembler, fault, kind, severity])
 
 
-def fit_perceptron(train, columns, n_types: int, hidden=(32,), iterations=50, seed=42) -> PipelineModel:
-    """A network per head on the standardised features: fault (2), type (n_types), severity (4)."""
-    assembler = _assembler(columns)
-    data = _assembled(train, assembler)
-    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(data)
-    data = durable(scaler.transform(data))
-    stages = [assembler, scaler]
-    for head, label, classes in (("fault", "y_fault", 2), ("type", "y_type", n_types), ("sev", "y_sev", 4)):
-        net = MultilayerPerceptronClassifier(
-            featuresCol="scaled", labelCol=label, probabilityCol=f"prob_{head}", layers=[len(columns), *hidden, classes],
-            maxIter=iterations, seed=seed, **_outputs(head),
-        )
-        stages.append(net.fit(data))
-    return PipelineModel(stages)
-
-
-def predict(model: PipelineModel, features: DataFrame, keep=("flight_id", "w")) -> DataFrame:
+def inputs(model) -> list[str]:
+    """The feature columns of a model, in training order."""
+    return list(model.columns) if isinstance(model, BoostedTrees) else model.stages[0].getInputCols()
+
+
+def _as_array(frame: DataFrame, column: str):
+    return F.col(column) if isinstance(frame.schema[column].dataType, ArrayType) else vector_to_array(column)
+
+
+def predict(model, features: DataFrame, keep=("flight_id", "w")) -> DataFrame:
     """(keep, fault_prob, fault_type, severity_continuous) and the derived label, level and type name."""
     scored = model.transform(features)
     scored = scored.select(
         *keep,
-        F.get(vector_to_array("prob_fault"), F.lit(1)).alias("fault_prob"),
-        _kind(scored.columns).cast("int").alias("fault_type"),
+        F.get(_as_array(scored, "prob_fault"), F.lit(1)).alias("fault_prob"),
+        F.col("p_type").cast("int").alias("fault_type"),
         F.col("p_sev").alias("severity_continuous"),
     )
     return postprocess(scored)
 
 
-def head_probabilities(model: PipelineModel, features: DataFrame, keep=("flight_id", "w", *LABELS)) -> DataFrame:
-    """Class probabilities of the three network heads as arrays."""
-    scored = model.transform(features)
-    return scored.select(*keep, *[vector_to_array(f"prob_{h}").alias(f"prob_{h}") for h in ("fault", "type", "sev")])
+def save(model, path: str) -> None:
+    if isinstance(model, BoostedTrees):
+        model.save(SparkSession.active(), path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def save(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def load(path: str):
+    """The model and its feature columns in training order."""
+    spark = SparkSession.active()
+    try:
+        spark.read.text(f"{path}/metadata").schema  # what a stored pipeline has
+        model = PipelineModel.load(path)
+    except AnalysisException:
+        model = BoostedTrees.load(spark, path)
+    return model, inputs(model)
 
 
-def load(path: str) -> tuple[PipelineModel, list[str]]:
-    """The model and its feature columns in training order."""
-    model = PipelineModel.load(path)
-    return model, model.stages[0].getInputCols()
-
-
-def training_history(model: PipelineModel, train: DataFrame, validation: DataFrame, run: str) -> DataFrame:
-    """(run, epoch, train_loss, val_loss) of the boosted fault head, one row per boosting round."""
-    assembler, fault = model.stages[0], model.stages[1]
-    losses = []
-    for part in (train, validation):
-        data = assembler.transform(part).withColumn("y_fault", F.col("y_fault").cast("double"))
-        losses.append(fault.evaluateEachIteration(data))
-    rows = [(run, i + 1, float(a), float(b)) for i, (a, b) in enumerate(zip(*losses))]
-    return train.sparkSession.createDataFrame(rows, "run string, epoch int, train_loss double, val_loss double")
+def training_history(model: BoostedTrees, train: DataFrame, validation: DataFrame, run: str, factors=LOSS_WEIGHTS) -> DataFrame:
+    """(run, epoch, train_loss, val_loss): the weighted sum of the three heads' losses after each boosting round."""
+
+    def weighted(frame, name):
+        total = sum((F.col(f"loss_{h}") * F.lit(w) for h, w in factors.items()), F.lit(0.0))
+        return boosting.staged_losses(model, frame).select("epoch", total.alias(name))
+
+    log = weighted(train, "train_loss").join(weighted(validation, "val_loss"), "epoch")
+    return log.select(F.lit(run).alias("run"), "epoch", "train_loss", "val_loss")
 
 
 def best_run(log: DataFrame) -> DataFrame:

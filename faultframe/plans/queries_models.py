@@ -4,20 +4,16 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import encode_combined
 from ..functions.numeric import severity_level
-from ..operators import isolation, knn, models, monitor, scaling, splits
+from ..operators import isolation, knn, models, monitor, network, scaling, splits
 from ..operators.evaluate import head_losses
 from ..session import durable
-from ..settings import LOSS_WEIGHTS
+from ..settings import BOOST_TREES, LOSS_WEIGHTS
 from ..sources import views
 from .catalog import query, r, rounded
 from .prepare import window_features
 from .queries_prepare import CHANNELS, fresh_folder, grid
 from .score import score_flights
 
-# The size of m16 alone, as its oracle states that many rounds; all other registered runs have the full sizes.
-SMALL = {"trees": 5, "depth": 4}
-
-
 def split_vectors(spark, sf):
     """Embeddings as (id, vec, code, is_test), stratified by label."""
     rows = splits.stratified_split(views.vectors(spark, sf), ["vec_id"], "label")
@@ -62,6 +58,22 @@ def m1_flight(spark, sf):
     return rows.withColumn("is_test", F.col("is_test").cast("int"))
 
 
+# Epochs of the registered network.
+EPOCHS = 30
+
+# The fitted model of (application, tables): trained once, read by every query that scores with it.
+FITTED = {}
+
+
+def boosted(spark, sf):
+    """The boosted model of full size, its training rows and its test rows."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in FITTED:
+        train, test = split_features(spark, sf)
+        FITTED[key] = models.fit_boosted(train, models.feature_columns(train)), train, test
+    return FITTED[key]
+
+
 def consistent(scored):
     """Adds `consistent`: 1 where probability, label, type and level of a prediction are possible and agree."""
     sound = (
@@ -77,12 +89,21 @@ def consistent(scored):
 def judged(model, train, test):
     """Test windows with their truth, whether each prediction is consistent, and whether the training rows are learned.
 
-    The synthetic events carry no signal about their flight, so on the test rows nothing has to beat the majority class.
+    The synthetic events carry no signal about their flight, so on the test rows nothing has to beat the majority class. On
+    the training rows a model of full size has to be right where the majority class is wrong, for two rows in three at least.
     """
     keep = ["flight_id", "w", *models.LABELS]
-    share, hit = F.avg("y_fault"), F.avg((F.col("fault_label") == F.col("y_fault")).cast("int"))
-    learned = models.predict(model, train, keep).agg((hit >= F.greatest(share, 1 - share)).cast("int")).scalar()
-    return consistent(models.predict(model, test, keep)).select(*keep, "consistent", learned.alias("learned"))
+    return consistent(models.predict(model, test, keep)).select(*keep, "consistent", learned(model, train).alias("learned"))
+
+
+def learned(model, train):
+    """1 if two thirds of the training rows that the most frequent type would miss have their type, and of fault labels too."""
+    scored = models.predict(model, train, ["flight_id", "w", *models.LABELS])
+    healthy, kind = F.mode("y_fault"), F.mode("y_type")
+    usual = scored.agg(F.struct(healthy.alias("fault"), kind.alias("kind")).alias("u")).scalar()
+    scored = scored.withColumn("u", usual)
+    hit = lambda truth, guess, u: F.avg(F.when(F.col(truth) != F.col(f"u.{u}"), (F.col(truth) == F.col(guess)).cast("int")))
+    return scored.agg((F.least(hit("y_fault", "fault_label", "fault"), hit("y_type", "fault_type", "kind")) >= 2 / 3).cast("int")).scalar()
 
 
 JUDGED = "SELECT flight_id, w, y_fault, y_type, y_sev, 1 AS consistent, 1 AS learned FROM window_split WHERE is_test"
@@ -90,17 +111,19 @@ JUDGED = "SELECT flight_id, w, y_fault, y_type, y_sev, 1 AS consistent, 1 AS lea
 
 @query("m2_boosted_trees", JUDGED)
 def m2(spark, sf):
-    train, test = split_features(spark, sf)
-    model = models.fit_boosted(train, models.feature_columns(train))
-    return judged(model, train, test)
+    return judged(*boosted(spark, sf))
 
 
-@query("m3_batch_predict", "SELECT flight_id, w, 1 AS consistent FROM centres")
+# Of the windows that were trained on and are not of the most frequent type, two thirds at least have their type.
+@query(
+    "m3_batch_predict",
+    """SELECT flight_id, w, 1 AS consistent, 1 AS learned, CAST(is_test AS INTEGER) AS is_test FROM window_split""",
+)
 def m3(spark, sf):
-    train, test = split_features(spark, sf)
-    model = models.fit_boosted(train, models.feature_columns(train))
-    scored = models.predict(model, test.unionByName(train))
-    return consistent(scored).select("flight_id", "w", "consistent")
+    model, train, test = boosted(spark, sf)
+    both = test.withColumn("is_test", F.lit(1)).unionByName(train.withColumn("is_test", F.lit(0)))
+    scored = models.predict(model, both, ["flight_id", "w", "is_test"])
+    return consistent(scored).select("flight_id", "w", "consistent", learned(model, train).alias("learned"), "is_test")
 
 
 @query(
@@ -218,22 +241,74 @@ def m12(spark, sf):
     return knn.predict(model, queries)
 
 
+NETWORKS = {}
+
+
+def trained_network(spark, sf):
+    """The network of its best epoch, its history, and the rows it was trained and validated on."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in NETWORKS:
+        train, test = split_features(spark, sf)
+        folder = fresh_folder(spark)
+        model = network.created(train, models.feature_columns(train))
+        log = network.train_on("network", model, train, test, folder, EPOCHS)
+        NETWORKS[key] = network.Network.load(spark, f"{folder}/weights"), log, train, test
+    return NETWORKS[key]
+
+
+def head_rows(model, rows):
+    """Rows with the probabilities of the three heads and labels as positions in them."""
+    position = F.array_position(F.array(*[F.lit(k) for k in model.kinds]), F.col("y_type").cast("int")) - 1
+    return model.transform(rows).withColumn("y_type", position.cast("int"))
+
+
+def priors(rows, classes: int, label: str):
+    """Cross-entropy of always giving the shares of the classes."""
+    shares = [F.avg((F.col(label) == c).cast("int")) for c in range(classes)]
+    return sum((F.when(p > 0, -p * F.ln(p)).otherwise(0.0) for p in shares), F.lit(0.0))
+
+
+# The last epoch's network: the class shares alone are worse on the training rows, and the loss falls.
 @query(
     "m13_three_head_network",
-    "SELECT flight_id, w, y_fault, y_type, y_sev, 1 AS distributions FROM window_split WHERE is_test",
+    """SELECT flight_id, w, y_fault, y_type, y_sev, 1 AS distributions, 1 AS beats_prior, 1 AS loss_falls
+       FROM window_split WHERE is_test""",
 )
 def m13(spark, sf):
-    train, test = split_features(spark, sf)
-    model = models.fit_perceptron(train, models.feature_columns(train), n_types=5)
-    scored = models.head_probabilities(model, test)
+    model, log, train, test = trained_network(spark, sf)
 
     def proper(head: str, size: int):
         p = F.col(f"prob_{head}")
         total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
         return (F.size(p) == size) & (F.array_min(p) >= 0) & (F.abs(total - 1) < 1e-6)
 
-    sound = proper("fault", 2) & proper("type", 5) & proper("sev", 4)
-    return scored.select("flight_id", "w", *models.LABELS, sound.cast("int").alias("distributions"))
+    sound = proper("fault", 2) & proper("type", len(model.kinds)) & proper("sev", 4)
+    coded = head_rows(model, train).withColumn("model", F.lit("network"))
+    reached = head_losses(coded, {h: (f"y_{h}", f"prob_{h}", w) for h, w in LOSS_WEIGHTS.items()}).select("loss").scalar()
+    sizes = {"fault": 2, "type": len(model.kinds), "sev": 4}
+    prior = coded.agg(sum((priors(coded, n, f"y_{h}") * LOSS_WEIGHTS[h] for h, n in sizes.items()), F.lit(0.0))).scalar()
+    falls = log.agg((F.max_by("train_loss", "epoch") < F.min_by("train_loss", "epoch")).cast("int")).scalar()
+    return model.transform(test).select(
+        "flight_id", "w", *models.LABELS, sound.cast("int").alias("distributions"), (reached < prior).cast("int").alias("beats_prior"),
+        falls.alias("loss_falls"),
+    )
+
+
+# The loss of the network's own probabilities, worked out here and during training.
+@query(
+    "m14_network_loss",
+    """SELECT 'network' AS model, count(*) AS n, 1 AS weighted, 1 AS as_in_training FROM window_split WHERE is_test""",
+)
+def m14_network(spark, sf):
+    model, log, _, test = trained_network(spark, sf)
+    rows = head_rows(model, test).withColumn("model", F.lit("network"))
+    found = head_losses(rows, {h: (f"y_{h}", f"prob_{h}", w) for h, w in LOSS_WEIGHTS.items()})
+    total = sum((F.col(f"loss_{h}") * w for h, w in LOSS_WEIGHTS.items()), F.lit(0.0))
+    told = log.agg(F.max_by("val_loss", "epoch")).scalar()
+    return found.select(
+        "model", rows.agg(F.count(F.lit(1))).scalar().alias("n"), (F.abs(F.col("loss") - total) < 1e-9).cast("int").alias("weighted"),
+        (F.abs(F.col("loss") - told) < 1e-6).cast("int").alias("as_in_training"),
+    )
 
 
 @query(
@@ -270,16 +345,44 @@ def m15(spark, sf):
     return rounded(models.best_epochs(views.run_log(spark, sf)))
 
 
+SETTINGS = {
+    "narrow": {"hidden": (16,), "rate": 0.01}, "shallow": {"hidden": (64,)}, "deep": {"hidden": (64, 32)}, "slow": {"hidden": (64, 32), "rate": 0.0005},
+}
+
+
+# Real runs: the earlier half of them trains on, and the network that comes back is the chosen run's best epoch.
+@query(
+    "m15_run_selection",
+    """SELECT unnest(['deep', 'narrow', 'shallow', 'slow']) AS run, 1 AS history_whole, 1 AS least_of_run, 1 AS best_is_least,
+              1 AS restored""",
+)
+def m15_runs(spark, sf):
+    train, test = split_features(spark, sf)
+    folder = fresh_folder(spark)
+    log = durable(network.halved(train, test, models.feature_columns(train), SETTINGS, folder))
+    best = models.best_epochs(log)
+    chosen = best.where("is_best = 1").first()
+    model = network.restored(spark, f"{folder}/{chosen.run}")
+    again = head_losses(
+        head_rows(model, test).withColumn("model", F.lit(chosen.run)), {h: (f"y_{h}", f"prob_{h}", w) for h, w in LOSS_WEIGHTS.items()}
+    )
+    same = again.select((F.abs(F.col("loss") - chosen.val_loss) < 1e-6).cast("int")).scalar()
+    least = log.agg(F.min("val_loss")).scalar()
+    runs = log.groupBy("run").agg(F.min("val_loss").alias("least"), F.count(F.lit(1)).alias("n"), F.max("epoch").alias("last"))
+    return best.join(runs, "run").select(
+        "run", (F.col("n") == F.col("last") + 1).cast("int").alias("history_whole"), (F.col("val_loss") == F.col("least")).cast("int").alias("least_of_run"),
+        ((F.col("is_best") == 1) == (F.col("least") == least)).cast("int").alias("best_is_least"), same.alias("restored"),
+    )
+
+
 @query(
     "m16_training_history",
     f"""SELECT 'boost' AS run, CAST(epoch AS INTEGER) AS epoch, 1 AS finite, 1 AS train_loss_falls
-        FROM (SELECT unnest(range(1, {SMALL['trees'] + 1})) AS epoch)""",
+        FROM (SELECT unnest(range(1, {BOOST_TREES} + 1)) AS epoch)""",
 )
 def m16(spark, sf):
-    train, test = split_features(spark, sf)
-    model = models.fit_boosted(train, models.feature_columns(train), **SMALL)
-    log = models.training_history(model, train, test, "boost")
-    falls = log.agg((F.max_by("train_loss", "epoch") < F.min_by("train_loss", "epoch")).cast("int")).scalar()
+    log = durable(models.training_history(*boosted(spark, sf), "boost"))
+    falls = log.agg((F.max_by("train_loss", "epoch") < 0.5 * F.min_by("train_loss", "epoch")).cast("int")).scalar()
     finite = (F.abs("train_loss") < float("inf")) & (F.abs("val_loss") < float("inf"))
     return log.select("run", "epoch", finite.cast("int").alias("finite"), falls.alias("train_loss_falls"))
 
@@ -309,9 +412,8 @@ def m17(spark, sf):
 
 @query("s11_model_reload", "SELECT flight_id, w, 1 AS same FROM window_split WHERE is_test")
 def s11(spark, sf):
-    train, test = split_features(spark, sf)
+    fitted, _, test = boosted(spark, sf)
     folder = fresh_folder(spark)
-    fitted = models.fit_boosted(train, models.feature_columns(train))
     models.save(fitted, folder)
     model, columns = models.load(folder)
     keys, facts = ["flight_id", "w"], ["fault_prob", "fault_type", "severity_continuous"]
@@ -332,10 +434,9 @@ def s11_knn(spark, sf):
     return knn.majority_vote(knn.neighbours(model, queries))
 
 
-@query("g9_score_flights", f"SELECT flight_id, w, {r('t')}, 1 AS consistent FROM centres")
+@query("g9_score_flights", f"SELECT flight_id, w, {r('t')}, 1 AS consistent, 1 AS learned FROM centres")
 def g9(spark, sf):
-    train, _ = split_features(spark, sf)
-    model = models.fit_boosted(train, models.feature_columns(train))
+    model, train, _ = boosted(spark, sf)
     stats = durable(scaling.channel_stats(grid(spark, sf), CHANNELS))
-    scored = score_flights(views.raw(spark, sf), stats, model, CHANNELS)
-    return rounded(consistent(scored).select("flight_id", "w", "t", "consistent"))
+    scored = consistent(score_flights(views.raw(spark, sf), stats, model, CHANNELS))
+    return rounded(scored.select("flight_id", "w", "t", "consistent", learned(model, train).alias("learned")))
