@@ -7,11 +7,12 @@ siblings is summed up; the other is what is left of their parent. The driver see
 
 Rows never move after they are dealt out. A partition holds its rows as arrays with their current scores; scores are
 cached from round to round and checkpointed every CHECKPOINT rounds, so a lost executor costs at most that many rounds. RDDs
-hold them because a round is many short jobs over the same blocks, which DataFrames would plan anew each time.
+hold them because a round is many short jobs over the same blocks, which DataFrames would plan anew each time. Where all rows
+are in one task there is nothing to meet, and the same steps run there, CHECKPOINT rounds a job.
 """
 
 import pickle
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -318,77 +319,45 @@ def dealt(train: DataFrame, model: BoostedTrees, key: Column):
     return rows.mapInArrow(work, "block binary").rdd.map(lambda r: pickle.loads(bytes(r.block)))
 
 
-def _merged(parts: list[Cells]) -> Cells:
-    return Cells.added(np.concatenate([p.index for p in parts]), np.concatenate([p.sums for p in parts]))
+@dataclass
+class Level:
+    """What is open at a level of a round: the slots to sum up, and those that are their parent less their sibling."""
+
+    depth: int
+    direct: list[tuple[int, int]]  # (output, node)
+    derived: list[tuple[int, int]]
+    links: np.ndarray  # for each derived slot the slot of its parent in the level above, and of its sibling here
+    allowed: np.ndarray  # (slots, columns)
+    trees: list[Tree]
+
+    @property
+    def slots(self) -> list[tuple[int, int]]:
+        return [*self.direct, *self.derived]
 
 
-def grown(state, model: BoostedTrees, turn: int) -> list[Tree]:
-    """The trees of one round, level by level."""
+def grown(model: BoostedTrees, turn: int, judge) -> list[Tree]:
+    """The trees of one round; `judge` gives the best split of each slot of a level, as `best_splits`."""
     given, outputs, m = model.settings, len(model.base), len(model.columns)
-    penalty, least, rate, depth = given["penalty"], given["least"], given["rate"], model.depth
-    trees = [Tree.empty(depth) for _ in range(outputs)]
+    penalty, least, rate = given["penalty"], given["least"], given["rate"]
+    trees = [Tree.empty(model.depth) for _ in range(outputs)]
     random = np.random.default_rng([given["seed"], turn])
-    share = max(1, round(given["columns"] * m))
-    allowed = np.zeros((outputs, m), dtype=bool)
+    usable = np.zeros((outputs, m), dtype=bool)
     for k in range(outputs):
-        allowed[k, random.choice(m, share, replace=False)] = True
-    groups = -(-m // TASK_COLUMNS)
-    # What is open: (output, node). `direct` is summed up, `derived` is its parent less its sibling.
-    direct, derived, previous = [(k, 0) for k in range(outputs)], [], None
-    for depth_now in range(depth):
-        slot_of = np.full((outputs, (1 << (depth + 1)) - 1), -1, np.int64)
-        for s, (k, node) in enumerate(direct):
-            slot_of[k, node] = s
-        level, count, seed, rows_share = depth_now, len(direct), given["seed"], given["rows"]
-
-        def summed(blocks, trees=trees, slot_of=slot_of, level=level, count=count):
-            found = [[] for _ in range(groups)]
-            for keys, bins, labels, scores in blocks:
-                inside = drawn(keys, seed, turn, rows_share)
-                bins, slope, curve = bins[inside], *(v[inside] for v in gradients(scores, labels))
-                slots = np.stack([slot_of[k][t.places(bins, level)] for k, t in enumerate(trees)], axis=1)
-                for g in range(groups):
-                    found[g].append(histograms(bins[:, g * TASK_COLUMNS : (g + 1) * TASK_COLUMNS], slope, curve, slots, count))
-            for g, parts in enumerate(found):
-                if parts:
-                    yield g, (_merged(parts) if len(parts) > 1 else parts[0])
-
-        # The parent of a derived slot is a slot of the level above, its smaller sibling a direct slot.
-        slots = [*direct, *[(k, node) for k, node, _, _ in derived]]
-        links = np.array([(parent, sibling) for _, _, parent, sibling in derived], dtype=np.int64).reshape(-1, 2)
-        may = allowed[[k for k, _ in slots]]
-
-        def judged(parts, links=links, may=may, count=count):
-            met = {}
-            for g, found in parts:
-                met.setdefault(g, ([], []))[isinstance(found, tuple)].append(found)
-            for g, (new, above) in met.items():
-                usable = may[:, g * TASK_COLUMNS : (g + 1) * TASK_COLUMNS]
-                cells, width = _merged(new), usable.shape[1] * BINS
-                if len(links):
-                    there, total = above[0][0].of_slots(links[:, 0], width)
-                    here, less = cells.of_slots(links[:, 1], width)
-                    rest = Cells.added(np.concatenate([there, here]), np.concatenate([total, -less]))
-                    cells = Cells(np.concatenate([cells.index, rest.index + count * width]), np.concatenate([cells.sums, rest.sums]))
-                yield g, (cells, best_splits(cells, usable, penalty, least))
-
-        met = state.mapPartitions(summed).partitionBy(groups)
-        sums = (met if previous is None else previous.union(met)).mapPartitions(judged, preservesPartitioning=True)
-        sums = sums.persist(StorageLevel.MEMORY_AND_DISK)
-        found = sorted(sums.map(lambda item: (item[0], item[1][1])).collect(), key=lambda x: x[0])
-        if previous is not None:
-            previous.unpersist()
-        previous = sums
-        direct, derived = [], []
+        usable[k, random.choice(m, max(1, round(given["columns"] * m)), replace=False)] = True
+    direct, derived, links = [(k, 0) for k in range(outputs)], [], []
+    for depth in range(model.depth):
+        slots = [*direct, *derived]
+        level = Level(depth, direct, derived, np.array(links, dtype=np.int64).reshape(-1, 2), usable[[k for k, _ in slots]], trees)
+        found = judge(level)
+        direct, derived, links = [], [], []
         for s, (k, node) in enumerate(slots):
-            gain, g = max((group[s][0], -g) for g, group in found)
-            _, column, cut, slope, curve, all_slope, all_curve = found[-g][1][s]
+            gain, column, cut, slope, curve, all_slope, all_curve = found[s]
             tree = trees[k]
             if node == 0:
                 tree.value[0] = -rate * all_slope / (all_curve + penalty)
             if gain <= LEAST_GAIN:
                 continue
-            tree.column[node], tree.cut[node] = column - g * TASK_COLUMNS, cut
+            tree.column[node], tree.cut[node] = column, cut
             sides = [(2 * node + 1, slope, curve), (2 * node + 2, all_slope - slope, all_curve - curve)]
             for child, a, b in sides:
                 tree.value[child] = -rate * a / (b + penalty)
@@ -396,13 +365,105 @@ def grown(state, model: BoostedTrees, turn: int) -> list[Tree]:
             if going:
                 direct.append((k, going[0][0]))
                 if len(going) == 2:
-                    derived.append((k, going[1][0], s, len(direct) - 1))
+                    derived.append((k, going[1][0]))
+                    links.append((s, len(direct) - 1))
         if not direct:
             break
-    previous.unpersist()
     return trees
 
 
+def summed(blocks, level: Level, given: dict, turn: int) -> list[Cells]:
+    """The histograms of some blocks for the direct slots of a level, one for each group of columns."""
+    n = len(level.trees[0].column)
+    slot_of = np.full((len(level.trees), n), -1, np.int64)
+    for s, (k, node) in enumerate(level.direct):
+        slot_of[k, node] = s
+    groups = -(-level.allowed.shape[1] // TASK_COLUMNS)
+    found = [[] for _ in range(groups)]
+    for keys, bins, labels, scores in blocks:
+        inside = drawn(keys, given["seed"], turn, given["rows"])
+        bins, slope, curve = bins[inside], *(v[inside] for v in gradients(scores, labels))
+        slots = np.stack([slot_of[k][t.places(bins, level.depth)] for k, t in enumerate(level.trees)], axis=1)
+        for g in range(groups):
+            found[g].append(histograms(bins[:, g * TASK_COLUMNS : (g + 1) * TASK_COLUMNS], slope, curve, slots, len(level.direct)))
+    return [merged(parts) for parts in found if parts]
+
+
+def merged(parts: list[Cells]) -> Cells:
+    if len(parts) == 1:
+        return parts[0]
+    return Cells.added(np.concatenate([p.index for p in parts]), np.concatenate([p.sums for p in parts]))
+
+
+def judged(group: int, cells: Cells, above: Cells | None, level: Level, given: dict) -> tuple[Cells, list[tuple]]:
+    """All slots' cells of a group of columns and their best splits, from those of the direct slots and of the level above."""
+    usable = level.allowed[:, group * TASK_COLUMNS : (group + 1) * TASK_COLUMNS]
+    if len(level.links):
+        width = usable.shape[1] * BINS
+        there, total = above.of_slots(level.links[:, 0], width)
+        here, less = cells.of_slots(level.links[:, 1], width)
+        rest = Cells.added(np.concatenate([there, here]), np.concatenate([total, -less]))
+        index = np.concatenate([cells.index, rest.index + len(level.direct) * width])
+        cells = Cells(index, np.concatenate([cells.sums, rest.sums]))
+    found = [(s[0], s[1] + group * TASK_COLUMNS, *s[2:]) for s in best_splits(cells, usable, given["penalty"], given["least"])]
+    return cells, found
+
+
+def best_of(groups: list[list[tuple]]) -> list[tuple]:
+    """The best split of each slot over groups of columns in their order, the first of equal ones."""
+    return [max(found, key=lambda s: s[0]) for found in zip(*groups, strict=True)]
+
+
+def scored(blocks, trees: list[Tree], depth: int) -> list[tuple]:
+    return [(k, b, y, s + np.stack([t.value[t.places(b, depth)] for t in trees], axis=1)) for k, b, y, s in blocks]
+
+
+def round_over_tasks(state, model: BoostedTrees, turn: int) -> list[Tree]:
+    """A round over rows in many tasks: a level is a job in which the sums of each group of columns meet in a task."""
+    given, groups = model.settings, -(-len(model.columns) // TASK_COLUMNS)
+    previous = []
+
+    def judge(level: Level) -> list[tuple]:
+        def meeting(parts):
+            met = {}
+            for g, found in parts:
+                met.setdefault(g, ([], []))[isinstance(found, tuple)].append(found)
+            for g, (new, above) in met.items():
+                yield g, judged(g, merged(new), above[0][0] if above else None, level, given)
+
+        met = state.mapPartitions(lambda blocks: enumerate(summed(blocks, level, given, turn))).partitionBy(groups)
+        both = previous[-1].union(met) if previous else met
+        sums = both.mapPartitions(meeting, preservesPartitioning=True).persist(StorageLevel.MEMORY_AND_DISK)
+        found = sorted(sums.map(lambda item: (item[0], item[1][1])).collect(), key=lambda x: x[0])
+        previous.append(sums)
+        if len(previous) > 1:
+            previous.pop(0).unpersist()
+        return best_of([splits for _, splits in found])
+
+    trees = grown(model, turn, judge)
+    previous.pop().unpersist()
+    return trees
+
+
+def rounds_in_task(blocks: list[tuple], model: BoostedTrees, turns: range) -> tuple[list[tuple], list[list[Tree]]]:
+    """Rounds over rows that are all in one task, where sums need not travel to meet."""
+    made = []
+    for turn in turns:
+        above = []
+
+        def judge(level: Level, above=above, turn=turn, blocks=blocks) -> list[tuple]:
+            found = [
+                judged(g, cells, above[g] if above else None, level, model.settings)
+                for g, cells in enumerate(summed(blocks, level, model.settings, turn))
+            ]
+            above[:] = [cells for cells, _ in found]
+            return best_of([splits for _, splits in found])
+
+        made.append(grown(model, turn, judge))
+        blocks = scored(blocks, made[-1], model.depth)
+    return blocks, made
+
+
 def fit(train: DataFrame, columns, ids=("flight_id", "w"), rounds=BOOST_TREES, depth=BOOST_DEPTH, rate=BOOST_RATE, rows=BOOST_ROWS,
         share=BOOST_COLUMNS, seed=42, penalty=1.0, least=1.0, start: BoostedTrees | None = None) -> BoostedTrees:
     """Boosted trees for y_fault (0 or 1), y_type (any codes) and y_sev (a number).
@@ -430,24 +491,33 @@ def fit(train: DataFrame, columns, ids=("flight_id", "w"), rounds=BOOST_TREES, d
         context.setCheckpointDir(shared_folder(spark))
     state = dealt(train, model, F.xxhash64(*ids)).persist(StorageLevel.MEMORY_AND_DISK)
     state.checkpoint()
-    older, last = [], len(model.trees) + rounds
-    for turn in range(len(model.trees), last):
-        trees = grown(state, model, turn)
-        while older:
-            older.pop().unpersist()
-        model.trees.append(trees)
-        if turn + 1 == last:
-            break
-
-        def scored(block, trees=trees, depth=model.depth):
-            keys, bins, labels, scores = block
-            gained = [t.value[t.places(bins, depth)] for t in trees]
-            return keys, bins, labels, scores + np.stack(gained, axis=1)
+    first, last, bare = len(model.trees), len(model.trees) + rounds, replace(model, trees=[])
+    older = []
 
+    def moved(new):
         older.append(state)
-        state = state.map(scored).persist(StorageLevel.MEMORY_AND_DISK)
-        if (turn + 1) % CHECKPOINT == 0:
-            state.checkpoint()
+        new = new.persist(StorageLevel.MEMORY_AND_DISK)
+        if len(model.trees) % CHECKPOINT == 0:
+            new.checkpoint()
+        return new
+
+    if state.getNumPartitions() == 1:
+        for turn in range(first, last, CHECKPOINT):
+            turns = range(turn, min(turn + CHECKPOINT, last))
+            done = state.mapPartitions(lambda blocks, turns=turns: [rounds_in_task(list(blocks), bare, turns)])
+            done = done.persist(StorageLevel.MEMORY_AND_DISK)
+            model.trees += [trees for part in done.map(lambda x: x[1]).collect() for trees in part]
+            state = moved(done.flatMap(lambda x: x[0]))
+            state.count()
+            done.unpersist()
+            older.pop().unpersist()
+    else:
+        for turn in range(first, last):
+            model.trees.append(round_over_tasks(state, bare, turn))
+            while older:
+                older.pop().unpersist()
+            if turn + 1 < last:
+                state = moved(state.mapPartitions(lambda blocks, trees=model.trees[-1]: scored(blocks, trees, bare.depth)))
     state.unpersist()
     return model
 
