@@ -8,6 +8,10 @@ pair, the l of the larger set holds.
 Equal sets are one set. Because classes are wanted and not all pairs, sets that share prefix shingles are first compared
 with one of their number (a hub); only between sets which this leaves in different classes all candidates are compared.
 So a group of n near copies costs about n comparisons, and no link between different classes is lost.
+
+Every set has a sketch, the parities of its shingles in 512 buckets. A shingle that only one of two sets has changes one
+parity, so sketches that differ in d bits belong to sets that differ in at least d shingles. Candidates whose sketches
+differ too much are dropped before any shingles are fetched; a bound, which loses no link.
 """
 
 import zlib
@@ -34,6 +38,8 @@ ROW_COST, VERIFY_COST = 4.0, 32.0
 HOT = 1024
 MAP_BITS = 24
 
+SKETCH = [f"s{k}" for k in range(8)]
+
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -56,8 +62,23 @@ def set_ids(found: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.where(sizes > 0, names, np.uint64(0)).view(np.int64)
 
 
+def sketches(found: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(sets, 8): the parities of each set's shingles by the lowest 9 bits, as 64-bit words."""
+    n, width = len(first) - 1, 64 * len(SKETCH)
+    owner = np.repeat(np.arange(n), np.diff(first))
+    bucket = (found & np.uint64(width - 1)).astype(np.int64)
+    odd = np.bincount(owner * width + bucket, minlength=n * width).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(n, width), axis=1).view(np.int64)
+
+
+def alike(x: str, y: str):
+    """Whether the sketches of x and y allow a likeness of 0.8: 9 * differing shingles <= all shingles."""
+    differing = sum((F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in SKETCH), F.lit(0))
+    return differing * 9 <= F.col(f"{x}.size") + F.col(f"{y}.size")
+
+
 def described(docs: DataFrame) -> DataFrame:
-    """Stored: a row (doc_id, n_shingles, sid) for each document, and rows (task, block, counts) of shingle counts."""
+    """Stored: a row (doc_id, n_shingles, sid, sketch) for each document, and rows (task, block, counts) of shingle counts."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNTER_BITS, dtype=np.uint32)
@@ -67,17 +88,17 @@ def described(docs: DataFrame) -> DataFrame:
             n = len(column)
             none = pa.nulls(n, pa.int32())
             columns = [rows.column("doc_id"), pa.array(np.diff(first)), pa.array(set_ids(found, first)), none, none, pa.nulls(n, pa.binary())]
+            columns += [pa.array(s) for s in sketches(found, first).T]
             yield pa.RecordBatch.from_arrays(columns, names)
         task = TaskContext.get().partitionId()
         for block, part in enumerate(counts.reshape(-1, BLOCK)):
             if part.any():
                 none = pa.nulls(1, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [none, none, none, pa.array([task], pa.int32()), pa.array([block], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], names
-                )
+                columns = [none, none, none, pa.array([task], pa.int32()), pa.array([block], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])]
+                yield pa.RecordBatch.from_arrays([*columns, *[none] * len(SKETCH)], names)
 
-    names = ["doc_id", "n_shingles", "sid", "task", "block", "counts"]
-    schema = "doc_id long, n_shingles long, sid long, task int, block int, counts binary"
+    names = ["doc_id", "n_shingles", "sid", "task", "block", "counts", *SKETCH]
+    schema = "doc_id long, n_shingles long, sid long, task int, block int, counts binary, " + ", ".join(f"{s} long" for s in SKETCH)
     return stored(docs.mapInArrow(work, schema), "shingle-sets")
 
 
@@ -201,15 +222,21 @@ def verified(docs: DataFrame, info: DataFrame, pairs: DataFrame) -> DataFrame:
     return stored(both.where(linked).select("a", "b"), "links")
 
 
-def hub_pairs(shared: DataFrame) -> DataFrame:
-    """Stored: for each set the hub with which it shares most prefix shingles. The hub of a shingle is the set of lowest hash."""
+def hub_pairs(shared: DataFrame, marks: DataFrame) -> DataFrame:
+    """Stored: for each set the hub with which it shares most prefix shingles, if their sketches are alike.
+
+    The hub of a shingle is the set of lowest hash.
+    """
     hubs = shared.groupBy("token").agg(F.min(F.struct(F.xxhash64("sid").alias("h"), "sid", "size")).alias("hub"))
     met = shared.join(hubs, "token").where("sid <> hub.sid and 5 * least(size, hub.size) >= 4 * greatest(size, hub.size)")
     counted = met.groupBy(F.col("sid").alias("a"), F.col("hub.sid").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    return stored(counted.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")), "hub-pairs")
+    best = counted.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    x, y = marks.alias("x"), marks.alias("y")
+    met = best.join(x, F.col("a") == F.col("x.sid")).join(y, F.col("b") == F.col("y.sid"))
+    return stored(met.where(alike("x", "y")).select("a", "b"), "hub-pairs")
 
 
-def open_pairs(shared: DataFrame, labels: DataFrame) -> DataFrame:
+def open_pairs(shared: DataFrame, labels: DataFrame, marks: DataFrame) -> DataFrame:
     """Stored: candidate pairs of sets with different labels.
 
     For each shingle, sets outside its most common label meet all others, so that sets of one label never meet.
@@ -218,7 +245,7 @@ def open_pairs(shared: DataFrame, labels: DataFrame) -> DataFrame:
     rows = stored(rows.withColumn("label", F.coalesce("label", "sid")), "labelled")
     counts = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = counts.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
-    rows = rows.join(mixed.where("labels > 1").drop("labels"), "token")
+    rows = rows.join(mixed.where("labels > 1").drop("labels"), "token").join(marks.drop("size"), "sid")
     x, y = rows.where("label <> main").alias("x"), rows.alias("y")
     rest = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
     need = F.ceil((F.col("x.size") + F.col("y.size")) * 4 / 9)
@@ -227,6 +254,7 @@ def open_pairs(shared: DataFrame, labels: DataFrame) -> DataFrame:
         (F.col("x.label") != F.col("y.label"))
         & ((F.col("y.label") == F.col("y.main")) | (F.col("x.sid") < F.col("y.sid")))
         & (F.least("x.size", "y.size") * 5 >= F.greatest("x.size", "y.size") * 4)
+        & alike("x", "y")
         # The first l of at least `need` common shingles stand so far in front in both.
         & (F.col("x.pos") <= F.col("x.size") - need + probe - 1)
         & (F.col("y.pos") <= F.col("y.size") - need + probe - 1)
@@ -242,45 +270,69 @@ def open_pairs(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(counted.where("matches >= ell and most >= need").select("a", "b"), "open-pairs")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of `docs` (doc_id, text, any others).
+def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored: (doc_id, n_shingles, sid, sketch) of every row, and (sid, label, lowest, component_id) of every set.
 
-    Two documents link when their sets of five-word shingles have a Jaccard likeness of 0.8 or more; component_id is the
-    smallest doc_id to be reached by links. Texts that are NULL or without words have no shingles and link with nothing.
-    A NULL doc_id takes no part and gets a NULL component. Rows with equal texts are one class; repeated rows come back
-    as often as they occur. Sets and shingles are told apart by 64-bit hashes.
+    Sets of one label are one class; `lowest` is the smallest doc_id that has the set, `component_id` that of the class.
     """
-    spark: SparkSession = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     all_rows = described(docs)
-    info = all_rows.where("block is null").select("doc_id", "n_shingles", "sid")
+    info = all_rows.where("block is null").select("doc_id", "n_shingles", "sid", *SKETCH)
     known = info.where("n_shingles > 0 and doc_id is not null")
+    marks = known.groupBy("sid").agg(F.first("n_shingles").alias("size"), *[F.first(s).alias(s) for s in SKETCH])
+    marks = stored(marks, "sketches")
     order = frequency_classes(all_rows.where("block is not null"))
     owned = docs.where("doc_id is not null")
     shared = repeated_prefixes(prefixes(owned, order))
-    links = verified(owned, known, hub_pairs(shared))
+    links = verified(owned, known, hub_pairs(shared, marks))
     labels = components(links)
-    further = open_pairs(shared, labels)
+    further = open_pairs(shared, labels, marks)
     if not further.isEmpty():
         labels = components(links.union(verified(owned, known, further)))
     lowest = known.groupBy("sid").agg(F.min("doc_id").alias("lowest")).join(labels.withColumnRenamed("node", "sid"), "sid", "left")
     lowest = lowest.withColumn("label", F.coalesce("label", "sid"))
     group = lowest.groupBy("label").agg(F.min("lowest").alias("component_id"))
     # Named by label and sid, both unique on this side; the documents' side may be split where one set is frequent.
-    named = stored(lowest.join(group, "label").select("sid", "component_id"), "classes")
-    rows = info.join(named, "sid", "left")
+    return info, stored(lowest.join(group, "label").select("sid", "label", "lowest", "component_id"), "classes")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of `docs` (doc_id, text, any others).
+
+    Two documents link when their sets of five-word shingles have a Jaccard likeness of 0.8 or more; component_id is the
+    smallest doc_id to be reached by links. Texts that are NULL or without words have no shingles and link with nothing.
+    A NULL doc_id takes no part and gets a NULL component. Rows with equal texts are one class; repeated rows come back
+    as often as they occur. Sets and shingles are told apart by 64-bit hashes.
+    """
+    info, named = labelled(docs)
+    rows = info.select("doc_id", "n_shingles", "sid").join(named.select("sid", "component_id"), "sid", "left")
     return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def with_set_ids(docs: DataFrame) -> DataFrame:
+    """`docs` with __sid, the name of each text's set (0 without words)."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, column in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(set_ids(*shingle_sets(column)))], [*rows.schema.names, "__sid"])
+
+    return docs.mapInArrow(work, docs.withColumn("__sid", F.lit(0).cast("long")).schema)
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """`docs` with one document of each class: that of the lowest doc_id.
+    """`docs` with one document of each class: that of the lowest doc_id, and of the smallest set name if that id has
+    several texts of the class.
 
-    Rows of one doc_id are one document, and one of them stays. Rows without doc_id or without words link with nothing
-    and all stay.
+    Of rows with that id and set the one with the smallest text stays, then that of the smallest hash of all columns. A
+    doc_id with unlike texts has a document in each of their classes. Rows without doc_id or without words link with
+    nothing and all stay.
     """
-    found = classes(docs)
-    lowest = found.where("n_shingles > 0 and doc_id = component_id").select("doc_id").distinct()
+    _, named = labelled(docs)
+    chosen = named.groupBy("label").agg(F.min(F.struct("lowest", "sid")).alias("c")).select("c.lowest", F.col("c.sid").alias("__sid"))
     linked = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = docs.where(linked).join(lowest, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).union(docs.where(~linked))
+    names = docs.columns
+    rows = with_set_ids(docs.where(linked))
+    kept = rows.join(chosen, (rows["doc_id"] == chosen["lowest"]) & (rows["__sid"] == chosen["__sid"]), "left_semi")
+    first = F.min_by(F.struct(*names), F.struct("text", F.xxhash64(*names))).alias("row")
+    return kept.groupBy("doc_id", "__sid").agg(first).select("row.*").union(docs.where(~linked))

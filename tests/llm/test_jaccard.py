@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,7 +82,36 @@ def test_longer_prefixes_lose_no_link(documents, monkeypatch):
 
 def test_candidates_without_hubs(documents, monkeypatch):
     """Every link can be found by the prefixes alone."""
-    none = lambda shared: shared.select(F.col("sid").alias("a"), F.col("sid").alias("b")).limit(0)
+    none = lambda shared, marks: shared.select(F.col("sid").alias("a"), F.col("sid").alias("b")).limit(0)
     monkeypatch.setattr(jaccard, "hub_pairs", none)
     rows = corpus(4)
     assert sorted(map(tuple, jaccard.classes(documents(*rows)).collect()), key=str) == expected(rows)
+
+
+def test_sketches_bound_the_difference():
+    rng = random.Random(9)
+    for n in (1, 30, 700):
+        sets = [np.array(sorted(rng.getrandbits(64) for _ in range(n)), dtype=np.uint64) for _ in range(2)]
+        sets.append(np.sort(np.concatenate([sets[0][: n // 2], sets[1][: n // 3]])))
+        marks = jaccard.sketches(np.concatenate(sets), np.cumsum([0, *map(len, sets)])).view(np.uint8)
+        for i in range(3):
+            for j in range(3):
+                differing = int(np.unpackbits(marks[i] ^ marks[j]).sum())
+                assert differing <= len(set(sets[i].tolist()) ^ set(sets[j].tolist())) and (i != j or differing == 0)
+
+
+def test_one_of_each_keeps_a_document_of_every_class(documents):
+    a, b = "a1 a2 a3 a4 a5 a6 a7", "b1 b2 b3 b4 b5 b6 b7"
+    rows = [(1, a), (1, b), (2, b), (3, a.upper()), (4, None), (4, None), (None, a), (5, " "), (6, "c d"), (6, "C d"), (6, "c d")]
+    got = sorted(((r.doc_id, r.text) for r in jaccard.one_of_each(documents(*rows)).collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (4, None), (4, None), (None, a), (5, " "), (6, "C d")], key=str)
+    docs = documents(*rows).withColumns({"sid": F.lit(1), "label": F.lit("x"), "lowest": F.lit(2)})
+    assert jaccard.one_of_each(docs).columns == docs.columns and jaccard.one_of_each(docs).count() == 7
+
+
+def test_very_long_texts(documents):
+    rng = random.Random(10)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    near = [w if rng.random() < 0.99 else "x" for w in long]
+    rows = [(3, " ".join(long)), (2, " ".join(near)), (1, " ".join(long[:40_000]))]
+    assert sorted(map(tuple, jaccard.classes(documents(*rows)).collect()), key=str) == expected(rows)
