@@ -214,7 +214,7 @@ def sets_of(docs: DataFrame, info: DataFrame, wanted: DataFrame) -> DataFrame:
 def verified(docs: DataFrame, info: DataFrame, pairs: DataFrame) -> DataFrame:
     """Stored: the pairs (a, b) of sids whose sets have 100 * intersection >= 80 * union."""
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    sets = stored(sets_of(docs, info, wanted), "sets")
+    sets = sets_of(docs, info, wanted)  # both joins read the same shuffled sets
     left = pairs.select("a", "b").join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
