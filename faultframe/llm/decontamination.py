@@ -3,7 +3,8 @@
 A seed mask looks at some of a few neighbouring words and ignores the others, so a substituted word spoils only the masks
 that look at it. Benchmark and documents are hashed under fixed masks, equal hashes give an alignment of a document with
 a benchmark item, and around such hits the aligned words are compared one by one: a stretch counts +1 for an equal and
--2 for a substituted word, and the best stretch must hold enough equal words.
+-2 for a substituted word, and one of the maximal stretches must hold enough equal words. Those are the stretches that no
+word on either side can improve; every stretch that is positive from both ends lies inside one of them.
 
 Words are runs of letters, digits and non-ASCII characters with A-Z lower-cased, so punctuation does not matter.
 """
@@ -15,14 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words
-from .shared import bit_map, in_map, slices, small_batches, stored, text_bytes
+from .shared import REMEMBERED, bit_map, in_map, slices, small_batches, stored, text_bytes
 
 # With these, a passage of 15 words with 3 of them substituted at random has a hit with probability above 0.999.
 MASKS = ("11111", "1110011", "1101101", "10110101", "110001011", "1010100101")
-# Equal words that the best stretch needs; of an item with fewer words, this share of them.
+# Equal words that a stretch needs; of an item with fewer words, this share of them.
 ENOUGH, SHARE = 12, 0.75
 SUBSTITUTION = -2
-MAP_BITS = 26
 
 
 def seeds(hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -74,6 +74,8 @@ def hits(docs: DataFrame, table) -> DataFrame:
         seen = set()
         for rows, column in slices(batches, "text"):
             keys = np.asarray(rows.column("key"))
+            if len(seen) > REMEMBERED:  # then a copy may come again; the join makes its rows one
+                seen.clear()
             new = np.array([k not in seen and not seen.add(k) for k in keys.tolist()], dtype=bool)
             found, first = hashed(column)
             for seed, at in seeds(found, first):
@@ -90,7 +92,7 @@ def hits(docs: DataFrame, table) -> DataFrame:
 
 def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, words) of the texts with these keys, once each. A bit map spares the other texts."""
-    table = docs.sparkSession.sparkContext.broadcast(bit_map(keys, F.col("key"), MAP_BITS))
+    table = docs.sparkSession.sparkContext.broadcast(bit_map(keys, F.col("key")))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,13 +105,23 @@ def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return found.join(keys, "key", "left_semi").groupBy("key").agg(F.first("words").alias("words"))
 
 
-def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
-    """Start, end and equal words of the stretch with the highest sum."""
-    run = np.concatenate([[0], np.cumsum(np.where(equal, 1, SUBSTITUTION))])
-    low = np.minimum.accumulate(run)
-    end = int(np.argmax(run - low))
-    start = int(np.argmax(run[: end + 1] == low[end]))
-    return start, end, int(equal[start:end].sum())
+def stretches(equal: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, end, equal words) of all maximal stretches, in order: a linear pass over the runs of equal words."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], equal, [False]]).astype(np.int8))).tolist()
+    found, total, at = [], 0, 0  # (start, end, sum before, sum behind)
+    for start, end in zip(edges[::2], edges[1::2], strict=True):
+        before = total + SUBSTITUTION * (start - at)
+        total, at = before + end - start, end
+        own = (start, end, before, total)
+        while True:
+            # The nearest stretch that begins lower; with one that ends lower too, everything in between becomes one.
+            near = next((k for k in range(len(found) - 1, -1, -1) if found[k][2] < own[2]), None)
+            if near is None or found[near][3] >= own[3]:
+                found.append(own)
+                break
+            own = (found[near][0], own[1], found[near][2], own[3])
+            del found[near:]
+    return [(s, e, int(equal[s:e].sum())) for s, e, _, _ in found]
 
 
 def overlaps(aligned: DataFrame) -> DataFrame:
@@ -123,9 +135,12 @@ def overlaps(aligned: DataFrame) -> DataFrame:
                 text = np.asarray(batch.column("words")[i].values)
                 item = np.asarray(batch.column("item")[i].values)
                 low, high = max(0, -shift), min(len(item), len(text) - shift)
-                start, end, equal = best_stretch(text[shift + low : shift + high] == item[low:high])
-                if equal >= min(ENOUGH, SHARE * len(item)):
-                    out.append((batch.column("key")[i].as_py(), batch.column("item_id")[i].as_py(), shift + low + start, end - start, equal))
+                same, enough = text[shift + low : shift + high] == item[low:high], min(ENOUGH, SHARE * len(item))
+                if same.sum() < enough:
+                    continue
+                for start, end, equal in stretches(same):
+                    if equal >= enough:
+                        out.append((batch.column("key")[i].as_py(), batch.column("item_id")[i].as_py(), shift + low + start, end - start, equal))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["key", "item_id", "start_word", "n_words", "n_equal"])
 
@@ -143,7 +158,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("key"))
     texts = docs.where("text is not null").select("key", "text")
     items, known = benchmark_items(benchmark)
-    table = docs.sparkSession.sparkContext.broadcast(bit_map(known, F.col("seed"), MAP_BITS))
+    table = docs.sparkSession.sparkContext.broadcast(bit_map(known, F.col("seed")))
     met = hits(texts, table).join(known.withColumnRenamed("at", "item_at"), "seed")
     shifts = stored(met.select("key", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "alignments")
     spelled = texts_of(texts, shifts.select("key").distinct())

@@ -21,6 +21,8 @@ BINS = 512
 BITS = 4
 # Documents of one run of the order; a parameter of the shuffle, not of the result.
 RUN_ROWS = 8192
+# Runs, and so borders, there are at most; beyond that runs grow longer.
+MOST_RUNS = 1 << 16
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -91,12 +93,12 @@ def with_successors(docs: DataFrame, rows_per_run=RUN_ROWS) -> DataFrame:
     """(run, place, doc_id, text) in runs of descending doc_id, NULL ids last and equal ids by descending text.
 
     The last row of each run (place 1) is a copy of the first row of the next run, and that of the last run a copy of
-    the very first, so that every document (place 0) has its successor beside it. Only the run borders, quantiles of
-    the ids, pass through the driver; texts are shuffled once.
+    the very first, so that every document (place 0) has its successor beside it. Only the run borders, at most MOST_RUNS
+    quantiles of the ids, pass through the driver; texts are shuffled once.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = docs.count()
-    runs = max(1, -(-n // rows_per_run))
+    runs = min(MOST_RUNS, max(1, -(-n // rows_per_run)))
     shares = [k / runs for k in range(1, runs)]
     borders = docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 10 * runs))).first()[0] if shares and n else []
     borders = np.unique(np.array(borders or [], dtype=np.int64))
@@ -108,13 +110,15 @@ def with_successors(docs: DataFrame, rows_per_run=RUN_ROWS) -> DataFrame:
         return ids.__class__(np.where(known, place, len(borders) + 1).astype("int32"))
 
     located = docs.withColumn("run", run_of("doc_id"))
-    heads = located.groupBy("run").agg(F.max(F.struct("doc_id", "text")).alias("head"))
-    # As many rows as runs: one window over all of them is bounded by the number of tasks' shares.
+    # A row for each run (MOST_RUNS at most), without its text: the run whose head it succeeds.
+    heads = located.groupBy("run").agg(F.max("doc_id").alias("head"))
     order = W.orderBy("run")
-    first = F.first("head").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    ghosts = heads.select("run", F.coalesce(F.lead("head").over(order), first).alias("head"))
+    last = F.last("run").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    before = heads.select(F.col("run").alias("own"), "head", F.coalesce(F.lag("run").over(order), last).alias("run"))
+    same = (F.col("own") == located["run"]) & F.col("head").eqNullSafe(located["doc_id"])
+    firsts = located.join(F.broadcast(before), same).groupBy(before["run"]).agg(F.max(F.struct("doc_id", "text")).alias("head"))
     return located.select("run", F.lit(0).alias("place"), "doc_id", "text").unionByName(
-        ghosts.select("run", F.lit(1).alias("place"), "head.doc_id", "head.text")
+        firsts.select("run", F.lit(1).alias("place"), "head.doc_id", "head.text")
     )
 
 

@@ -26,7 +26,7 @@ from pyspark.sql.window import Window as W
 
 from . import words
 from .graph import components
-from .shared import bit_map, in_map, slices, small_batches, stored, text_bytes
+from .shared import REMEMBERED, bit_map, in_map, slices, small_batches, stored, text_bytes
 
 # Counters of the frequency table that orders shingles: its size bounds what the driver and every task hold.
 COUNTER_BITS = 22
@@ -36,7 +36,6 @@ MOST = 3
 ROW_COST, VERIFY_COST = 4.0, 32.0
 # Prefix shingles whose counter exceeds this (or four times the mean counter) are known to repeat without a look.
 HOT = 1024
-MAP_BITS = 24
 
 SKETCH = [f"s{k}" for k in range(8)]
 
@@ -133,6 +132,8 @@ def prefixes(docs: DataFrame, classes: np.ndarray) -> DataFrame:
         seen = set()
         for _, column in slices(batches, "text"):
             found, first = shingle_sets(column)
+            if len(seen) > REMEMBERED:  # equal rows are made one later
+                seen.clear()
             group = table.value[found >> np.uint64(64 - COUNTER_BITS)]
             picked, sids, sizes, places, ells = [], [], [], [], []
             for a, b, sid in zip(first[:-1].tolist(), first[1:].tolist(), set_ids(found, first).tolist(), strict=True):
@@ -195,7 +196,7 @@ def sets_of(docs: DataFrame, info: DataFrame, wanted: DataFrame) -> DataFrame:
     """(sid, shingles) for the sids `wanted`. A bit map of their smallest doc_ids spares the others' texts."""
     carriers = info.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     carriers = stored(carriers, "carriers")
-    table = docs.sparkSession.sparkContext.broadcast(bit_map(carriers, F.xxhash64("doc_id"), MAP_BITS))
+    table = docs.sparkSession.sparkContext.broadcast(bit_map(carriers, F.xxhash64("doc_id")))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -22,8 +22,9 @@ from .shared import slices, small_batches, stored
 from .words import mix
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-# The classifier is fitted on about this many labelled documents of each language, drawn by a hash of doc_id.
-SAMPLE_DOCS = 1000
+# The classifier is fitted on about this many labelled documents of each language, drawn by a hash of doc_id, and learns
+# this many languages, those with most documents. Both are bounds on the training sample only.
+SAMPLE_DOCS, MOST_LANGUAGES = 1000, 500
 ROUNDS = 4
 SMOOTHING = 0.1
 # Probability of a letter that is no piece; the same for all languages, so it says nothing.
@@ -38,10 +39,16 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = 0x20
 
 
+@cache
+def kinds() -> np.ndarray:
+    """Code points by kind: 2 for letters, 1 for marks, which may belong to a word, 0 for the rest."""
+    return np.array([{"L": 2, "M": 1}.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)], dtype=np.int8)
+
+
 @cache
 def letters() -> np.ndarray:
     """Which code points are letters or marks on letters."""
-    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)])
+    return kinds() > 0
 
 
 def lettered(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -154,6 +161,7 @@ class Model:
     languages: list[str]
     probabilities: np.ndarray  # pieces x languages
     path: str
+    usual: np.ndarray | None = None  # for each language: log likelihood of a letter, and spread of a word's around its letters'
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
@@ -209,7 +217,9 @@ def fit(labelled: DataFrame, sample_docs=SAMPLE_DOCS, rounds=ROUNDS, vocabulary:
     small_batches(spark)
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     labelled = labelled.where("lang is not null and text is not null")
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    counts = {r.lang: r.n for r in known.collect()}
+    labelled = labelled.where(F.col("lang").isin(*counts))
     languages = sorted(counts)
     model = Model(languages, np.full((len(pieces(path).names), len(languages)), 1.0 / len(pieces(path).names)), path)
     if not languages:
@@ -252,14 +262,45 @@ def fit(labelled: DataFrame, sample_docs=SAMPLE_DOCS, rounds=ROUNDS, vocabulary:
         table = np.full_like(model.probabilities, SMOOTHING)
         table[np.asarray(got.column("piece")), np.asarray(got.column("lang"))] += np.asarray(got.column("n"))
         model = Model(languages, table / table.sum(axis=0), path)
+    model.usual = usual_likelihoods(words, model)
     return model
 
 
+def usual_likelihoods(words: DataFrame, model: Model) -> np.ndarray:
+    """(languages, 2): over the training words (lang, word, n), what a letter of a language has as log likelihood, and how
+    far a word lies from what its letters let expect (root of the mean square)."""
+    shared = words.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(model.languages), 6))
+        for part in batches:
+            spelled = part.column("word").to_pylist()
+            if not spelled:
+                continue
+            points = np.frombuffer("".join(spelled).encode("utf-32-le"), dtype=np.uint32)
+            size = np.array([len(w) for w in spelled], dtype=np.int64)
+            lang, n = np.asarray(part.column("lang")), np.asarray(part.column("n"), dtype=float)
+            own = likelihoods(shared.value, points, np.cumsum(size) - size, size)[np.arange(len(size)), lang]
+            for k, v in enumerate((np.ones(len(size)), size, own, size * size, size * own, own * own)):
+                sums[:, k] += np.bincount(lang, weights=n * v, minlength=len(sums))
+        columns = [pa.array(np.arange(len(sums), dtype=np.int32)), *[pa.array(c) for c in sums.T]]
+        yield pa.RecordBatch.from_arrays(columns, ["lang", *NAMES])
+
+    NAMES = ("n", "l", "p", "ll", "lp", "pp")
+    rows = words.mapInArrow(work, "lang int, " + ", ".join(f"{c} double" for c in NAMES))
+    found = np.zeros((len(model.languages), 2))
+    for r in rows.groupBy("lang").agg(*[F.sum(c).alias(c) for c in NAMES]).collect():
+        if r.l:
+            rate = r.p / r.l
+            found[r.lang] = rate, np.sqrt(max(0.0, (r.pp - 2 * rate * r.lp + rate * rate * r.ll) / r.n))
+    return found
+
+
 _memory: dict = {}
 
 
 def text_likelihoods(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Log likelihood of each text in each language, and how many words it has."""
+    """Log likelihood of each text in each language, and how many words it has; 0 for one of marks alone, without a letter."""
     if _memory.get("model") != model.name:
         _memory.update(model=model.name, keys=np.empty(0, np.uint64), values=np.empty((0, len(model.languages)), np.float32))
     points, first = lettered(texts)
@@ -279,7 +320,9 @@ def text_likelihoods(model: Model, texts: list[str]) -> tuple[np.ndarray, np.nda
     else:
         _memory.update(keys=np.insert(_memory["keys"], place[~known], keys[~known]), values=np.insert(_memory["values"], place[~known], values[~known], axis=0))
     total = np.stack([np.bincount(text, weights=values[which, k], minlength=len(texts)) for k in range(len(model.languages))], axis=1)
-    return total, np.bincount(text, minlength=len(texts))
+    proper = np.searchsorted(first, np.flatnonzero(kinds()[points] == 2), "right") - 1
+    n = np.bincount(text, minlength=len(texts))
+    return total, np.where(np.bincount(proper, minlength=len(texts)) > 0, n, 0)
 
 
 def predict(docs: DataFrame, model: Model, text="text") -> DataFrame:
@@ -311,10 +354,37 @@ def predict(docs: DataFrame, model: Model, text="text") -> DataFrame:
 
 # Below this posterior no language is more likely than all others together.
 LEAST_SCORE = 0.5
+# How far the mean word of a text may lie below what its letters let expect, in spreads of a word of the language: a lasting
+# part, as texts differ in what they speak of, and one that chance takes off with the number of words.
+LASTING, BY_CHANCE = 1.5, 6.0
 
 
 def recognised(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` without the rows whose text has no letters or no language above LEAST_SCORE."""
-    found = predict(docs.withColumnsRenamed({"lang_pred": "__own_pred", "score": "__own_score"}), model)
-    kept = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
-    return kept.withColumnsRenamed({"__own_pred": "lang_pred", "__own_score": "score"}).select(*docs.columns)
+    """`docs` without the rows whose text has no letters, no language above LEAST_SCORE, or no likelihood of its language.
+
+    The posterior of a long text is near 1 for one of the languages whatever the text is. So its likelihood per word is held
+    against that of the language's own training words: a text of noise or of a language that was not learned lies far
+    below. Columns of `docs` keep their names and values.
+    """
+    spark, names = docs.sparkSession, docs.columns
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for rows, column in slices(batches, "text"):
+            if not model.languages:
+                continue
+            texts = column.to_pylist()
+            total, n = text_likelihoods(model, texts)
+            points, first = lettered(texts)
+            letters_of = np.add.reduceat((points != 0).astype(np.int64), first[:-1])
+            best = total.argmax(axis=1)
+            score = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+            rate, spread = model.usual[best].T
+            many = np.maximum(n, 1)
+            below = (rate * letters_of - total[np.arange(len(texts)), best]) / many
+            keep = (n > 0) & (score >= LEAST_SCORE) & (below <= spread * (LASTING + BY_CHANCE / np.sqrt(many)))
+            yield rows.filter(pa.array(keep))
+
+    return docs.mapInArrow(work, docs.schema).select(*names)

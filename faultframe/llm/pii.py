@@ -10,6 +10,7 @@ context of e, as in a passage that several texts share, count once among those w
 """
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
 
@@ -19,14 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import words
-from .shared import bit_map, in_map, slices, small_batches, stored, text_bytes
+from .shared import REMEMBERED, bit_map, in_map, slices, small_batches, stored, text_bytes
 
 KINDS = ("email", "ip", "card", "phone", "term")
 ALPHA = 1.25
 SUPPORT = 3
 # Words on either side of a mention that count as its context.
 NEAR = 8
-MAP_BITS = 24
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -114,12 +114,26 @@ def term_hashes(terms: list[str]) -> np.ndarray:
     return words.word_hashes(*text_bytes(pa.array(terms, pa.string())), words.MARKS)[0].view(np.int64)
 
 
-def context(text: str, start: int, end: int) -> list[str]:
-    """The terms next to a span, at most NEAR on each side."""
-    reach = 40 * NEAR
-    before = [m for m in _TERM.finditer(text, max(0, start - reach), start) if m.start() > start - reach or start <= reach]
-    after = [m for m in _TERM.finditer(text, end, end + reach) if m.end() < end + reach]
-    return [m[0] for m in before[-NEAR:]] + [m[0] for m in after[:NEAR]]
+def without(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with spaces over all spans (by start)."""
+    out, at = [], 0
+    for start, end, _ in spans:
+        if end > at:
+            start = max(at, start)
+            out += [text[at:start], " " * (end - start)]
+            at = end
+    return "".join([*out, text[at:]])
+
+
+def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[list[str]]:
+    """For each span the terms next to it, at most NEAR on each side; other spans hold no terms."""
+    terms = list(_TERM.finditer(without(text, spans)))
+    starts = [m.start() for m in terms]
+    found = []
+    for start, end, _ in spans:
+        before, after = bisect_left(starts, start), bisect_left(starts, end)
+        found.append([m[0] for m in [*terms[max(0, before - NEAR) : before], *terms[after : after + NEAR]]])
+    return found
 
 
 def mentions(texts: DataFrame) -> DataFrame:
@@ -129,16 +143,14 @@ def mentions(texts: DataFrame) -> DataFrame:
         seen = set()
         for rows, column in slices(batches, "text"):
             keys, names, places, terms = [], [], [], []
+            if len(seen) > REMEMBERED:
+                seen.clear()
             for key, text in zip(rows.column("key").to_pylist(), column.to_pylist(), strict=True):
                 spans = number_and_base_spans(text)
                 if not spans or key in seen:
                     continue
                 seen.add(key)
-                hidden = "".join(text)
-                for start, end, _ in spans:  # other entities are no terms
-                    hidden = hidden[:start] + " " * (end - start) + hidden[end:] if end - start < 400 else hidden
-                for start, end, kind in spans:
-                    near = context(hidden, start, end)
+                for (start, end, kind), near in zip(spans, contexts(text, spans), strict=True):
                     terms += near or [""]
                     keys += [key] * max(1, len(near))
                     names += [entity(kind, text[start:end])] * max(1, len(near))
@@ -161,8 +173,8 @@ def text_counts(texts: DataFrame, copied: DataFrame, terms: DataFrame) -> DataFr
     a row for each slice.
     """
     context = texts.sparkSession.sparkContext
-    table = context.broadcast(bit_map(terms, F.col("term"), MAP_BITS))
-    repeated = context.broadcast(bit_map(copied, F.col("key"), MAP_BITS))
+    table = context.broadcast(bit_map(terms, F.col("term")))
+    repeated = context.broadcast(bit_map(copied, F.col("key")))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, number = set(), 0
@@ -170,6 +182,8 @@ def text_counts(texts: DataFrame, copied: DataFrame, terms: DataFrame) -> DataFr
             keys = np.asarray(rows.column("key"))
             twice = in_map(repeated.value, keys)
             fresh = ~twice
+            if len(seen) > REMEMBERED:
+                seen.clear()
             for k in np.flatnonzero(twice).tolist():
                 fresh[k] = keys[k] not in seen
                 seen.add(keys[k])
@@ -228,7 +242,7 @@ def term_spans(texts: DataFrame, alpha=ALPHA, support=SUPPORT) -> DataFrame:
     known = stored(known, "disclosing")
     wanted = seen.select("key", "entity").distinct().join(known.select("entity", "term"), "entity")
     wanted = stored(wanted.select("key", "term").distinct().groupBy("key").agg(F.collect_list("term").alias("terms")), "text-terms")
-    table = texts.sparkSession.sparkContext.broadcast(bit_map(wanted, F.col("key"), MAP_BITS))
+    table = texts.sparkSession.sparkContext.broadcast(bit_map(wanted, F.col("key")))
 
     def chosen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

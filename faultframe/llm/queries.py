@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_folder
 from . import conversations, decontamination, fingerprints, jaccard, language, licenses, packing, pii, prefix_trie, sharding, tokens, urls, warc
+from .shared import stored
 
 QUERIES = {}
 ORACLES = {}
@@ -41,7 +42,7 @@ def op9_sharding(spark, sf_dir):
         "shard",
         "grown_shard",
     )
-    return sharding.with_slots(narrow)
+    return sharding.with_slots(stored(narrow, "shards"))
 
 
 @query

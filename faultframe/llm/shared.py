@@ -52,12 +52,20 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def bit_map(df: DataFrame, value: Column, bits: int) -> np.ndarray:
-    """2^bits bits, packed into 64-bit words, two of them set for each non-NULL 64-bit `value`.
+# A bit map has 16 bits for each value, and 2^MOST_BITS at most: what that takes (128 MB) bounds the driver and the tasks.
+LEAST_BITS, MOST_BITS = 16, 30
+# Keys that a task remembers so as not to send a copy twice, before it starts again; a matter of traffic, not of the result.
+REMEMBERED = 1_000_000
 
-    What reaches the driver is bounded by `bits`, not by the rows. Such a map only spares a later exact join rows
-    that cannot match; when it fills up, it spares fewer.
+
+def bit_map(df: DataFrame, value: Column) -> np.ndarray:
+    """A map of the non-NULL 64-bit values, packed into 64-bit words; each value sets two bits.
+
+    Its size follows their number up to 2^MOST_BITS. Such a map only spares a later exact join rows that cannot match;
+    beyond 2^MOST_BITS / 16 values it fills up and spares fewer.
     """
+    n = df.where(value.isNotNull()).count()
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
     slots = F.array(F.shiftrightunsigned(value, 64 - bits), value.bitwiseAND((1 << bits) - 1))
     words = (
         df.where(value.isNotNull())

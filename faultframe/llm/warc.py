@@ -38,7 +38,8 @@ from pyspark.sql.types import StructType
 
 from .shared import small_batches
 
-# Columns and the header fields behind them; `headers` has all fields, `payload` the entity without protocol headers.
+# Columns and the header fields behind them; `headers` has all fields under lower-case names, values of a repeated one
+# joined by a newline, `payload` the entity without protocol headers. A column takes the first value of its field.
 FIELDS = {
     "record_id": "WARC-Record-ID",
     "record_type": "WARC-Type",
@@ -141,11 +142,25 @@ class Files(InputPartition):
     value: int = field(default=0)
 
 
+def header_fields(header: bytes) -> dict[str, list[str]]:
+    """The values of each field by its lower-case name, in order; lines that begin with white space go on with a value."""
+    fields: dict[str, list[str]] = {}
+    last = None
+    for line in header.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and last is not None:
+            last[-1] = f"{last[-1]} {line.strip()}".strip()
+            continue
+        name, _, value = line.partition(":")
+        last = fields.setdefault(name.strip().lower(), [])
+        last.append(value.strip())
+    return fields
+
+
 class Members:
-    """The records of one file, header first; `skip` leaves the rest of a record without decoding it."""
+    """The records of one file, header first; the rest of a record that is passed over is not decoded."""
 
-    def __init__(self, source):
-        self.source, self.at, self.end = source, 0, source.size()
+    def __init__(self, source, name="archive"):
+        self.source, self.at, self.end, self.name = source, 0, source.size(), name
         self.packed = source.read_at(2, 0) == b"\x1f\x8b" if self.end >= 2 else False
 
     def records(self) -> Iterator["Member"]:
@@ -171,10 +186,14 @@ class Member:
             step *= 2
         self.fields = None
         if cut >= 0:
-            lines = self.plain[:cut].decode("utf-8", "replace").split("\r\n")
-            self.fields = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+            self.fields = header_fields(self.plain[:cut])
             self.block = cut + 4
-            self.length = int(self.fields.get("Content-Length", 0))
+            given = self.fields.get("content-length", [""])[0]
+            if not (given.isascii() and given.isdigit()):
+                raise ValueError(f"{file.name}: the record at byte {self.start} has no valid Content-Length: {given!r}")
+            self.length = int(given)
+        elif self.plain.strip():
+            raise ValueError(f"{file.name}: the record at byte {self.start} ends inside its header")
 
     def more(self, size: int) -> bool:
         """Reads on; False at the end of the record."""
@@ -215,13 +234,13 @@ class WarcReader(DataSourceReader):
         for f in filters:
             kinds = (EqualTo, In, StringStartsWith, IsNotNull, IsNull)
             if isinstance(f, kinds) and len(f.attribute) == 1 and f.attribute[0] in FIELDS and f.attribute[0] != "payload_length":
-                self.tests.append((type(f).__name__, FIELDS[f.attribute[0]], getattr(f, "value", None)))
+                self.tests.append((type(f).__name__, FIELDS[f.attribute[0]].lower(), getattr(f, "value", None)))
             else:
                 yield f
 
     def wanted(self, fields: dict) -> bool:
         for kind, name, value in self.tests:
-            own = fields.get(name)
+            own = fields.get(name, [None])[0]
             if not {
                 "EqualTo": lambda: own is not None and own == value,  # noqa: B023
                 "In": lambda: own is not None and own in value,  # noqa: B023
@@ -260,17 +279,17 @@ class WarcReader(DataSourceReader):
         rows, size = [], 0
         for path in partition.paths:
             with system.open_input_file(path) as source:
-                for record in Members(source).records():
+                for record in Members(source, path).records():
                     if not self.wanted(record.fields):
                         continue
-                    row = {c: record.fields.get(FIELDS[c]) for c in self.names if c in FIELDS}
+                    row = {c: record.fields.get(FIELDS[c].lower(), [None])[0] for c in self.names if c in FIELDS}
                     if row.get("payload_length") is not None:
                         row["payload_length"] = int(row["payload_length"])
                     if "headers" in self.names:
-                        row["headers"] = list(record.fields.items())
-                    if "payload" in self.names and record.fields.get("WARC-Type") != "revisit":
+                        row["headers"] = [(k, "\n".join(v)) for k, v in record.fields.items()]
+                    if "payload" in self.names and record.fields.get("warc-type", [""])[0] != "revisit":
                         block = record.content()
-                        if record.fields.get("Content-Type", "").startswith("application/http"):
+                        if record.fields.get("content-type", [""])[0].lower().startswith("application/http"):
                             block = block.partition(b"\r\n\r\n")[2]
                         row["payload"] = block
                         size += len(block)

@@ -12,14 +12,28 @@ def split(text):
     return re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
-def stretch(equal):
-    """(equal, words, -start) of the best stretch, by trying all."""
-    best = (0, 0, 0, 0)
+MASKS = ("11111", "1110011", "1101101", "10110101", "110001011", "1010100101")
+
+
+def holds(equal, enough):
+    """Whether some stretch with `enough` equal words is positive from both ends (+1 for equal, -2 for other words)."""
     for a in range(len(equal)):
-        for b in range(a + 1, len(equal) + 1):
-            e = sum(equal[a:b])
-            best = max(best, (e + dc.SUBSTITUTION * (b - a - e), -b, -a, e), key=lambda x: x[:3])
-    return best
+        total, equals, low = 0, 0, 1
+        for b in range(a, len(equal)):
+            total += 1 if equal[b] else -2
+            equals += bool(equal[b])
+            if total <= 0:
+                break
+            tail, ok = 0, True
+            if equals >= enough:
+                for c in range(b, a - 1, -1):
+                    tail += 1 if equal[c] else -2
+                    if tail <= 0:
+                        ok = False
+                        break
+                if ok:
+                    return True
+    return False
 
 
 def by_hand(docs, items):
@@ -34,8 +48,8 @@ def by_hand(docs, items):
             for shift in range(-len(item) + 1, len(w)):
                 at = [j for j in range(len(item)) if 0 <= shift + j < len(w)]
                 equal = [w[shift + j] == item[j] for j in at]
-                seen = any(all(equal[s + k] for k, c in enumerate(m) if c == "1") for m in dc.MASKS for s in range(len(equal) - len(m) + 1))
-                if seen and dc.best_stretch(np.array(equal))[2] >= min(dc.ENOUGH, dc.SHARE * len(item)):
+                seen = any(all(equal[s + k] for k, c in enumerate(m) if c == "1") for m in MASKS for s in range(len(equal) - len(m) + 1))
+                if seen and holds(equal, min(12, 0.75 * len(item))):
                     found.add((doc_id, item_id))
     return found
 
@@ -70,12 +84,33 @@ def test_against_brute_force(spark, documents, seed):
         assert 0 <= r.start_word and r.start_word + r.n_words <= len(split(words[r.doc_id])) and r.n_equal <= r.n_words
 
 
-def test_stretch_against_all_stretches():
+def test_stretches_against_all_stretches():
+    """Every stretch that is positive from both ends lies in one of those found, and those are such stretches."""
     rng = random.Random(2)
-    for _ in range(200):
-        equal = [rng.random() < 0.7 for _ in range(rng.randrange(1, 25))]
-        start, end, n = dc.best_stretch(np.array(equal))
-        assert n + dc.SUBSTITUTION * (end - start - n) == stretch(equal)[0] and n == sum(equal[start:end])
+    value = lambda e: [1 if x else -2 for x in e]
+    for _ in range(300):
+        equal = [rng.random() < rng.choice([0.6, 0.8]) for _ in range(rng.randrange(1, 30))]
+        v = value(equal)
+        good = [
+            (a, b) for a in range(len(v)) for b in range(a + 1, len(v) + 1)
+            if all(sum(v[a:c]) > 0 for c in range(a + 1, b + 1)) and all(sum(v[c:b]) > 0 for c in range(a, b))
+        ]
+        maximal = [(a, b) for a, b in good if not any((c, d) != (a, b) and c <= a and b <= d for c, d in good)]
+        assert dc.stretches(np.array(equal)) == [(a, b, sum(equal[a:b])) for a, b in maximal]
+
+
+def test_a_later_stretch_counts_too(spark, documents):
+    words = [f"q{k}" for k in range(40)]
+    text = words[:11] + [f"x{k}" for k in range(9)] + words[20:26] + ["y"] + words[27:33]
+    got = dc.leaks(documents((1, " ".join(text))), spark.createDataFrame([(9, " ".join(words))], "item_id long, text string")).collect()
+    assert [tuple(r) for r in got] == [(1, 9, 20, 13, 12)]
+
+
+def test_very_long_text(spark, documents):
+    passage = " ".join(f"q{k}" for k in range(20))
+    text = "the of and " * 60_000 + passage + " a b" * 60_000
+    got = dc.leaks(documents((1, text)), spark.createDataFrame([(9, passage)], "item_id long, text string")).collect()
+    assert [tuple(r) for r in got] == [(1, 9, 180_000, 20, 20)]
 
 
 def test_cleaning_keeps_columns_and_clean_rows(spark, documents):

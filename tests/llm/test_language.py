@@ -74,3 +74,24 @@ def test_nothing_to_learn_from(documents):
     model = lg.fit(docs.limit(0))
     assert [r.lang_pred for r in lg.predict(docs, model).collect()] == ["und", "und"]
     assert lg.predict(docs.limit(0), model).count() == 0
+
+
+def test_marks_alone_are_no_language(documents):
+    m = model()
+    rows = [(1, "́̂"), (2, "्"), (3, "12 ́"), (4, "é"), (5, "́ a")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in lg.predict(documents(*rows), m).collect()}
+    assert got[1] == got[2] == got[3] == ("und", 0.0) and got[4][0] != "und" and got[5][0] != "und"
+
+
+def test_noise_and_unlearned_languages_are_not_recognised(spark, documents):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    fitted = lg.fit(docs.where(~lg.held_out()), sample_docs=60, rounds=3)
+    rng = np.random.default_rng(1)
+    word = lambda letters, n: "".join(rng.choice(list(letters), n))
+    noise = " ".join(word("qxzjkwvbcdfgh", 9) for _ in range(80))
+    greek = " ".join(word("αβγδεζηθικλμνξοπρστυ", 6) for _ in range(80))
+    known = docs.where("lang is not null and length(text) > 200").select("doc_id", "text").limit(40)
+    kept = lg.recognised(known.unionByName(documents((-1, noise), (-2, greek), (-3, None), (-4, "12")).select("doc_id", "text")), fitted)
+    found = {r.doc_id for r in kept.collect()}
+    assert not found & {-1, -2, -3, -4} and len(found) >= 39
+    assert kept.columns == ["doc_id", "text"]

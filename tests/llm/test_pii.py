@@ -114,3 +114,14 @@ def test_copies_hide_no_disclosing_term(documents, corpus, passage):
     got = {r.doc_id: r for r in pii.find(documents(*corpus, *more)).collect()}
     assert all("quillon" in t.lower() and got[i].n_term == len(re.findall("[Qq]uillon", t)) for i, t in [*corpus[200:206], *more])
     assert not any(r.n_term for i, r in got.items() if i < 300 or 400 <= i < 406)
+
+
+def test_contexts_reach_over_long_words_and_hide_long_entities():
+    text = "secret " + "z" * 330 + " a@b.example tail"
+    spans = pii.number_and_base_spans(text)
+    assert pii.contexts(text, spans) == [["secret", "z" * 330, "tail"]]
+    long = "n" * 500 + "@" + "d" * 20 + ".example"
+    text = f"one {long} two x@y.example three"
+    spans = pii.number_and_base_spans(text)
+    assert pii.contexts(text, spans) == [["one", "two", "three"], ["one", "two", "three"]]
+    assert pii.without("abcdef", [(1, 3, 0), (2, 4, 1)]) == "a   ef"

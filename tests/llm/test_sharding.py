@@ -1,9 +1,10 @@
+import zlib
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from faultframe.llm import sharding
+from faultframe.llm import queries, sharding
 
 
 def test_growth_moves_rows_only_into_the_new_shard(spark):
@@ -31,3 +32,17 @@ def test_slots_are_gapless(spark, documents, monkeypatch, run_rows):
         assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
     assert len({r.shard for r in got if r.doc_id == 7}) == 1
     assert sharding.with_slots(sharding.assigned(documents()).select("doc_id", "shard")).count() == 0
+
+
+def test_query_matches_every_shard_tried_in_turn(spark, documents, tmp_path):
+    """The shard of a key is that of the highest hash of (key, shard); all of the query's columns by hand."""
+    rows = [*[(i, f"text é {i}" * (i % 5)) for i in range(200)], (7, "again"), (7, "again"), (8, None), (None, "no id"), (None, None), (-5, "")]
+    documents(*rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["op9_sharding"](spark, str(tmp_path)).collect()
+    keys = spark.createDataFrame([(i, s) for i in {i for i, _ in rows} for s in range(9)], "k long, s int")
+    scored = keys.select("k", "s", sharding.unit("k", "s").alias("score")).collect()
+    best = lambda k, n: max((r.score, r.s) for r in scored if r.k == k and r.s < n)[1]
+    expected = [(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), "key", best(i, 8), best(i, 9)) for i, t in rows]
+    assert sorted(((r.doc_id, r["size"], r.text_crc32, r.law, r.shard, r.grown_shard) for r in got), key=str) == sorted(expected, key=str)
+    for shard in range(8):
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))

@@ -78,3 +78,37 @@ def test_empty_table_and_uncommitted_files(spark, archive, tmp_path):
 def test_member_lengths():
     m = warc.member(b"abc" * 999)
     assert zlib.decompress(m, 31) == b"abc" * 999 and int.from_bytes(m[16:20], "little") == len(m)
+
+
+FOREIGN = (
+    b"WARC/1.0\r\nwarc-type: response\r\nWARC-Record-ID: <urn:a>\r\ncontent-length: 5\r\nCONTENT-type: text/plain\r\n"
+    b"WARC-Concurrent-To: <urn:x>\r\nWARC-Concurrent-To: <urn:y>\r\nX-Long: one\r\n two\r\n\r\nhello\r\n\r\n"
+    b"WARC/1.0\r\nWARC-TYPE: request\r\nwarc-record-id: <urn:b>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+)
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_field_names_have_no_case_and_repeated_fields_stay(spark, tmp_path, packed):
+    parts = FOREIGN.partition(b"hello\r\n\r\n")
+    data = gzip.compress(parts[0] + parts[1]) + gzip.compress(parts[2]) if packed else FOREIGN
+    (tmp_path / ("a.warc.gz" if packed else "a.warc")).write_bytes(data)
+    got = sorted(warc.read(spark, f"file://{tmp_path}").collect(), key=lambda r: r.record_id)
+    assert [(r.record_type, r.record_id, r.content_type, bytes(r.payload)) for r in got] == [
+        ("response", "<urn:a>", "text/plain", b"hello"), ("request", "<urn:b>", None, b"abc"),
+    ]
+    assert got[0].headers["warc-concurrent-to"] == "<urn:x>\n<urn:y>" and got[0].headers["x-long"] == "one two"
+    assert [r.record_id for r in warc.read(spark, f"file://{tmp_path}").where("record_type = 'request'").collect()] == ["<urn:b>"]
+
+
+@pytest.mark.parametrize("header", [b"Content-Length: x", b"Content-Length: -1", b"Other: 5", b"Content-Length: 5\r\ncut"])
+def test_bad_lengths_are_an_error(spark, tmp_path, header):
+    end = b"" if header.endswith(b"cut") else b"\r\n\r\nhello\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(b"WARC/1.0\r\nWARC-Type: response\r\n" + header + end)
+    with pytest.raises(Exception, match="Content-Length|ends inside"):
+        warc.read(spark, f"file://{tmp_path}").collect()
+
+
+def test_clashing_columns(spark, tmp_path):
+    pages = spark.createDataFrame(PAGES[:4], "page_id long, url string, html string").selectExpr("*", "'x' AS digest", "1 AS kept", "2 AS bytes", "3 AS n", "4 AS payload")
+    warc.write(warc.page_records(pages), f"file://{tmp_path}/w")
+    assert warc.read(spark, f"file://{tmp_path}/w").count() == 4
