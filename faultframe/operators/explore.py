@@ -5,6 +5,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numeric import missing_to_null, pearson, ratio, ratio_or_zero
+from ..settings import TOP_CHANNELS
 from .features import lag1_autocorrelation
 from .joins import attach
 from .quantiles import counted_values, percentile_columns
@@ -37,8 +38,8 @@ def imbalance(counts: DataFrame) -> DataFrame:
     return per_set.withColumn("verdict", balance_verdict(F.col("imbalance")))
 
 
-def channel_profile(samples: DataFrame, n_channels: int) -> DataFrame:
-    """Location, spread, quartiles, range and share of zeros per channel; `n_channels` bounds the groups."""
+def channel_profile(samples: DataFrame, n_channels: int, quartiles=True) -> DataFrame:
+    """Location, spread, range, share of zeros and, if wanted, quartiles per channel; `n_channels` bounds the groups."""
     x = missing_to_null("value")
     basic = samples.groupBy("channel").agg(
         F.avg(x).alias("mean"),
@@ -47,10 +48,12 @@ def channel_profile(samples: DataFrame, n_channels: int) -> DataFrame:
         F.max(x).alias("max"),
         (F.avg((x == 0).cast("int")) * 100).alias("zeros_pct"),
     )
-    quartiles = percentile_columns(
-        samples.withColumn("value", x), ["channel"], "value", {"q25": 0.25, "median": 0.5, "q75": 0.75}, bound=n_channels
-    )
-    return basic.join(quartiles, "channel").withColumn("range", F.col("max") - F.col("min"))
+    basic = basic.withColumn("range", F.col("max") - F.col("min"))
+    if not quartiles:
+        return basic
+    names = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+    found = percentile_columns(samples.withColumn("value", x), ["channel"], "value", names, bound=n_channels)
+    return basic.join(found, "channel").select(*basic.columns[:-1], *names, "range")
 
 
 def quality_flags(profile: DataFrame, zeros=50.0, spread=0.01) -> DataFrame:
@@ -151,7 +154,7 @@ def separability(samples: DataFrame, label: str) -> DataFrame:
     return scored.orderBy(F.desc("separability"), "channel")
 
 
-def top_channels(scored: DataFrame, count=6) -> DataFrame:
+def top_channels(scored: DataFrame, count=TOP_CHANNELS) -> DataFrame:
     return scored.orderBy(F.desc("separability"), "channel").limit(count)
 
 
@@ -247,8 +250,13 @@ def recommendations(imbalances: DataFrame, pairs: DataFrame, summary: DataFrame)
     return facts.select(F.inline(rules))
 
 
-def sampled_windows(windows: DataFrame, labels: DataFrame, channels, count=5, seed=42) -> DataFrame:
-    """Raw values of a few random windows on the given channels, with the label of each window."""
+def sampled_windows(grid: DataFrame, labels: DataFrame, channels, length: int, step: int, count=5, seed=42) -> DataFrame:
+    """(flight_id, w, i, channel, value, y_fault): the values of a few random windows on all given channels.
+
+    Windows are drawn from their list (`labels`); only their points, at most count * length, are looked up in the grid.
+    """
     chosen = subsample(labels.select("flight_id", "w", "y_fault"), ["flight_id", "w"], count, seed)
-    few = windows.where(F.col("channel").isin(*channels))
-    return attach(few, chosen, ["flight_id", "w"], bound=count)
+    points = chosen.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(length - 1))))
+    points = points.withColumn("k", (F.col("w") * step + F.col("i")).cast("long"))
+    found = attach(grid.select("flight_id", "k", *channels), points, ["flight_id", "k"], bound=count * length)
+    return found.drop("k").unpivot(["flight_id", "w", "i", "y_fault"], list(channels), "channel", "value")

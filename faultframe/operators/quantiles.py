@@ -1,18 +1,21 @@
 """Exact percentiles of groups of any size.
 
-The built-in exact percentile keeps every distinct value of a group in one buffer. Here each wanted rank is narrowed
-down by counts: first to one of COARSE bins of the group's range, then to one of FINE bins inside it, and only the
-values of that fine bin are ranked. Every step is a hash aggregate over all tasks, and the result is exact.
+The built-in exact percentile keeps every distinct value of a group in one buffer. Here a sketch with a guaranteed rank error
+(`percentile_approx`) bounds each wanted value from both sides in a first pass; the second pass counts what lies below the
+bounds and ranks only the values between them, a share of about 12 / ACCURACY of a group for each percentile. How the values
+are spread does not matter, as the bounds follow ranks. Groups of up to SMALL rows are ranked as a whole.
 """
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.numeric import missing_to_null
 from ..settings import BROADCAST_ROWS
-from .joins import attach
+from .joins import attach, attach_counted
 
-COARSE = 1024
-FINE = 1024
+# The sketch's rank error is 1 / ACCURACY of a group; bounds are taken SLACK away, which also covers the step from shares
+# to whole ranks in groups of more than SMALL rows.
+ACCURACY, SMALL = 10_000, 10_000
+SLACK = 5 / ACCURACY
 
 
 def counted_values(rows: DataFrame, keys, bound) -> DataFrame:
@@ -25,54 +28,44 @@ def counted_values(rows: DataFrame, keys, bound) -> DataFrame:
     return rows.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("c"))
 
 
-def _narrow(targets: DataFrame, counts: DataFrame, on, step: str) -> DataFrame:
-    """Give each target rank the `step` value (a bin or a value) of its group that holds it."""
-    upto = F.sum("c").over(W.partitionBy(*on).orderBy(step).rowsBetween(W.unboundedPreceding, 0))
-    counts = counts.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("c")).drop("c")
-    inside = (F.col("rank") >= F.col("before") + F.col("from")) & (F.col("rank") < F.col("before") + F.col("upto"))
-    found = targets.join(counts, on).where(inside)
-    return found.withColumn("before", F.col("before") + F.col("from")).drop("from", "upto")
-
-
 def exact_percentiles(df: DataFrame, keys, value, probs, bound=None) -> DataFrame:
     """(keys, p, n, x): linearly interpolated percentiles of `value` per group; NULL and NaN are skipped.
 
-    `bound` limits the number of groups (see `attach`).
+    `bound` limits the number of groups (see `attach`); without it the rows are counted and read once more.
     """
     keys, probs = list(keys), [float(p) for p in probs]
-    group = keys or ["__all"]
-    bound = bound if keys else 1
-    rows = df if keys else df.withColumn("__all", F.lit(0))
-    rows = rows.select(*group, missing_to_null(F.col(value).cast("double")).alias("x")).where(F.col("x").isNotNull())
-    rows = counted_values(rows, group, bound)
-
-    ranges = rows.groupBy(*group).agg(F.sum("c").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    ranks = []
-    for p in probs:
-        place = F.lit(p) * (F.col("n") - 1)
-        ranks += [
-            F.struct(F.lit(p).alias("p"), F.lit(side).alias("side"), place.alias("place"), rank.alias("rank"))
-            for side, rank in ((0, F.floor(place)), (1, F.ceil(place)))
-        ]
-    targets = ranges.select(*group, "n", F.inline(F.array(*ranks))).withColumn("before", F.lit(0).cast("long"))
-
-    share = F.coalesce(F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
-    fine = F.least(F.floor(share * (COARSE * FINE)), F.lit(COARSE * FINE - 1))
-    placed = attach(rows, ranges.drop("n"), group, bound=bound, spread=["x"]).withColumn("fine", fine)
-    placed = placed.withColumn("coarse", F.floor(F.col("fine") / FINE)).drop("lo", "hi")
-
-    targets = _narrow(targets, placed.groupBy(*group, "coarse").agg(F.sum("c").alias("c")), group, "coarse")
-    for column, on, step in (("coarse", [*group, "coarse"], "fine"), ("fine", [*group, "coarse", "fine"], "x")):
-        # At most two bins per percentile and group.
-        wanted = targets.groupBy(*group).agg(F.collect_set(column).alias("__bins"))
-        near = attach(placed, wanted, group, bound=bound, spread=["x"])
-        near = near.where(F.array_contains("__bins", F.col(column)))
-        targets = _narrow(targets, near.groupBy(*on, step).agg(F.sum("c").alias("c")), on, step)
-
-    def end(side: int):
-        return F.max(F.when(F.col("side") == side, F.col("x")))
-
-    ends = targets.groupBy(*group, "n", "p", "place").agg(end(0).alias("x0"), end(1).alias("x1"))
+    rows = df.select(*keys, missing_to_null(F.col(value).cast("double")).alias("x")).where(F.col("x").isNotNull())
+
+    shares = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-SLACK, SLACK)})
+    near = F.percentile_approx("x", shares, ACCURACY)
+    sketch = rows.groupBy(*keys).agg(F.count("x").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"), near.alias("near"))
+    whole = F.col("n") <= SMALL
+
+    def bounds(p: float):
+        low, high = (shares.index(min(1.0, max(0.0, p + d))) for d in (-SLACK, SLACK))
+        low = F.when(whole | (p - SLACK <= 0), F.col("least")).otherwise(F.get("near", F.lit(low)))
+        high = F.when(whole | (p + SLACK >= 1), F.col("most")).otherwise(F.get("near", F.lit(high)))
+        return F.struct(F.lit(p).alias("p"), low.alias("low"), high.alias("high"))
+
+    sketch = sketch.select(*keys, "n", F.array(*[bounds(p) for p in sorted(set(probs))]).alias("bounds"))
+    if not keys:
+        found = sketch.select(F.struct("n", "bounds")).scalar()  # one row
+        placed = rows.withColumn("s", found).select("x", F.col("s.n").alias("n"), F.inline("s.bounds"))
+    elif bound is None:
+        placed = attach_counted(rows, sketch, keys, rows.count()).select(*keys, "x", "n", F.inline("bounds"))
+    else:
+        placed = attach(rows, sketch, keys, bound=bound, spread=["x"]).select(*keys, "x", "n", F.inline("bounds"))
+
+    # Values below the bounds are one row of a group and percentile, those above are not needed.
+    inside = F.when(F.col("x") >= F.col("low"), F.col("x"))
+    counts = placed.where("x <= high").groupBy(*keys, "p", "n", inside.alias("x")).agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(W.partitionBy(*keys, "p").orderBy(F.asc_nulls_first("x")).rowsBetween(W.unboundedPreceding, 0))
+    counts = counts.withColumn("upto", upto).withColumn("place", F.col("p") * (F.col("n") - 1))
+
+    def at(rank):
+        return F.max(F.when((F.col("upto") - F.col("c") <= rank) & (rank < F.col("upto")), F.col("x")))
+
+    ends = counts.groupBy(*keys, "p", "n", "place").agg(at(F.floor("place")).alias("x0"), at(F.ceil("place")).alias("x1"))
     x = F.col("x0") + (F.col("x1") - F.col("x0")) * (F.col("place") - F.floor("place"))
     return ends.select(*keys, "p", "n", x.alias("x"))
 

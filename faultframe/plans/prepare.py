@@ -13,29 +13,38 @@ from ..operators.windows import (
     window_labels,
     window_shape,
 )
+from ..session import stored
 from ..settings import STEP_SEC, TARGET_FS, WIN_SEC
 from ..sources.dataset import Dataset
 
 
-def normalised_grid(samples: DataFrame, channels, stats=None, fs=TARGET_FS) -> DataFrame:
+def normalised_grid(samples: DataFrame, channels, stats=None, fs=TARGET_FS, tie=()) -> DataFrame:
     """(flight_id, k, n, t, channels): resampled and scaled recordings; statistics of all flights unless given.
 
-    Without `stats` the recordings are resampled twice, once for the statistics; store them when they are reused.
+    Without `stats` the resampled recordings are stored, and the statistics and the rows are both read from there. Of
+    samples with equal times the last by `tie` counts.
     """
-    grid = resample(samples, fs, channels)
-    return normalise(grid, channel_stats(grid, channels) if stats is None else stats, channels)
+    grid = resample(samples, fs, channels, tie=tie)
+    if stats is None:
+        grid = stored(grid, "grid")
+        stats = channel_stats(grid, channels)
+    return normalise(grid, stats, channels)
 
 
-def normalised_windows(samples: DataFrame, channels, stats=None, fs=TARGET_FS, win=WIN_SEC, step=STEP_SEC) -> DataFrame:
+def normalised_windows(samples: DataFrame, channels, stats=None, fs=TARGET_FS, win=WIN_SEC, step=STEP_SEC, tie=()) -> DataFrame:
     """(flight_id, w, i, channel, value): the windows as long rows."""
-    cut = sliding_windows(normalised_grid(samples, channels, stats, fs), *window_shape(win, step, fs))
-    return to_long(cut, ["flight_id", "w", "i"], channels)
+    return long_windows(normalised_grid(samples, channels, stats, fs, tie), channels, fs, win, step)
 
 
-def prepare(samples: DataFrame, flight_labels: DataFrame, channels, fs=TARGET_FS, win=WIN_SEC, step=STEP_SEC) -> Dataset:
-    """The whole preparation: windows, window labels, statistics and type ids."""
-    stats = channel_stats(resample(samples, fs, channels), channels)
-    windows = normalised_windows(samples, channels, stats, fs, win, step)
+def long_windows(grid: DataFrame, channels, fs=TARGET_FS, win=WIN_SEC, step=STEP_SEC) -> DataFrame:
+    return to_long(sliding_windows(grid, *window_shape(win, step, fs)), ["flight_id", "w", "i"], channels)
+
+
+def prepare(samples: DataFrame, flight_labels: DataFrame, channels, fs=TARGET_FS, win=WIN_SEC, step=STEP_SEC, tie=()) -> Dataset:
+    """The whole preparation: windows, window labels, statistics and type ids; the recordings are resampled once."""
+    grid = stored(resample(samples, fs, channels, tie=tie), "grid")
+    stats = channel_stats(grid, channels)
+    windows = long_windows(normalise(grid, stats, channels), channels, fs, win, step)
     spans, shape = flight_spans(samples, fs), window_shape(win, step, fs)
     present = flight_labels.join(dropped_flights(spans, *shape), "flight_id", "left_anti")
     types = fault_type_ids(present)
@@ -44,9 +53,9 @@ def prepare(samples: DataFrame, flight_labels: DataFrame, channels, fs=TARGET_FS
     return Dataset(windows, window_labels(listed, present, types), stats, types)
 
 
-def window_features(samples: DataFrame, channels, stats=None, fs=TARGET_FS, win=WIN_SEC, step=STEP_SEC) -> DataFrame:
+def window_features(samples: DataFrame, channels, stats=None, fs=TARGET_FS, win=WIN_SEC, step=STEP_SEC, tie=()) -> DataFrame:
     """One wide feature row per window."""
-    return wide_window_features(normalised_grid(samples, channels, stats, fs), channels, *window_shape(win, step, fs), fs)
+    return wide_window_features(normalised_grid(samples, channels, stats, fs, tie), channels, *window_shape(win, step, fs), fs)
 
 
 def labelled_features(features: DataFrame, labels: DataFrame) -> DataFrame:

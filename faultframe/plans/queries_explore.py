@@ -6,9 +6,10 @@ from ..operators import explore as ex
 from ..operators.features import time_features
 from ..operators.windows import label_windows
 from ..session import durable
+from ..settings import TOP_CHANNELS
 from ..sources import views
 from .catalog import query, r, rounded
-from .queries_prepare import CHANNELS, norm_windows
+from .queries_prepare import CHANNELS, LENGTH, STEP, norm_grid, norm_windows
 
 ITEM_CHANNELS = 4
 VERDICT = "CASE WHEN imbalance > 3 THEN 'high' WHEN imbalance > 1.5 THEN 'moderate' ELSE 'balanced' END AS verdict"
@@ -74,8 +75,8 @@ def x2(spark, sf):
 PROFILE = ("mean", "std", "min", "max", "zeros_pct", "q25", "median", "q75", "range")
 
 
-def item_profile(spark, sf):
-    return ex.channel_profile(views.line_samples(spark, sf), ITEM_CHANNELS)
+def item_profile(spark, sf, quartiles=True):
+    return ex.channel_profile(views.line_samples(spark, sf), ITEM_CHANNELS, quartiles)
 
 
 @query("x3_channel_profile", f"SELECT channel, {r(*PROFILE, digits=4)} FROM profile")
@@ -89,7 +90,7 @@ def x3(spark, sf):
        FROM profile WHERE zeros_pct > 5 OR std < 0.03""",
 )
 def x4(spark, sf):
-    return ex.quality_flags(item_profile(spark, sf), zeros=5.0, spread=0.03)
+    return ex.quality_flags(item_profile(spark, sf, quartiles=False), zeros=5.0, spread=0.03)
 
 
 @query(
@@ -98,7 +99,7 @@ def x4(spark, sf):
                arg_min(channel, (range, channel)) AS narrowest, {r('min(range) AS smallest_range', digits=4)} FROM profile""",
 )
 def x5(spark, sf):
-    return rounded(ex.extreme_ranges(item_profile(spark, sf)), 4)
+    return rounded(ex.extreme_ranges(item_profile(spark, sf, quartiles=False)), 4)
 
 
 def _histogram_sql(keys: str, bins: int) -> str:
@@ -185,11 +186,11 @@ def x11(spark, sf):
 
 @query(
     "x12_top_channels",
-    f"""SELECT channel, {r('separability')} FROM ({SEPARABILITY}) ORDER BY separability DESC, channel LIMIT 2""",
+    f"""SELECT channel, {r('separability')} FROM ({SEPARABILITY}) ORDER BY separability DESC, channel LIMIT {TOP_CHANNELS}""",
 )
 def x12(spark, sf):
     scored = ex.separability(labelled_samples(spark, sf), "y_fault")
-    return rounded(ex.top_channels(scored, 2).select("channel", "separability"))
+    return rounded(ex.top_channels(scored).select("channel", "separability"))
 
 
 @query(
@@ -253,9 +254,8 @@ def x16(spark, sf):
     "x17_sampled_windows",
     f"""WITH few AS (SELECT flight_id, w, y_fault FROM centres JOIN truth USING (flight_id)
                      ORDER BY md5('42|' || flight_id || '|' || CAST(w AS VARCHAR)), flight_id, w LIMIT 5)
-        SELECT flight_id, w, i, channel, {r('value')}, y_fault FROM win JOIN few USING (flight_id, w)
-        WHERE channel IN ('q_1', 'q_2')""",
+        SELECT flight_id, w, i, channel, {r('value')}, y_fault FROM win JOIN few USING (flight_id, w)""",
 )
 def x17(spark, sf):
     labels = views.windows(spark, sf)
-    return rounded(ex.sampled_windows(norm_windows(spark, sf), labels, CHANNELS[:2]))
+    return rounded(ex.sampled_windows(norm_grid(spark, sf), labels, CHANNELS, LENGTH, STEP))

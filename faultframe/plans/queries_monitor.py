@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import monitor as mon
+from ..operators import asof, monitor as mon
 from ..operators.resample import resample_trajectory
 from ..operators.windows import window_centres
 from ..settings import TABLE_WINDOWS
@@ -75,6 +75,21 @@ def g5(spark, sf):
     return rounded(mon.nearest_window(requests, centres))
 
 
+# Events of odd number ask for the nearest event of even number of their flight: times without any even spacing.
+@query(
+    "g5_nearest_event",
+    f"""SELECT event_id, flight_id, {r('asked')}, w, {r('t', 'gap')}
+        FROM (SELECT x.event_id, x.flight_id, x.t AS asked, c.event_id AS w, c.t, abs(c.t - x.t) AS gap,
+                     row_number() OVER (PARTITION BY x.event_id ORDER BY abs(c.t - x.t), c.t, c.event_id) AS r
+              FROM raw x JOIN raw c ON x.flight_id = c.flight_id AND x.event_id % 2 = 1 AND c.event_id % 2 = 0) WHERE r = 1""",
+)
+def g5_events(spark, sf):
+    events = views.raw(spark, sf)
+    requests = events.where("event_id % 2 = 1").select("event_id", "flight_id", F.col("t").alias("asked"))
+    points = events.where("event_id % 2 = 0").select("flight_id", F.col("event_id").alias("w"), "t")
+    return rounded(asof.nearest_in_time(requests, points))
+
+
 @query(
     "g6_marked_trajectory",
     f"""WITH p AS (SELECT flight_id, q_1, q_2, q_3, row_number() OVER (PARTITION BY flight_id ORDER BY t, event_id) - 1 AS j,

@@ -12,6 +12,7 @@ ISOLATION_TREES = 200
 KNN_K = 5
 DEMO_WINDOWS = 200
 TABLE_WINDOWS = 30
+TOP_CHANNELS = 6
 
 # Largest number of rows a side may have, by schema or parameter, to be broadcast.
 BROADCAST_ROWS = 100_000

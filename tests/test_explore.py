@@ -123,8 +123,10 @@ def test_recommendations(spark, rows):
 
 
 def test_sampled_windows(spark):
-    data = [(f"f{f}", w, c, i, 1.0) for f in range(4) for w in range(5) for c in ("a", "b") for i in range(3)]
-    windows = spark.createDataFrame(data, "flight_id string, w long, channel string, i int, value double")
-    labels = windows.select("flight_id", "w").distinct().withColumn("y_fault", F.lit(1))
-    found = ex.sampled_windows(windows, labels, ["a"])
-    assert found.count() == 15 and found.select("flight_id", "w").distinct().count() == 5
+    grid = spark.createDataFrame([(f"f{f}", k, float(10 * f + k), -float(k)) for f in range(4) for k in range(11)], "flight_id string, k long, a double, b double")
+    labels = spark.createDataFrame([(f"f{f}", w, w % 2) for f in range(4) for w in range(4)], "flight_id string, w long, y_fault int")
+    found = ex.sampled_windows(grid, labels, ["a", "b"], length=4, step=2).collect()
+    assert len(found) == 5 * 4 * 2 and len({(r.flight_id, r.w) for r in found}) == 5
+    for r in found:
+        k = 2 * r.w + r.i
+        assert r.value == (10 * int(r.flight_id[1]) + k if r.channel == "a" else -k) and r.y_fault == r.w % 2

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from faultframe.operators import models, monitor as mon
+from faultframe.operators import asof, models, monitor as mon
 from faultframe.operators.scaling import channel_stats
 from faultframe.plans.prepare import labelled_features, window_features
 from faultframe.plans.score import score_flights
@@ -49,6 +49,26 @@ def test_nearest_window(spark, rows):
     assert rows(mon.nearest_window(requests, centres), "id", "w") == [(1, 0), (2, 0), (3, 1), (4, 3), (5, 4), (6, 0)]
 
 
+@pytest.mark.parametrize("chunk_rows, fan", [(50_000, 4096), (5, 3)])
+def test_nearest_in_uneven_time(spark, monkeypatch, chunk_rows, fan):
+    monkeypatch.setattr(asof, "CHUNK_ROWS", chunk_rows)
+    monkeypatch.setattr(asof, "FAN", fan)
+    rng = np.random.default_rng(3)
+    times = {"a": [0.0, 1.0, 2.0, 3.0, 100.0], "b": np.round(rng.exponential(5, 200).cumsum(), 1).tolist(), "c": [7.0], "d": [2.0, 2.0, 2.0]}
+    points = [(k, i, float(t)) for k, part in times.items() for i, t in enumerate(part)] + [("a", 99, None)]
+    asked = [("a", 2.9), ("a", 51.5), ("a", 51.6), ("a", -5.0), ("a", 1.5), ("a", 1.5), ("d", 9.0), ("none", 1.0), ("c", None), (None, 1.0)]
+    asked += [("b", float(t)) for t in np.round(rng.uniform(-50, 1200, 300), 1)]
+    frame = spark.createDataFrame(points, "flight_id string, w long, t double")
+    requests = spark.createDataFrame([(i, *a) for i, a in enumerate(asked)], "id int, flight_id string, asked double")
+    got = {r.id: (r.w, r.t) for r in asof.nearest_in_time(requests, frame).collect()}
+    assert len(got) == len(asked)
+    for i, (k, t) in enumerate(asked):
+        own = [(abs(x - t), x, w) for key, w, x in points if key == k and x is not None and t is not None]
+        assert got[i] == ((min(own)[2], min(own)[1]) if own else (None, None)), (k, t)
+    same = spark.createDataFrame([("a", 1.2)] * 4, "flight_id string, asked double")
+    assert [r.w for r in asof.nearest_in_time(same, frame).collect()] == [1] * 4
+
+
 def test_every_request_has_a_row(spark):
     centres = spark.createDataFrame([("a", w, 1.0 + w) for w in range(5)], "flight_id string, w long, t double")
     requests = spark.createDataFrame([("a", 2.2), ("a", 2.2), ("none", 1.0)], "flight_id string, asked double")

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,12 +154,13 @@ def test_salted_attach_equals_broadcast(spark, rows):
         assert rows(salted) == rows(attach(big, small, "k", how, bound=3)) == rows(big.join(small, "k", how))
 
 
-@pytest.mark.parametrize("n, bound", [(1, 3), (7, 3), (1000, 3), (5000, 3), (5000, None)])
+@pytest.mark.parametrize("n, bound", [(1, 4), (7, 4), (1000, None), (30_000, 4), (30_000, None)])
 def test_percentiles_are_exact(spark, n, bound):
+    """Also beyond SMALL rows, where a sketch bounds the values: ties, a constant, an extreme outlier."""
     rng = np.random.default_rng(n)
     values = {"a": rng.normal(size=n), "b": rng.integers(0, 4, size=n).astype(float), "c": np.full(n, 2.5),
               "d": np.concatenate([rng.normal(size=n - 1) * 1e-9, [1e9]])}
-    df = spark.createDataFrame([(k, float(v)) for k, part in values.items() for v in part], "k string, x double")
+    df = spark.createDataFrame(pd.DataFrame([(k, float(v)) for k, part in values.items() for v in part], columns=["k", "x"]))
     probs = [0.0, 0.05, 0.25, 0.5, 0.95, 1.0]
     found = {(r.k, r.p): r.x for r in exact_percentiles(df, ["k"], "x", probs, bound=bound).collect()}
     for k, part in values.items():
