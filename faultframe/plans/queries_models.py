@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import encode_combined
 from ..functions.numeric import severity_level
 from ..operators import isolation, knn, models, monitor, network, scaling, splits
-from ..operators.evaluate import head_losses
+from ..operators.evaluate import compare_models, head_losses
 from ..session import durable
 from ..settings import BOOST_TREES, LOSS_WEIGHTS
 from ..sources import views
@@ -434,6 +434,64 @@ def s11_knn(spark, sf):
     return knn.majority_vote(knn.neighbours(model, queries))
 
 
+def window_vectors(rows, columns):
+    """Window features as the neighbours take them: an id, a vector and the combined label code."""
+    code = encode_combined(F.col("y_fault"), F.col("y_type"), F.col("y_sev"))
+    return rows.select(F.concat_ws("|", "flight_id", "w").alias("id"), F.array(*columns).alias("vec"), code.alias("code"))
+
+
+def trained_predictions(spark, sf):
+    """(model, labels, predicted labels) of the three trained models on one split: boosted trees, neighbours, network."""
+    trees, train, test = boosted(spark, sf)
+    labels = list(models.LABELS)
+    first = models.predict(trees, test, labels)
+
+    columns = models.feature_columns(train)
+    near = knn.fit(window_vectors(train, columns))
+    voted = knn.predict(near, window_vectors(test, columns).select(F.col("id").alias("qid"), "vec"))
+    keyed = test.select(F.concat_ws("|", "flight_id", "w").alias("qid"), *labels)
+    second = keyed.join(voted, "qid").select(
+        *labels, F.col("fault").alias("fault_label"), F.col("type").alias("fault_type"), F.col("sev").alias("severity_level")
+    )
+
+    net = trained_network(spark, sf)[0]
+    likeliest = lambda h: F.array_position(f"prob_{h}", F.array_max(f"prob_{h}")).cast("int")
+    kinds = F.array(*[F.lit(k) for k in net.kinds])
+    third = net.transform(test).select(
+        *labels, (F.get("prob_fault", F.lit(1)) >= 0.5).cast("int").alias("fault_label"),
+        F.element_at(kinds, likeliest("type")).alias("fault_type"), (likeliest("sev") - 1).alias("severity_level"),
+    )
+    rows = None
+    for name, found in (("boosted", first), ("neighbours", second), ("network", third)):
+        part = found.select(F.lit(name).alias("model"), *labels, "fault_label", "fault_type", "severity_level")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+# The comparison of trained models; each of its figures is held against a plain average over the same rows.
+@query(
+    "e9_trained_models",
+    """SELECT unnest(['boosted', 'neighbours', 'network']) AS model, count(*) AS n, 1 AS in_range, 1 AS as_averaged
+       FROM window_split WHERE is_test""",
+)
+def e9_trained(spark, sf):
+    rows = durable(trained_predictions(spark, sf))
+    same = lambda a, b: F.avg((F.col(a) == F.col(b)).cast("int"))
+    plain = rows.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"), same("y_fault", "fault_label").alias("a"), same("y_type", "fault_type").alias("b"),
+        same("y_sev", "severity_level").alias("c"), F.avg(F.abs(F.col("y_sev") - F.col("severity_level"))).alias("d"),
+    )
+    table = compare_models(rows)
+    shares = [c for c in table.columns if c not in ("model", "sev_mae")]
+    in_range = F.col("sev_mae").between(0, 3)
+    for c in shares:
+        in_range = in_range & F.col(c).between(0, 1)
+    agrees = F.lit(True)
+    for a, c in (("a", "fault_acc"), ("b", "type_acc"), ("c", "sev_acc"), ("d", "sev_mae")):
+        agrees = agrees & (F.abs(F.col(a) - F.col(c)) < 1e-9)
+    return table.join(plain, "model").select("model", "n", in_range.cast("int").alias("in_range"), agrees.cast("int").alias("as_averaged"))
+
+
 @query("g9_score_flights", f"SELECT flight_id, w, {r('t')}, 1 AS consistent, 1 AS learned FROM centres")
 def g9(spark, sf):
     model, train, _ = boosted(spark, sf)
