@@ -3,13 +3,15 @@
 from pyspark.sql import functions as F
 
 from ..operators import asof, monitor as mon
+from ..operators.models import predict
 from ..operators.resample import resample_trajectory
 from ..operators.windows import window_centres
-from ..settings import TABLE_WINDOWS
+from ..settings import TABLE_WINDOWS, TARGET_FS
 from ..sources import views
-from ..streaming import live
+from ..streaming import counted, live
 from .catalog import query, r, rounded
-from .queries_prepare import LENGTH, STEP, fresh_folder, spans, time_chunk
+from .queries_models import boosted, consistent
+from .queries_prepare import CHANNELS, LENGTH, STEP, fresh_folder, spans, time_chunk
 
 
 @query(
@@ -176,3 +178,74 @@ def g11(spark, sf):
     status = live.running_status(stream, by)
     live.run_available(status, f"{folder}/status")
     return rounded(live.latest_state(live.stored_updates(spark, f"{folder}/status", status.schema), by))
+
+
+def written_in_turn(rows, folder, part, parts: int) -> str:
+    """Rows as folders of files, one after the other; `part` numbers the folder of a row."""
+    for k in range(parts):
+        rows.where(part == k).write.parquet(f"{folder}/in/part{k}")
+    return f"{folder}/in/*"
+
+
+def signals(spark, sf):
+    """(flight_id, event_id, ts, q_1, q_2, q_3): the recordings with their clock time, each channel scaled as a whole."""
+    events = views.flight_key(views.table(spark, sf, "events")).select(
+        "flight_id", "event_id", live.event_time(F.col("ts")).alias("ts"), F.col("value").alias("q_1"),
+        F.get_json_object("props", "$.k").cast("double").alias("q_2"), F.col("user_id").cast("double").alias("q_3"),
+    )
+    facts = events.agg(*[f(c).alias(f"{n}_{c}") for c in CHANNELS for n, f in (("mean", F.avg), ("std", F.stddev_pop))]).first()
+    return events.withColumns({c: (F.col(c) - facts[f"mean_{c}"]) / facts[f"std_{c}"] for c in CHANNELS})
+
+
+# Windows of 20 samples every 10, closed by a stream whose files bring each tenth sample late, and scored on the way.
+@query(
+    "g10_counted_stream",
+    f"""WITH z AS (SELECT flight_id, row_number() OVER (PARTITION BY flight_id ORDER BY t, event_id) - 1 AS k,
+                          count(*) OVER (PARTITION BY flight_id) AS n, (q_1 - avg(q_1) OVER ()) / stddev_pop(q_1) OVER () AS x,
+                          (q_3 - avg(q_3) OVER ()) / stddev_pop(q_3) OVER () AS y FROM raw),
+             l AS (SELECT flight_id, unnest(range(CAST(ceil((n - 20) / CAST(10 AS DOUBLE)) AS BIGINT))) AS w
+                   FROM (SELECT DISTINCT flight_id, n FROM z) WHERE n > 20)
+        SELECT z.flight_id, w, {r('avg(x) AS q_1_mean', 'stddev_pop(x) AS q_1_std', 'max(x) - min(x) AS q_1_ptp',
+                                  'sqrt(avg(y * y)) AS q_3_rms')}, 1 AS consistent
+        FROM z JOIN l ON z.flight_id = l.flight_id AND k >= w * 10 AND k < w * 10 + 20 GROUP BY z.flight_id, w""",
+)
+def g10_counted(spark, sf):
+    folder, rows = fresh_folder(spark), signals(spark, sf)
+    times = rows.agg(F.min("ts"), F.max("ts"), (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))).alias("us")).first()
+    quarter = F.least(F.lit(3), F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(times[0]))) * 4 / times.us))
+    part = quarter + (F.col("event_id") % 10 == 0).cast("int")
+    # Two rows of another flight, long after, close what is left.
+    every = written_in_turn(rows, folder, part, 5)
+    for k in (1, 2):
+        later = F.lit(times[1]) + F.make_dt_interval(F.lit(365 + k))
+        end = rows.limit(1).select(F.lit("~").alias("flight_id"), F.lit(-k).cast("long").alias("event_id"), later.alias("ts"), *CHANNELS)
+        end.write.parquet(f"{folder}/in/part{k + 4}")
+    stream = live.read_stream(spark, every, rows.schema, files_per_trigger=4)
+    closed = counted.counted_windows(stream, CHANNELS, 20, 10, TARGET_FS, f"{times.us // 2 // 10**6} seconds")
+    model, shown = boosted(spark, sf)[0], ["flight_id", "w", "q_1_mean", "q_1_std", "q_1_ptp", "q_3_rms"]
+    live.run_available(closed, f"{folder}/out", "append", transform=lambda batch: consistent(predict(model, batch, shown)).select(*shown, "consistent"))
+    return rounded(spark.read.parquet(f"{folder}/out/data").drop("batch"))
+
+
+# One model falls silent half-way; its flights expire and are gone from the state, which is read as a table.
+@query(
+    "g11_expiring_status",
+    f"""SELECT model, flight_id, count(*) AS seen, {r('avg(fault_label) AS faulty_share')},
+               arg_max(severity_level, w) AS latest_severity,
+               CASE WHEN arg_max(fault_label, w) = 1 THEN 'FAULT' ELSE 'NORMAL' END AS status
+        FROM pred WHERE model <> 'forest' GROUP BY model, flight_id""",
+)
+def g11_expiring(spark, sf):
+    folder, by = fresh_folder(spark), ["model", "flight_id"]
+    clock = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("t") * views.SECONDS_PER_DEVICE_SECOND)
+    scored = views.predictions(spark, sf).select(*by, "w", clock.alias("ts"), "fault_label", "severity_level", "t")
+    heard = scored.where("model <> 'forest' or t < 9")
+    after = scored.orderBy(F.desc("t")).limit(1)
+    last = after.select(F.lit("~").alias("model"), "flight_id", "w", (F.col("ts") + F.expr("interval 1 hour")).alias("ts"), "fault_label", "severity_level", "t")
+    every = written_in_turn(heard, folder, F.least(F.lit(2), F.floor(F.col("t") / 10)), 3)
+    for k, rows in enumerate((last, last.withColumn("ts", F.col("ts") + F.expr("interval 1 hour")))):
+        rows.write.parquet(f"{folder}/in/part{k + 3}")
+    stream = live.read_stream(spark, every, scored.schema, files_per_trigger=4)
+    status = counted.expiring_status(stream, 10 * views.SECONDS_PER_DEVICE_SECOND * 1000, by, delay="1 day")
+    live.run_available(status, folder)
+    return rounded(counted.stored_status(spark, folder, by).where("model <> '~'"))
