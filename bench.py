@@ -1,10 +1,12 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-Each query runs once to warm up and then three times into the no-op sink; the median counts.
+Each query runs once to warm up and then three times into the no-op sink; the median counts. A run that is told to stop
+(SIGTERM, SIGINT) prints the line for the queries that have ended, with `"complete": false`.
 """
 
 import json
 import os
+import signal
 import statistics
 import sys
 import time
@@ -39,6 +41,12 @@ def run(build, spark, folder) -> float:
     return time.perf_counter() - began
 
 
+def line(folder: str, times: dict, wanted) -> str:
+    scale = os.path.basename(folder.rstrip("/")).removeprefix("sf")
+    found = {"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": float(scale)}
+    return json.dumps(found if len(times) == len(wanted) else found | {"complete": False})
+
+
 def main():
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
@@ -46,14 +54,19 @@ def main():
     spark.sparkContext.setLogLevel("ERROR")
     wanted = os.environ.get("BENCH_QUERIES", "").split() or HEADLINE
     times = {}
+
+    def stopped(*_):
+        print(line(folder, times, wanted), flush=True)
+        os._exit(1)
+
+    for number in (signal.SIGTERM, signal.SIGINT):
+        signal.signal(number, stopped)
     for name in wanted:
         build = registered()[name]
         run(build, spark, folder)
         times[name] = round(statistics.median(run(build, spark, folder) for _ in range(RUNS)), 3)
         print(name, times[name], file=sys.stderr, flush=True)
-    total = round(sum(times.values()), 3)
-    scale = os.path.basename(folder.rstrip("/")).removeprefix("sf")
-    print(json.dumps({"metric": "total_query_seconds", "value": total, "unit": "sec", "queries": times, "sf": float(scale)}))
+    print(line(folder, times, wanted))
     spark.stop()
 
 

@@ -121,7 +121,11 @@ def box_stats(samples: DataFrame, n_channels: int) -> DataFrame:
 
 def mean_autocorrelation(windows: DataFrame) -> DataFrame:
     """(channel, autocorr, n_windows): lag-1 autocorrelation averaged over the windows where it is defined."""
-    per_window = lag1_autocorrelation(windows)
+    return averaged_autocorrelation(lag1_autocorrelation(windows))
+
+
+def averaged_autocorrelation(per_window: DataFrame) -> DataFrame:
+    """The same from (channel, r) of each window."""
     return per_window.groupBy("channel").agg(
         F.coalesce(F.avg("r"), F.lit(0.0)).alias("autocorr"), F.count("r").alias("n_windows")
     )

@@ -178,6 +178,22 @@ def window_features(grid: DataFrame, channels, length: int, step: int, fs: float
     return _per_block(grid, channels, length, step, describe, schema)
 
 
+def window_autocorrelation(grid: DataFrame, channels, length: int, step: int) -> DataFrame:
+    """(keys, r): Pearson correlation of each window of a grid with itself one step later, NULL where undefined."""
+
+    def describe(first: int, blocks: dict) -> pa.Table:
+        parts = {}
+        for channel, block in blocks.items():
+            x, y = block[:, :-1], block[:, 1:]
+            flat = (x.max(axis=1) == x.min(axis=1)) | (y.max(axis=1) == y.min(axis=1))
+            x, y = x - x.mean(axis=1, keepdims=True), y - y.mean(axis=1, keepdims=True)
+            size = np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
+            parts[channel] = {"r": pa.array((x * y).sum(axis=1) / np.where(flat, 1.0, size), mask=flat)}
+        return _stacked(first, parts)
+
+    return _per_block(grid, channels, length, step, describe, "w long, channel string, r double")
+
+
 def wide_window_features(grid: DataFrame, channels, length: int, step: int, fs: float) -> DataFrame:
     """(flight_id, w, <channel>_<feature>): one row per window; undefined statistics are 0."""
 

@@ -10,16 +10,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.labels import decode_combined
+from ..session import durable
 from ..settings import KNN_K
+from .joins import attach
 from .scaling import vector_stats, zscore_vectors
 from .splits import subsample
 
 PIVOTS = 32
 TRAIN_BLOCK = 20_000
 QUERY_SLICE = 5_000
+# Queries whose distances to a block are a matrix at a time.
+QUERY_ROWS = 128
 # Distances are compared at this precision, so that copies of a vector tie exactly.
 DECIMALS = 9
 
@@ -69,8 +73,8 @@ def neighbours(model: KnnModel, queries: DataFrame, train_block=TRAIN_BLOCK, que
     k = int(min(model.k, model.counts.sum()))
     pivots, counts, radius = model.pivots, model.counts, model.radius
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def cells_to_visit(vectors: pd.Series) -> pd.Series:
+    @F.pandas_udf("home int, cells array<int>")
+    def cells_to_visit(vectors: pd.Series) -> pd.DataFrame:
         near = _to_pivots(vectors, pivots)
         # The closest cells holding k rows in all bound the distance of the k-th neighbour.
         within = np.where(counts > 0, near + radius, np.inf)
@@ -78,32 +82,48 @@ def neighbours(model: KnnModel, queries: DataFrame, train_block=TRAIN_BLOCK, que
         held = counts[order].cumsum(axis=1)
         limit = np.take_along_axis(within, order, axis=1)[np.arange(len(near)), (held >= k).argmax(axis=1)]
         visit = (near - radius <= limit[:, None] + 1e-6) & (counts > 0)
-        return pd.Series([np.flatnonzero(v).astype("int32") for v in visit])
-
-    scaled = zscore_vectors(queries.select("qid", "vec"), model.stats)
-    slices = max(1, -(-queries.count() // query_slice))
+        return pd.DataFrame({"home": near.argmin(axis=1).astype("int32"), "cells": [np.flatnonzero(v).astype("int32") for v in visit]})
+
+    # Queries of one slice have their home in one cell, so a cell travels only to the slices of cells near it.
+    located = durable(zscore_vectors(queries.select("qid", "vec"), model.stats).withColumn("at", cells_to_visit("vec")))
+    located = located.select("qid", "vec", "at.home", "at.cells")
+    parts = [1] * len(pivots)
+    for row in located.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect():  # a row for each pivot at most
+        parts[row.home] = -(-row.n // query_slice)
+    first = F.array(*[F.lit(int(v)) for v in np.cumsum([0, *parts[:-1]])])
+    n_parts = F.get(F.array(*[F.lit(int(v)) for v in parts]), F.col("home"))
     blocks = F.array(*[F.lit(int(max(1, -(-c // train_block)))) for c in counts])
     n_blocks = F.get(blocks, F.col("cell"))
-    asked = scaled.withColumn("slice", F.pmod(F.xxhash64("qid"), F.lit(slices)).cast("int"))
-    asked = asked.withColumn("cell", F.explode(cells_to_visit("vec")))
+    asked = located.withColumn("slice", (F.get(first, F.col("home")) + F.pmod(F.xxhash64("qid"), n_parts)).cast("int"))
+    asked = asked.select("qid", "vec", "slice", F.explode("cells").alias("cell"))
+    wanted = asked.groupBy("cell").agg(F.collect_set("slice").alias("slices"))  # a row for each cell
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    held = model.train.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks).cast("int"))
-    held = held.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    held = attach(model.train, wanted, "cell", bound=len(pivots))
+    held = held.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks).cast("int")).withColumn("slice", F.explode("slices")).drop("slices")
 
     def nearest(train: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         parts = []
         if len(train) and len(wanted):
-            known, ids = _matrix(train["vec"]), train["id"].to_numpy()
-            codes = train["code"].to_numpy()
-            for qid, vec in zip(wanted["qid"], wanted["vec"]):
-                far = np.sqrt(((known - vec) ** 2).sum(axis=1)).round(DECIMALS)
-                close = np.flatnonzero(far <= np.partition(far, min(k, len(far)) - 1)[min(k, len(far)) - 1])
-                best = close[np.lexsort((ids[close], far[close]))][:k]
-                parts.append(pd.DataFrame({"qid": qid, "id": ids[best], "code": codes[best], "distance": far[best]}))
+            known, ids, codes = _matrix(train["vec"]), train["id"].to_numpy(), train["code"].to_numpy()
+            sizes, all_asked = (known * known).sum(axis=1), _matrix(wanted["vec"])
+            qids = wanted["qid"].to_numpy()
+            for at in range(0, len(all_asked), QUERY_ROWS):
+                asked = all_asked[at : at + QUERY_ROWS]
+                own = (asked * asked).sum(axis=1)[:, None]
+                square = own + sizes - 2 * (asked @ known.T)
+                # The product only chooses whom to look at, with room for its rounding; distances are taken anew.
+                last = np.partition(square, min(k, len(known)) - 1, axis=1)[:, [min(k, len(known)) - 1]]
+                row, col = np.nonzero(square <= last + 1e-9 * (1 + own + sizes.max()))
+                far = np.sqrt(((known[col] - asked[row]) ** 2).sum(axis=1)).round(DECIMALS)
+                order = np.lexsort((ids[col], far, row))
+                row, col, far = row[order], col[order], far[order]
+                rank = np.arange(len(row)) - np.searchsorted(row, row)
+                best = rank < k
+                parts.append(pd.DataFrame({"qid": qids[at + row[best]], "id": ids[col[best]], "code": codes[col[best]], "distance": far[best]}))
         return pd.concat(parts) if parts else pd.DataFrame(columns=["qid", "id", "code", "distance"])
 
     keys = ["cell", "block", "slice"]
-    types = {f.name: f.dataType.simpleString() for f in [*scaled.schema, *model.train.schema]}
+    types = {f.name: f.dataType.simpleString() for f in [*located.schema, *model.train.schema]}
     schema = f"qid {types['qid']}, id {types['id']}, code {types['code']}, distance double"
     found = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(nearest, schema)
     rank = F.row_number().over(W.partitionBy("qid").orderBy("distance", "id"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import explore as ex
-from ..operators.features import time_features
+from ..operators.features import time_features, window_autocorrelation
 from ..operators.windows import label_windows
 from ..session import durable
 from ..settings import TOP_CHANNELS
@@ -146,7 +146,7 @@ def x7(spark, sf):
         GROUP BY channel""",
 )
 def x8(spark, sf):
-    return rounded(ex.mean_autocorrelation(norm_windows(spark, sf)))
+    return rounded(ex.averaged_autocorrelation(window_autocorrelation(norm_grid(spark, sf), CHANNELS, LENGTH, STEP)))
 
 
 @query("x9_window_std", f"SELECT channel, {r('avg(std) AS mean_std')} FROM time_feats GROUP BY channel")
