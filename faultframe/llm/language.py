@@ -356,7 +356,7 @@ def predict(docs: DataFrame, model: Model, text="text") -> DataFrame:
 LEAST_SCORE = 0.5
 # How far the mean word of a text may lie below what its letters let expect, in spreads of a word of the language: a lasting
 # part, as texts differ in what they speak of, and one that chance takes off with the number of words.
-LASTING, BY_CHANCE = 1.5, 6.0
+LASTING, BY_CHANCE = 4.0, 8.0
 
 
 def recognised(docs: DataFrame, model: Model) -> DataFrame:
