@@ -50,7 +50,7 @@ def fit(rows: DataFrame, ids, trees=ISOLATION_TREES, sample=SAMPLE, seed=42) ->
     """Forest node table from `rows` (ids, vec), usually the healthy windows.
 
     Each tree samples the whole table: every row draws some trees by hash, so that about MARGIN * sample rows reach
-    each of them, and those of lowest hash are its sample. Only ids are shuffled for that.
+    each of them, and those of lowest hash are its sample.
     """
     n = rows.count()
     share = trees * MARGIN * sample / max(1, n)
@@ -60,10 +60,10 @@ def fit(rows: DataFrame, ids, trees=ISOLATION_TREES, sample=SAMPLE, seed=42) ->
         draws = F.floor(F.lit(share) + unit).cast("int")
         tree = lambda j: F.pmod(F.xxhash64(F.lit(seed), j, *ids), F.lit(trees)).cast("int")
         every = F.when(draws > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), draws), tree)))
-    drawn = rows.select(*ids, F.explode(every).alias("tree"))
-    order = W.partitionBy("tree").orderBy(hash_key(seed, "tree", *ids), *ids)
+    # As many rows as trees * MARGIN * sample carry their vector, whatever the table; rows that share an id stay apart.
+    drawn = rows.select(*ids, "vec", F.explode(every).alias("tree"))
+    order = W.partitionBy("tree").orderBy(hash_key(seed, "tree", *ids), *ids, "vec")
     drawn = drawn.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample)
-    drawn = rows.select(*ids, "vec").join(drawn, list(ids))
 
     def grow(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(frame.sort_values("r")["vec"].to_list())

@@ -333,6 +333,13 @@ def test_isolation_forest_ranks_a_planted_outlier_first(spark):
     assert forest.groupBy("tree").count().count() == 30
 
 
+def test_rows_that_share_an_id_are_not_multiplied(spark):
+    rng = np.random.default_rng(10)
+    same = spark.createDataFrame([(i // 3, [float(v) for v in x]) for i, x in enumerate(rng.normal(size=(60, 2)))], "id long, vec array<double>")
+    forest = isolation.fit(same, ["id"], trees=5, sample=64)
+    assert {r["sample"] for r in forest.select("sample").distinct().collect()} == {60}
+
+
 def test_severity_levels_of_odd_values(spark):
     values = spark.createDataFrame([(None,), (float("nan"),), (1e12,), (-1e12,), (float("inf"),), (0.5,), (2.5,)], "x double")
     assert [r[0] for r in values.select(severity_level(F.col("x"))).collect()] == [None, None, 3, 0, 3, 0, 2]
