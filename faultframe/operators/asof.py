@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .joins import attach_counted
 from .ordered import FAN, explode_range
 
-# Rows of a key that one task puts in order at a time, where its times are evenly spread; a parameter of the shuffle only.
+# Rows and requests of a key that one task puts in order at a time, where its times are evenly spread; a parameter of the shuffle only.
 CHUNK_ROWS = 50_000
 
 
@@ -14,14 +14,15 @@ def _carried(heads: DataFrame, key: str) -> DataFrame:
     heads = heads.withColumn("block", F.floor(F.col("chunk") / FAN))
     blocks = heads.groupBy(key, "block").agg(F.max("last").alias("last"), F.min("first").alias("first"))
     earlier = W.partitionBy(key).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    later = W.partitionBy(key).orderBy("block").rowsBetween(1, W.unboundedFollowing)
+    # What follows is read from the end: a frame up to the last row would be gone through again for every row.
+    later = W.partitionBy(key).orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)
     blocks = blocks.select(key, "block", F.max("last").over(earlier).alias("far_before"), F.min("first").over(later).alias("far_after"))
-    inside = W.partitionBy(key, "block").orderBy("chunk")
+    inside = W.partitionBy(key, "block")
     return (
         heads.select(
             key, "block", "chunk",
-            F.max("last").over(inside.rowsBetween(W.unboundedPreceding, -1)).alias("before"),
-            F.min("first").over(inside.rowsBetween(1, W.unboundedFollowing)).alias("after"),
+            F.max("last").over(inside.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)).alias("before"),
+            F.min("first").over(inside.orderBy(F.desc("chunk")).rowsBetween(W.unboundedPreceding, -1)).alias("after"),
         )
         .join(blocks, [key, "block"])
         .select(key, "chunk", F.coalesce("before", "far_before").alias("before"), F.coalesce("after", "far_after").alias("after"))
@@ -41,9 +42,15 @@ def nearest_in_time(requests: DataFrame, rows: DataFrame, key="flight_id", asked
     # Equal requests are one row until the end.
     kinds = requests.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"))
     kinds = kinds.withColumns({"__key": F.col(key), "__t": F.col(asked).cast("double")})
-    sizes = points.groupBy("__key").agg(F.count(F.lit(1)).alias("n"), F.min("__t").alias("low"), F.max("__t").alias("high"))
-    width = (F.col("high") - F.col("low")) / F.ceil(F.col("n") / CHUNK_ROWS)
-    sizes = sizes.select("__key", "n", "low", F.when(width > 0, width).otherwise(1.0).alias("width"), F.ceil(F.col("n") / CHUNK_ROWS).alias("most"))
+    # Chunks follow the requests too, which may be many more than the rows; keys without rows have none.
+    finite = F.when(F.abs("__t") < float("inf"), F.col("__t"))
+    facts = [F.count(F.lit(1)).alias("n"), F.min(finite).alias("low"), F.max(finite).alias("high")]
+    sizes = points.groupBy("__key").agg(F.lit(True).alias("has"), *facts).unionByName(kinds.groupBy("__key").agg(F.lit(False).alias("has"), *facts))
+    sizes = sizes.groupBy("__key").agg(F.max("has").alias("has"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("has")
+    most = F.ceil(F.col("n") / CHUNK_ROWS)
+    width = (F.col("high") - F.col("low")) / most
+    low = F.coalesce("low", F.lit(0.0))
+    sizes = sizes.select("__key", "n", low.alias("low"), F.when(width > 0, width).otherwise(1.0).alias("width"), most.alias("most"))
 
     def chunked(df: DataFrame, how: str) -> DataFrame:
         counts = df.groupBy("__key").agg(F.count(F.lit(1)).alias("many")).join(sizes, "__key")
@@ -59,13 +66,9 @@ def nearest_in_time(requests: DataFrame, rows: DataFrame, key="flight_id", asked
         known.select("__key", "chunk", "__t", F.lit(None).cast(points.schema["point"].dataType).alias("point"), F.struct(*columns, "__n").alias("request"))
     )
     heads = both.groupBy("__key", "chunk").agg(F.max("point").alias("last"), F.min("point").alias("first"))
-    order = W.partitionBy("__key", "chunk").orderBy("__t")
-    found = both.withColumns(
-        {
-            "upto": F.last("point", ignorenulls=True).over(order.rangeBetween(W.unboundedPreceding, 0)),
-            "from": F.first("point", ignorenulls=True).over(order.rangeBetween(0, W.unboundedFollowing)),
-        }
-    ).where("request is not null")
+    part, latest = W.partitionBy("__key", "chunk"), F.last("point", ignorenulls=True)
+    upto, onward = (part.orderBy(t).rangeBetween(W.unboundedPreceding, 0) for t in (F.asc("__t"), F.desc("__t")))
+    found = both.withColumns({"upto": latest.over(upto), "from": latest.over(onward)}).where("request is not null")
     found = found.join(_carried(heads, "__key"), ["__key", "chunk"])
     below, above, t = F.coalesce("upto", "before"), F.coalesce("from", "after"), F.col("__t")
     near = F.when(above.isNull() | (t - below["t"] <= above["t"] - t), below).otherwise(above)

@@ -69,6 +69,17 @@ def test_nearest_in_uneven_time(spark, monkeypatch, chunk_rows, fan):
     assert [r.w for r in asof.nearest_in_time(same, frame).collect()] == [1] * 4
 
 
+def test_many_requests_of_few_rows_are_read_in_linear_time(spark, monkeypatch):
+    monkeypatch.setattr(asof, "CHUNK_ROWS", 50)
+    points = [(0, 0.0), (1, 3.0), (2, 3.5), (3, 40.0)]
+    frame = spark.createDataFrame([("a", w, t) for w, t in points], "flight_id string, w long, t double")
+    requests = spark.range(600).select("id", F.lit("a").alias("flight_id"), (F.col("id") * 0.1 - 5).alias("asked"))
+    found = asof.nearest_in_time(requests, frame)
+    # Spark goes through a frame up to the last row once for every row.
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+    assert {r.id: r.w for r in found.collect()} == {i: min((abs(t - (i * 0.1 - 5)), t, w) for w, t in points)[2] for i in range(600)}
+
+
 def test_every_request_has_a_row(spark):
     centres = spark.createDataFrame([("a", w, 1.0 + w) for w in range(5)], "flight_id string, w long, t double")
     requests = spark.createDataFrame([("a", 2.2), ("a", 2.2), ("none", 1.0)], "flight_id string, asked double")
