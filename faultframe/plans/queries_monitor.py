@@ -1,11 +1,14 @@
 """Queries: flight monitoring, batch and streaming (G)."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import asof, monitor as mon
 from ..operators.models import predict
 from ..operators.resample import resample_trajectory
 from ..operators.windows import window_centres
+from ..session import stored
 from ..settings import TABLE_WINDOWS, TARGET_FS
 from ..sources import views
 from ..streaming import counted, live
@@ -238,14 +241,20 @@ def g10_counted(spark, sf):
 def g11_expiring(spark, sf):
     folder, by = fresh_folder(spark), ["model", "flight_id"]
     clock = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("t") * views.SECONDS_PER_DEVICE_SECOND)
-    scored = views.predictions(spark, sf).select(*by, "w", clock.alias("ts"), "fault_label", "severity_level", "t")
+    scored = stored(views.predictions(spark, sf).select(*by, "w", clock.alias("ts"), "fault_label", "severity_level", "t"), "scored")
     heard = scored.where("model <> 'forest' or t < 9")
+    low, span = heard.agg(F.min("t"), F.max("t") - F.min("t")).first()
+    third = F.least(F.lit(2), F.floor((F.col("t") - low) * 3 / span)) if span else F.lit(0)
+    # The files of a part come in any order, however many they are, so a row is as late as two parts are long.
+    delay = math.ceil((span or 0) * 2 / 3 * views.SECONDS_PER_DEVICE_SECOND) + 1
+    # Two rows of another model, beyond the delay, bring the watermark past the last row.
     after = scored.orderBy(F.desc("t")).limit(1)
-    last = after.select(F.lit("~").alias("model"), "flight_id", "w", (F.col("ts") + F.expr("interval 1 hour")).alias("ts"), "fault_label", "severity_level", "t")
-    every = written_in_turn(heard, folder, F.least(F.lit(2), F.floor(F.col("t") / 10)), 3)
-    for k, rows in enumerate((last, last.withColumn("ts", F.col("ts") + F.expr("interval 1 hour")))):
+    last = [F.col("ts") + F.make_dt_interval(hours=F.lit(k), secs=F.lit(delay)) for k in (1, 2)]
+    every = written_in_turn(heard, folder, third, 3)
+    for k, ts in enumerate(last):
+        rows = after.select(F.lit("~").alias("model"), "flight_id", "w", ts.alias("ts"), "fault_label", "severity_level", "t")
         rows.write.parquet(f"{folder}/in/part{k + 3}")
     stream = live.read_stream(spark, every, scored.schema, files_per_trigger=4)
-    status = counted.expiring_status(stream, 10 * views.SECONDS_PER_DEVICE_SECOND * 1000, by, delay="1 day")
+    status = counted.expiring_status(stream, 10 * views.SECONDS_PER_DEVICE_SECOND * 1000, by, delay=f"{delay} seconds")
     live.run_available(status, folder)
     return rounded(counted.stored_status(spark, folder, by).where("model <> '~'"))
