@@ -6,8 +6,10 @@ common. Each document chooses l by what it costs: longer prefixes mean more rows
 pair, the l of the larger set holds.
 
 Equal sets are one set. Because classes are wanted and not all pairs, sets that share prefix shingles are first compared
-with one of their number (a hub); only between sets which this leaves in different classes all candidates are compared.
-So a group of n near copies costs about n comparisons, and no link between different classes is lost.
+with one of their number (a hub). Where many share a shingle, sets outside the largest class are then compared with a few
+others of that class, drawn anew as long as this finds many links. Only between sets which this leaves in different classes
+all candidates are compared. So a group of n near copies costs about n comparisons, even if its hub links with few of them,
+and no link between different classes is lost.
 
 Every set has a sketch, the parities of its shingles in 512 buckets. A shingle that only one of two sets has changes one
 parity, so sketches that differ in d bits belong to sets that differ in at least d shingles. Candidates whose sketches
@@ -37,6 +39,10 @@ ROW_COST, VERIFY_COST = 4.0, 32.0
 # Prefix shingles whose counter exceeds this (or four times the mean counter) are known to repeat without a look.
 HOT = 1024
 
+# Shingles of more sets than this are crowded; hubs a set is compared with in a round, and rounds at most. They decide how
+# many candidates are left for the last step, not the result.
+CROWD, HUBS, ROUNDS = 8, 4, 6
+
 SKETCH = [f"s{k}" for k in range(8)]
 
 _SALT = np.uint64(0xA0761D6478BD642F)
@@ -237,16 +243,51 @@ def hub_pairs(shared: DataFrame, marks: DataFrame) -> DataFrame:
     return stored(met.where(alike("x", "y")).select("a", "b"), "hub-pairs")
 
 
+def with_labels(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """`shared` with the label of each set's class; a set without links is its own."""
+    rows = shared.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left")
+    return rows.withColumn("label", F.coalesce("label", "sid"))
+
+
+def mixed_tokens(rows: DataFrame) -> DataFrame:
+    """(token, main): the shingles of more than one class, and the most common class of each."""
+    counts = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = counts.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
+    return mixed.where("labels > 1").drop("labels")
+
+
+def crowded(shared: DataFrame) -> DataFrame:
+    """Stored: the rows of `shared` whose shingle more than CROWD sets have."""
+    many = shared.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("token")
+    return stored(shared.select("token", "sid", "size").join(many, "token"), "crowded")
+
+
+def further_hub_pairs(crowd: DataFrame, labels: DataFrame, marks: DataFrame, turn: int) -> DataFrame:
+    """Stored: for each set outside the most common class of a shingle up to HUBS sets of that class.
+
+    The class's sets are dealt into HUBS parts, and of each part that of lowest hash is a hub; `turn` draws them anew. Of
+    each part a set meets the hub with which it shares most shingles, if their sketches are alike.
+    """
+    rows = with_labels(crowd, labels)
+    rows = stored(rows.join(mixed_tokens(rows), "token"), "crowded-classes")
+    order = F.xxhash64("sid", F.lit(turn))
+    hubs = rows.where("label = main").groupBy("token", F.pmod(order, F.lit(HUBS)).alias("part"))
+    hubs = hubs.agg(F.min(F.struct(order.alias("h"), "sid", "size")).alias("hub"))
+    met = rows.where("label <> main").join(hubs, "token").where("5 * least(size, hub.size) >= 4 * greatest(size, hub.size)")
+    counted = met.groupBy(F.col("sid").alias("a"), "part", F.col("hub.sid").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    best = counted.groupBy("a", "part").agg(F.max_by("b", F.struct("n", "b")).alias("b")).select("a", "b").distinct()
+    x, y = marks.alias("x"), marks.alias("y")
+    met = best.join(x, F.col("a") == F.col("x.sid")).join(y, F.col("b") == F.col("y.sid"))
+    return stored(met.where(alike("x", "y")).select("a", "b"), "hub-pairs")
+
+
 def open_pairs(shared: DataFrame, labels: DataFrame, marks: DataFrame) -> DataFrame:
     """Stored: candidate pairs of sets with different labels.
 
     For each shingle, sets outside its most common label meet all others, so that sets of one label never meet.
     """
-    rows = shared.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left")
-    rows = stored(rows.withColumn("label", F.coalesce("label", "sid")), "labelled")
-    counts = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = counts.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
-    rows = rows.join(mixed.where("labels > 1").drop("labels"), "token").join(marks.drop("size"), "sid")
+    rows = stored(with_labels(shared, labels), "labelled")
+    rows = rows.join(mixed_tokens(rows), "token").join(marks.drop("size"), "sid")
     x, y = rows.where("label <> main").alias("x"), rows.alias("y")
     rest = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
     need = F.ceil((F.col("x.size") + F.col("y.size")) * 4 / 9)
@@ -288,6 +329,17 @@ def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = repeated_prefixes(prefixes(owned, order))
     links = verified(owned, known, hub_pairs(shared, marks))
     labels = components(links)
+    crowd = crowded(shared)
+    for turn in range(ROUNDS):
+        pairs = further_hub_pairs(crowd, labels, marks, turn)
+        looked = pairs.count()
+        met = verified(owned, known, pairs) if looked else pairs
+        many = met.count()
+        if many:
+            links = links.union(met)
+            labels = components(links)
+        if many * 10 <= looked:  # most of what is left does not link, whichever hub is drawn
+            break
     further = open_pairs(shared, labels, marks)
     if not further.isEmpty():
         labels = components(links.union(verified(owned, known, further)))
