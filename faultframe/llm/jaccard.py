@@ -6,8 +6,8 @@ common. Each document chooses l by what it costs: longer prefixes mean more rows
 pair, the l of the larger set holds.
 
 Equal sets are one set. Because classes are wanted and not all pairs, sets that share prefix shingles are first compared
-with one of their number (a hub). Where many share a shingle, sets outside the largest class are then compared with a few
-others of that class, drawn anew as long as this finds many links. Only between sets which this leaves in different classes
+with one of their number (a hub). Where many sets of a shingle are outside its largest class, they are then compared with a
+few of that class, drawn anew as long as a round leaves less than half of the meetings open. Only between sets which this leaves in different classes
 all candidates are compared. So a group of n near copies costs about n comparisons, even if its hub links with few of them,
 and no link between different classes is lost.
 
@@ -39,8 +39,8 @@ ROW_COST, VERIFY_COST = 4.0, 32.0
 # Prefix shingles whose counter exceeds this (or four times the mean counter) are known to repeat without a look.
 HOT = 1024
 
-# Shingles of more sets than this are crowded; hubs a set is compared with in a round, and rounds at most. They decide how
-# many candidates are left for the last step, not the result.
+# Shingles with more sets than this outside their largest class are crowded; hubs a set is compared with in a round, and
+# rounds at most. They decide how many candidates are left for the last step, not the result.
 CROWD, HUBS, ROUNDS = 8, 4, 6
 
 SKETCH = [f"s{k}" for k in range(8)]
@@ -250,26 +250,26 @@ def with_labels(shared: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def mixed_tokens(rows: DataFrame) -> DataFrame:
-    """(token, main): the shingles of more than one class, and the most common class of each."""
+    """(token, main, sets, apart): the shingles of more than one class, the most common class, all sets, those of the others."""
     counts = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = counts.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
-    return mixed.where("labels > 1").drop("labels")
+    mixed = counts.groupBy("token").agg(
+        F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("sets"), (F.sum("n") - F.max("n")).alias("apart")
+    )
+    return mixed.where("apart > 0")
 
 
-def crowded(shared: DataFrame) -> DataFrame:
-    """Stored: the rows of `shared` whose shingle more than CROWD sets have."""
-    many = shared.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("token")
-    return stored(shared.select("token", "sid", "size").join(many, "token"), "crowded")
+def crowded(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Stored: of `rows` (token, sid, size) those of crowded shingles, with the set's label and the columns of mixed_tokens."""
+    rows = with_labels(rows.select("token", "sid", "size"), labels)
+    return stored(rows.join(mixed_tokens(rows).where(F.col("apart") > CROWD), "token"), "crowded")
 
 
-def further_hub_pairs(crowd: DataFrame, labels: DataFrame, marks: DataFrame, turn: int) -> DataFrame:
-    """Stored: for each set outside the most common class of a shingle up to HUBS sets of that class.
+def further_hub_pairs(rows: DataFrame, marks: DataFrame, turn: int) -> DataFrame:
+    """Stored: for each set outside the most common class of a crowded shingle up to HUBS sets of that class.
 
     The class's sets are dealt into HUBS parts, and of each part that of lowest hash is a hub; `turn` draws them anew. Of
     each part a set meets the hub with which it shares most shingles, if their sketches are alike.
     """
-    rows = with_labels(crowd, labels)
-    rows = stored(rows.join(mixed_tokens(rows), "token"), "crowded-classes")
     order = F.xxhash64("sid", F.lit(turn))
     hubs = rows.where("label = main").groupBy("token", F.pmod(order, F.lit(HUBS)).alias("part"))
     hubs = hubs.agg(F.min(F.struct(order.alias("h"), "sid", "size")).alias("hub"))
@@ -281,13 +281,34 @@ def further_hub_pairs(crowd: DataFrame, labels: DataFrame, marks: DataFrame, tur
     return stored(met.where(alike("x", "y")).select("a", "b"), "hub-pairs")
 
 
+def hub_links(docs: DataFrame, known: DataFrame, shared: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, labels): what comparisons with hubs link, and the classes that this makes.
+
+    A round costs many passes over small tables, so there is a further one only if the last left less than half of the
+    meetings of crowded shingles open.
+    """
+    links = verified(docs, known, hub_pairs(shared, marks))
+    labels, rows, before = components(links), shared, None
+    for turn in range(ROUNDS):
+        rows = crowded(rows, labels)  # sets of one class stay so: what is not crowded does not become so
+        left = rows.where("label <> main").agg(F.sum("sets")).first()[0] or 0
+        if not left or (before is not None and left * 2 > before):
+            break
+        met = verified(docs, known, further_hub_pairs(rows, marks, turn))
+        if met.isEmpty():
+            break
+        links, before = links.union(met), left
+        labels = components(links)
+    return links, labels
+
+
 def open_pairs(shared: DataFrame, labels: DataFrame, marks: DataFrame) -> DataFrame:
     """Stored: candidate pairs of sets with different labels.
 
     For each shingle, sets outside its most common label meet all others, so that sets of one label never meet.
     """
     rows = stored(with_labels(shared, labels), "labelled")
-    rows = rows.join(mixed_tokens(rows), "token").join(marks.drop("size"), "sid")
+    rows = rows.join(mixed_tokens(rows).select("token", "main"), "token").join(marks.drop("size"), "sid")
     x, y = rows.where("label <> main").alias("x"), rows.alias("y")
     rest = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
     need = F.ceil((F.col("x.size") + F.col("y.size")) * 4 / 9)
@@ -327,19 +348,7 @@ def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     order = frequency_classes(all_rows.where("block is not null"))
     owned = docs.where("doc_id is not null")
     shared = repeated_prefixes(prefixes(owned, order))
-    links = verified(owned, known, hub_pairs(shared, marks))
-    labels = components(links)
-    crowd = crowded(shared)
-    for turn in range(ROUNDS):
-        pairs = further_hub_pairs(crowd, labels, marks, turn)
-        looked = pairs.count()
-        met = verified(owned, known, pairs) if looked else pairs
-        many = met.count()
-        if many:
-            links = links.union(met)
-            labels = components(links)
-        if many * 10 <= looked:  # most of what is left does not link, whichever hub is drawn
-            break
+    links, labels = hub_links(owned, known, shared, marks)
     further = open_pairs(shared, labels, marks)
     if not further.isEmpty():
         labels = components(links.union(verified(owned, known, further)))

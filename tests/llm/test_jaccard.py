@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,25 @@ def test_candidates_without_hubs(documents, monkeypatch):
     assert sorted(map(tuple, jaccard.classes(documents(*rows)).collect()), key=str) == expected(rows)
 
 
+def test_a_round_that_leaves_most_meetings_open_is_the_last(documents, monkeypatch):
+    """Even if all its comparisons link."""
+    passages = [[f"p{k}w{j}" for j in range(12)] for k in range(12)]
+    long = [f"x{j}" for j in range(60)]
+    pair = [" ".join(long), " ".join([*long[:-1], "y"])]
+    rows = [(20, pair[0]), (10, pair[1]), *[(30 + k, " ".join(passages[k] + passages[k - 1])) for k in range(12)]]
+    docs, turns = documents(*rows), []
+    a, b = jaccard.set_ids(*jaccard.shingle_sets(pa.array(pair))).tolist()
+
+    def further(*given):
+        turns.append(given[-1])
+        return docs.sparkSession.createDataFrame([(a, b)], "a long, b long")
+
+    monkeypatch.setattr(jaccard, "CROWD", 0)
+    monkeypatch.setattr(jaccard, "further_hub_pairs", further)
+    assert sorted(map(tuple, jaccard.classes(docs).collect()), key=str) == expected(rows)
+    assert turns == [0]
+
+
 def test_sketches_bound_the_difference():
     rng = random.Random(9)
     for n in (1, 30, 700):
