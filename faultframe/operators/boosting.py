@@ -25,8 +25,9 @@ from ..session import shared_folder
 from ..settings import BOOST_COLUMNS, BOOST_DEPTH, BOOST_RATE, BOOST_ROWS, BOOST_TREES
 
 BINS = 256
-# Rows of a task, columns whose histograms meet in one task, rounds between two checkpoints.
-TASK_ROWS, TASK_COLUMNS, CHECKPOINT = 50_000, 64, 20
+# Rows of a task, columns whose histograms meet in one task (eight times as many where all rows are in one), rounds between
+# two checkpoints.
+TASK_ROWS, TASK_COLUMNS, CHECKPOINT = 50_000, 8, 20
 # Accuracy of the quantiles that cut the columns (relative rank error 1 / ACCURACY).
 ACCURACY = 10_000
 LEAST_GAIN = 1e-6
@@ -110,12 +111,18 @@ def histograms(bins: np.ndarray, slope: np.ndarray, curve: np.ndarray, slots: np
     """Sums by slot, column and bin; `slots` (rows, outputs) names each row's slot below n or is -1."""
     rows, outputs = np.nonzero(slots >= 0)
     m = bins.shape[1]
+    if n * BINS <= 4 * len(rows):  # column by column, since few cells are empty
+        first, weights = slots[rows, outputs] * BINS, [v[rows, outputs] for v in (slope, curve)]
+        dense = np.empty((n, m, BINS, 3))
+        for j in range(m):
+            index = first + bins[rows, j]
+            for i, v in enumerate([*weights, None]):
+                dense[:, j, :, i] = np.bincount(index, v, n * BINS).reshape(n, BINS)
+        sums = dense.reshape(-1, 3)
+        cells = np.flatnonzero(sums[:, 2] > 0)
+        return Cells(cells, sums[cells])
     index = ((slots[rows, outputs][:, None] * m + np.arange(m)) * BINS + bins[rows]).ravel()
-    size = n * m * BINS
-    if size <= 4 * len(index):
-        which, cells = index, np.arange(size)
-    else:
-        cells, which = np.unique(index, return_inverse=True)
+    cells, which = np.unique(index, return_inverse=True)
     values = [np.repeat(v[rows, outputs], m) for v in (slope, curve)]
     sums = np.stack([*[np.bincount(which, v, len(cells)) for v in values], np.bincount(which, minlength=len(cells))], axis=-1)
     some = sums[:, 2] > 0
@@ -257,13 +264,13 @@ def walked(values: np.ndarray, arrays: tuple, depth: int) -> np.ndarray:
     first = np.arange(column.shape[0] * column.shape[1]) * n
     column, bound, value = column.ravel(), bound.ravel(), value.ravel()
     place = np.zeros((len(values), len(first)), np.int64)
-    rows = np.arange(len(values))[:, None]
+    rows = np.arange(len(values))[:, None] * values.shape[1]
     for _ in range(depth):
         at = first + place
-        c = column[at]
-        right = values[rows, c] > bound[at]
+        c = column.take(at)
+        right = values.take(rows + c) > bound.take(at)  # in a leaf c is -1 and what it reads is not used
         place = np.where(c >= 0, 2 * place + 1 + right, place)
-    return value[first + place].reshape(len(values), *arrays[0].shape[:2])
+    return value.take(first + place).reshape(len(values), *arrays[0].shape[:2])
 
 
 def _scorer(spark: SparkSession, model: BoostedTrees):
@@ -298,7 +305,10 @@ def binned(values: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
 
 
 def dealt(train: DataFrame, model: BoostedTrees, key: Column):
-    """An RDD of blocks (keys, bins, labels, scores), about TASK_ROWS rows a partition, checkpointed."""
+    """An RDD of blocks (keys, bins, labels, scores), one of about TASK_ROWS rows a partition; more where keys repeat.
+
+    Histograms of many small blocks would be mostly empty cells that have to be sorted to meet.
+    """
     n = train.count()
     tasks = max(1, -(-n // TASK_ROWS))
     code = F.array_position(F.array(*[F.lit(k) for k in model.kinds]), F.col("y_type").cast("int")) - 1
@@ -307,14 +317,25 @@ def dealt(train: DataFrame, model: BoostedTrees, key: Column):
     rows = rows.select(key.alias("key"), _values(model.columns).alias("values"), labels.alias("labels"), "scores").repartition(tasks, "key")
     cuts, columns = [np.array(c) for c in model.cuts], len(model.columns)
 
+    def joined(parts):
+        block = tuple(np.concatenate(arrays) for arrays in zip(*parts, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary())], ["block"])
+
     def work(batches):
+        parts, n = [], 0
         for batch in batches:
             matrix = lambda name, width: np.array(batch.column(name).to_pylist(), dtype=np.float64).reshape(-1, width)
-            block = (
+            part = (
                 np.asarray(batch.column("key")).view(np.uint64), binned(matrix("values", columns), cuts), matrix("labels", 3),
                 matrix("scores", len(model.base)),
             )
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary())], ["block"])
+            parts.append(part)
+            n += batch.num_rows
+            if n >= 2 * TASK_ROWS:
+                yield joined(parts)
+                parts, n = [], 0
+        if parts:
+            yield joined(parts)
 
     return rows.mapInArrow(work, "block binary").rdd.map(lambda r: pickle.loads(bytes(r.block)))
 
@@ -372,20 +393,20 @@ def grown(model: BoostedTrees, turn: int, judge) -> list[Tree]:
     return trees
 
 
-def summed(blocks, level: Level, given: dict, turn: int) -> list[Cells]:
-    """The histograms of some blocks for the direct slots of a level, one for each group of columns."""
+def summed(blocks, level: Level, given: dict, turn: int, width: int) -> list[Cells]:
+    """The histograms of some blocks for the direct slots of a level, one for each group of `width` columns."""
     n = len(level.trees[0].column)
     slot_of = np.full((len(level.trees), n), -1, np.int64)
     for s, (k, node) in enumerate(level.direct):
         slot_of[k, node] = s
-    groups = -(-level.allowed.shape[1] // TASK_COLUMNS)
+    groups = -(-level.allowed.shape[1] // width)
     found = [[] for _ in range(groups)]
     for keys, bins, labels, scores in blocks:
         inside = drawn(keys, given["seed"], turn, given["rows"])
         bins, slope, curve = bins[inside], *(v[inside] for v in gradients(scores, labels))
         slots = np.stack([slot_of[k][t.places(bins, level.depth)] for k, t in enumerate(level.trees)], axis=1)
         for g in range(groups):
-            found[g].append(histograms(bins[:, g * TASK_COLUMNS : (g + 1) * TASK_COLUMNS], slope, curve, slots, len(level.direct)))
+            found[g].append(histograms(bins[:, g * width : (g + 1) * width], slope, curve, slots, len(level.direct)))
     return [merged(parts) for parts in found if parts]
 
 
@@ -395,17 +416,19 @@ def merged(parts: list[Cells]) -> Cells:
     return Cells.added(np.concatenate([p.index for p in parts]), np.concatenate([p.sums for p in parts]))
 
 
-def judged(group: int, cells: Cells, above: Cells | None, level: Level, given: dict) -> tuple[Cells, list[tuple]]:
+def judged(group: int, cells: Cells, above: Cells | None, level: Level, given: dict, width: int) -> tuple[Cells, list[tuple]]:
     """All slots' cells of a group of columns and their best splits, from those of the direct slots and of the level above."""
-    usable = level.allowed[:, group * TASK_COLUMNS : (group + 1) * TASK_COLUMNS]
+    usable = level.allowed[:, group * width : (group + 1) * width]
     if len(level.links):
-        width = usable.shape[1] * BINS
-        there, total = above.of_slots(level.links[:, 0], width)
-        here, less = cells.of_slots(level.links[:, 1], width)
-        rest = Cells.added(np.concatenate([there, here]), np.concatenate([total, -less]))
-        index = np.concatenate([cells.index, rest.index + len(level.direct) * width])
+        size = usable.shape[1] * BINS
+        there, total = above.of_slots(level.links[:, 0], size)
+        here, less = cells.of_slots(level.links[:, 1], size)
+        total[np.searchsorted(there, here)] -= less  # a parent has all its children's cells
+        some = total[:, 2] > 0.5
+        rest = Cells(there[some], total[some])
+        index = np.concatenate([cells.index, rest.index + len(level.direct) * size])
         cells = Cells(index, np.concatenate([cells.sums, rest.sums]))
-    found = [(s[0], s[1] + group * TASK_COLUMNS, *s[2:]) for s in best_splits(cells, usable, given["penalty"], given["least"])]
+    found = [(s[0], s[1] + group * width, *s[2:]) for s in best_splits(cells, usable, given["penalty"], given["least"])]
     return cells, found
 
 
@@ -420,7 +443,8 @@ def scored(blocks, trees: list[Tree], depth: int) -> list[tuple]:
 
 def round_over_tasks(state, model: BoostedTrees, turn: int) -> list[Tree]:
     """A round over rows in many tasks: a level is a job in which the sums of each group of columns meet in a task."""
-    given, groups = model.settings, -(-len(model.columns) // TASK_COLUMNS)
+    given, width = model.settings, TASK_COLUMNS
+    groups = -(-len(model.columns) // width)
     previous = []
 
     def judge(level: Level) -> list[tuple]:
@@ -429,9 +453,9 @@ def round_over_tasks(state, model: BoostedTrees, turn: int) -> list[Tree]:
             for g, found in parts:
                 met.setdefault(g, ([], []))[isinstance(found, tuple)].append(found)
             for g, (new, above) in met.items():
-                yield g, judged(g, merged(new), above[0][0] if above else None, level, given)
+                yield g, judged(g, merged(new), above[0][0] if above else None, level, given, width)
 
-        met = state.mapPartitions(lambda blocks: enumerate(summed(blocks, level, given, turn))).partitionBy(groups)
+        met = state.mapPartitions(lambda blocks: enumerate(summed(blocks, level, given, turn, width))).partitionBy(groups)
         both = previous[-1].union(met) if previous else met
         sums = both.mapPartitions(meeting, preservesPartitioning=True).persist(StorageLevel.MEMORY_AND_DISK)
         found = sorted(sums.map(lambda item: (item[0], item[1][1])).collect(), key=lambda x: x[0])
@@ -447,14 +471,14 @@ def round_over_tasks(state, model: BoostedTrees, turn: int) -> list[Tree]:
 
 def rounds_in_task(blocks: list[tuple], model: BoostedTrees, turns: range) -> tuple[list[tuple], list[list[Tree]]]:
     """Rounds over rows that are all in one task, where sums need not travel to meet."""
-    made = []
+    made, width = [], 8 * TASK_COLUMNS
     for turn in turns:
         above = []
 
         def judge(level: Level, above=above, turn=turn, blocks=blocks) -> list[tuple]:
             found = [
-                judged(g, cells, above[g] if above else None, level, model.settings)
-                for g, cells in enumerate(summed(blocks, level, model.settings, turn))
+                judged(g, cells, above[g] if above else None, level, model.settings, width)
+                for g, cells in enumerate(summed(blocks, level, model.settings, turn, width))
             ]
             above[:] = [cells for cells, _ in found]
             return best_of([splits for _, splits in found])

@@ -248,6 +248,19 @@ def test_boosted_rounds_equal_a_plain_loop(spark, monkeypatch, task_rows, task_c
     assert np.allclose(staged[["loss_fault", "loss_type", "loss_sev"]].iloc[-1], boosting.losses(scores, labels).mean(axis=0))
 
 
+def test_a_task_of_boosting_has_one_block_of_rows(spark):
+    """However many Arrow batches its rows come in."""
+    train = spark.range(300).selectExpr("id", "double(id) x", "id % 2 y_fault", "int(id % 3) y_type", "double(id % 4) y_sev")
+    model = boosting.BoostedTrees(["x"], [0, 1, 2], [0.0] * 5, 2, {}, [[100.0, 200.0]])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        blocks = boosting.dealt(train, model, F.xxhash64("id")).map(lambda b: [len(part) for part in b]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert blocks == [[300] * 4]
+
+
 def test_boosting_of_missing_inputs_and_one_class(spark):
     data = [("f", i, None if i % 3 == 0 else float(i % 3), float("nan") if i % 2 else 1.0, 0, 7, 2) for i in range(60)]
     data += [("f", 100, 1.0, 1.0, None, 7, 2), ("f", 101, 1.0, 1.0, 0, None, 2)]
