@@ -6,21 +6,21 @@ from .shared import stored
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) for every node of `edges` (a, b); the label is the smallest node that can be reached.
+    """(node, label) for every node of `edges` (a, b), which has each edge in both directions; the label is the smallest
+    node that can be reached.
 
     Labels spread to neighbours and then along the labels themselves, so a chain of n edges takes about log n rounds.
     Every round is a stored table; smallest labels are combined before the shuffle, so a hub needs no task of its own.
+    Where no neighbour has a smaller label, all labels of a component are its smallest node.
     """
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("label")), "labels")
+    labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("label")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("near"))
+        near = edges.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("near"))
         spread = stored(
             labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "labels"
         )
+        if spread.where("label <> old").isEmpty():
+            return spread.select("node", "label")
         jump = spread.select(F.col("node").alias("label"), F.col("label").alias("further"))
         jumped = spread.join(jump, "label", "left")
-        new = stored(jumped.select("node", "old", F.coalesce(F.least("label", "further"), "label").alias("label")), "labels")
-        labels = new.select("node", "label")
-        if new.where("label <> old").isEmpty():
-            return labels
+        labels = stored(jumped.select("node", F.coalesce(F.least("label", "further"), "label").alias("label")), "labels")

@@ -43,6 +43,9 @@ HOT = 1024
 # rounds at most. They decide how many candidates are left for the last step, not the result.
 CROWD, HUBS, ROUNDS = 8, 4, 6
 
+# Text bytes of which a task makes shingles at a time. Hashing takes some 30 bytes for each byte of text.
+SLICE = 1 << 18
+
 SKETCH = [f"s{k}" for k in range(8)]
 
 _SALT = np.uint64(0xA0761D6478BD642F)
@@ -82,14 +85,19 @@ def alike(x: str, y: str):
     return differing * 9 <= F.col(f"{x}.size") + F.col(f"{y}.size")
 
 
+def count_in(counts: np.ndarray, found: np.ndarray) -> None:
+    """Adds the shingles to their counters in place."""
+    np.add.at(counts, (found >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), np.uint32(1))
+
+
 def described(docs: DataFrame) -> DataFrame:
     """Stored: a row (doc_id, n_shingles, sid, sketch) for each document, and rows (task, block, counts) of shingle counts."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNTER_BITS, dtype=np.uint32)
-        for rows, column in slices(batches, "text"):
+        for rows, column in slices(batches, "text", SLICE):
             found, first = shingle_sets(column)
-            counts += np.bincount((found >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+            count_in(counts, found)
             n = len(column)
             none = pa.nulls(n, pa.int32())
             columns = [rows.column("doc_id"), pa.array(np.diff(first)), pa.array(set_ids(found, first)), none, none, pa.nulls(n, pa.binary())]
@@ -136,7 +144,7 @@ def prefixes(docs: DataFrame, classes: np.ndarray) -> DataFrame:
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
-        for _, column in slices(batches, "text"):
+        for _, column in slices(batches, "text", SLICE):
             found, first = shingle_sets(column)
             if len(seen) > REMEMBERED:  # equal rows are made one later
                 seen.clear()
@@ -207,7 +215,7 @@ def sets_of(docs: DataFrame, info: DataFrame, wanted: DataFrame) -> DataFrame:
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(in_map(table.value, np.asarray(batch.column("mark")))))
-            for _, column in slices([batch], "text"):
+            for _, column in slices([batch], "text", SLICE):
                 found, first = shingle_sets(column)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(set_ids(found, first)), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(found.view(np.int64)))],
@@ -219,14 +227,16 @@ def sets_of(docs: DataFrame, info: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def verified(docs: DataFrame, info: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Stored: the pairs (a, b) of sids whose sets have 100 * intersection >= 80 * union."""
+    """Stored: the pairs (a, b) of sids whose sets have 100 * intersection >= 80 * union, each in both directions."""
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
     sets = sets_of(docs, info, wanted)  # both joins read the same shuffled sets
     left = pairs.select("a", "b").join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     linked = common * 100 >= (F.size("x") + F.size("y") - common) * 80
-    return stored(both.where(linked).select("a", "b"), "links")
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    # The shuffle brings the few links of many tasks into few files.
+    return stored(both.where(linked).select(ways.alias("way")).select("way.*").distinct(), "links")
 
 
 def hub_pairs(shared: DataFrame, marks: DataFrame) -> DataFrame:
@@ -376,7 +386,7 @@ def with_set_ids(docs: DataFrame) -> DataFrame:
     """`docs` with __sid, the name of each text's set (0 without words)."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, column in slices(batches, "text"):
+        for rows, column in slices(batches, "text", SLICE):
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(set_ids(*shingle_sets(column)))], [*rows.schema.names, "__sid"])
 
     return docs.mapInArrow(work, docs.withColumn("__sid", F.lit(0).cast("long")).schema)

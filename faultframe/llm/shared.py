@@ -27,8 +27,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Cuts batches by rows so that a slice holds about SLICE_BYTES of text; NULL texts count as empty."""
+def slices(batches: Iterable[pa.RecordBatch], text: str, most=SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Cuts batches by rows so that a slice holds about `most` bytes of text; NULL texts count as empty."""
     for batch in batches:
         column = pc.fill_null(batch.column(text), "")
         if isinstance(column, pa.ChunkedArray):
@@ -37,7 +37,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[tuple[pa.Re
         first = 0
         while first < len(sizes):
             before = sizes[first - 1] if first else 0
-            last = max(first + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, "right")))
+            last = max(first + 1, int(np.searchsorted(sizes, before + most, "right")))
             yield batch.slice(first, last - first), column.slice(first, last - first)
             first = last
 

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultframe.llm import jaccard
+from faultframe.llm.shared import slices
 
 
 def grams(text):
@@ -135,3 +137,41 @@ def test_very_long_texts(documents):
     near = [w if rng.random() < 0.99 else "x" for w in long]
     rows = [(3, " ".join(long)), (2, " ".join(near)), (1, " ".join(long[:40_000]))]
     assert sorted(map(tuple, jaccard.classes(documents(*rows)).collect()), key=str) == expected(rows)
+
+
+def test_few_links_of_many_tasks_are_one_file(spark, documents):
+    texts = [[f"t{k}w{j}" for j in range(400)] for k in range(60)]
+    rows = [x for k, t in enumerate(texts) for x in ((2 * k, " ".join(t)), (2 * k + 1, " ".join([*t, "more"])))]
+    docs = documents(*rows)
+    info = jaccard.described(docs).where("block is null")
+    sids = {r.doc_id: r.sid for r in info.collect()}
+    pairs = spark.createDataFrame([(sids[2 * k], sids[(2 * k + d) % 120]) for k in range(60) for d in (1, 2)], "a long, b long")
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "8k", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        links = jaccard.verified(docs, info, pairs)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len([f for f in links.inputFiles() if spark.read.parquet(f).count()]) == 1
+    near = {(sids[2 * k], sids[2 * k + 1]) for k in range(60)}
+    assert sorted(map(tuple, links.collect())) == sorted(near | {(b, a) for a, b in near})
+
+
+def test_shingles_are_made_and_counted_in_little_memory():
+    rng = random.Random(12)
+    text = " ".join(f"w{rng.randrange(10**5)}" for _ in range(400))
+    batch = pa.RecordBatch.from_arrays([pa.array([text] * 1000)], ["text"])
+    counts, n = np.zeros(1 << jaccard.COUNTER_BITS, dtype=np.uint32), 0
+    tracemalloc.start()
+    try:
+        for _, column in slices([batch], "text", jaccard.SLICE):
+            found, _ = jaccard.shingle_sets(column)
+            jaccard.count_in(counts, found)
+            n += len(found)
+        assert tracemalloc.get_traced_memory()[1] < 24e6
+    finally:
+        tracemalloc.stop()
+    assert counts.sum() == n == 1000 * len(grams(text))
