@@ -6,6 +6,13 @@ from ..operators.features import time_aggregates
 from ..operators.monitor import status_text
 
 LIVE_FEATURES = ("mean", "std", "min", "max", "ptp", "rms")
+# State of many values to a key is kept on disk, with so much memory of an executor for its pages.
+STORE = "spark.sql.streaming.stateStore"
+PAGED = {
+    f"{STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{STORE}.rocksdb.boundedMemoryUsage": "true",
+    f"{STORE}.rocksdb.maxMemoryUsageMB": "256",
+}
 
 
 def read_stream(spark: SparkSession, folder: str, schema, pattern="*.parquet", files_per_trigger=None) -> DataFrame:
@@ -54,13 +61,22 @@ def run_available(result: DataFrame, folder: str, mode="update", transform=None)
         ready = transform(batch) if transform else batch
         ready.write.mode("overwrite").parquet(f"{folder}/data/batch={number}")
 
-    query = (
-        result.writeStream.outputMode(mode)
-        .option("checkpointLocation", f"{folder}/progress")
-        .trigger(availableNow=True)
-        .foreachBatch(store)
-        .start()
-    )
+    conf = result.sparkSession.conf
+    wanted = PAGED if "TransformWithState" in result._jdf.queryExecution().analyzed().toString() else {}
+    before = {k: conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            conf.set(k, v)
+        query = (
+            result.writeStream.outputMode(mode)
+            .option("checkpointLocation", f"{folder}/progress")
+            .trigger(availableNow=True)
+            .foreachBatch(store)
+            .start()
+        )
+    finally:  # a query keeps the settings that it began with
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
     query.awaitTermination()
 
 

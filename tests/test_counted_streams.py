@@ -71,6 +71,62 @@ def test_windows_of_any_split_of_the_samples(length, step):
         assert met == [list(range(k * step, k * step + length)) for k in whole]
 
 
+class Pages(dict):
+    """A map state in memory."""
+
+    def getValue(self, key):
+        return self[key]
+
+    def updateValue(self, key, value):
+        assert len(value[0]) <= counted.PAGE
+        self[key] = value
+
+    removeKey = dict.pop
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_samples_that_wait_in_pages_come_out_in_order(monkeypatch, seed):
+    rng, kind = np.random.default_rng(seed), np.dtype([("us", np.int64), ("tie", np.int64), ("x", np.float64, (1,))])
+    monkeypatch.setattr(counted, "PAGE", 5 * kind.itemsize)
+    monkeypatch.setattr(counted, "RUNS", 4)
+    pages, table, given, found, passed = Pages(), b"", [], [], -1
+    for limit in (10, 10, 30, 31, 80, 200):
+        runs = counted.Runs(pages, kind, table)
+        for _ in range(rng.integers(0, 6)):  # none, or more runs than there may be; times and ties come again
+            samples = np.zeros(rng.integers(1, 40), dtype=kind)
+            samples["us"], samples["tie"] = rng.integers(passed + 1, 120, len(samples)), rng.integers(0, 3, len(samples))
+            samples["x"] = rng.normal(size=(len(samples), 1))
+            given.append(samples)
+            runs.add(samples)
+        found += runs.final(limit)
+        passed, table = limit, runs.stored()
+        assert len(table) // 48 <= 4 and sum(len(v[0]) for v in pages.values()) >= kind.itemsize * (sum(map(len, given)) - sum(map(len, found)))
+    given, found = np.concatenate(given), np.concatenate(found)
+    assert not pages and not table and sorted(found.tolist()) == sorted(given.tolist())
+    assert (found[["us", "tie"]] == np.sort(found[["us", "tie"]])).all()
+
+
+def test_no_value_of_the_state_grows_with_a_flight(spark, tmp_path):
+    n, name = 40_000, "spark.sql.streaming.stateStore.providerClass"
+    rows = spark.range(n).select(
+        F.lit("x").alias("flight_id"), F.timestamp_millis(F.lit(1_704_067_200_000) + F.col("id") * 10).alias("ts"),
+        F.col("id").alias("event_id"), F.sin("id").alias("a"), F.col("id").cast("double").alias("b"),
+    )
+    for k, part in enumerate((F.col("event_id") < 30_000, F.col("event_id") >= 30_000)):
+        rows.where(part).coalesce(1).write.parquet(f"{tmp_path}/in/part{k}")
+    before = spark.conf.get(name, None)
+    stream = live.read_stream(spark, f"{tmp_path}/in/*", rows.schema, files_per_trigger=1)
+    closed = counted.counted_windows(stream, ["a", "b"], 20, 10, 100.0, "100 seconds")
+    live.run_available(closed, f"{tmp_path}/out", "append")
+    assert spark.conf.get(name, None) == before
+    state = spark.read.format("statestore").option("stateVarName", "pages").load(f"{tmp_path}/out/progress")
+    pages, largest, waiting = state.agg(*[f(F.length("user_map_value.samples")) for f in (F.count, F.max, F.sum)]).first()
+    assert pages >= 3 and largest <= counted.PAGE and waiting >= 20_000 * 4 * 8
+    # The first file's watermark closes windows of its first 20,000 samples; the last of them stands behind the last window.
+    found = spark.read.parquet(f"{tmp_path}/out/data").agg(F.count(F.lit(1)), F.max("w"), F.max("b_max")).first()
+    assert tuple(found) == (1_998, 1_997, 19_989)
+
+
 def test_status_expires_and_is_read_from_the_state(spark, tmp_path):
     kind = "flight_id string, w long, ts timestamp, fault_label int, severity_level int"
     parts = [
